@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import simhash
+from quillmill.llm import mixing, sharding, simhash
+from quillmill.llm.common import materialize, scratch_path, word_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +21,38 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source, weights 1, 2, 3 in cycles, at most three passes."""
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    mixed = mixing.mix(docs, word_count(F.col("text")), F.array("source"), F.col("doc_id"))
+    taken = (F.col("mix_size") * F.col("mix_copies")).alias("taken")
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken)
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:
+    """All documents in 40 shards of nearly equal bytes; the slot map is stored as version 1.
+
+    A null text has no bytes, like an empty one. Equal rows share a virtual slot.
+    """
+    text = F.coalesce("text", F.lit(""))
+    narrow = documents(spark, sf_dir).select(
+        "doc_id",
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        sharding.slot_of(F.col("doc_id"), text).alias("slot"),
+    )
+    records = materialize(narrow, "shard-records")
+    sizes, rows = sharding.slot_totals(records.select("slot", "size"))
+    path = scratch_path(spark, "slot-map")
+    sharding.write_map(spark, sharding.plan_slots(sizes, shards), path)
+    placed = sharding.place(records, sharding.read_map(spark, path), rows, ["doc_id", "text_crc32", "size"])
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("position").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("slot").alias("virtual_slot")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash,)}
+    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
