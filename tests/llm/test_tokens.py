@@ -1,0 +1,175 @@
+"""Operators 4, 6 and 7: token store, token counts, byte-level BPE."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from quillmill.llm import bpe, tokencount, tokenstore
+from quillmill.llm.queries import op4_token_store, op6_token_counts, op7_bpe
+
+SMALL = "/root/testdata/sf0.001"
+ODD = ["", " ", "\n", "  ", "a", " a", "a ", "a  b", "a \n b", "x\n\ny z", "tab\t c", "it's we'll I'D", "<|endoftext|> x", "é ü  z", "\x1c x\x1d y", "日本語 テキスト 123 45", "🙂 🙂🙂", "a" * 3000, "! " * 50, "word 　next", "foo\n bar", "foo \nbar", "end \n", "²³ ½ ٣"]
+
+
+@pytest.fixture(scope="module")
+def plain():
+    ranks = bpe.read_ranks(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read())
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def library():
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    return t
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    docs = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    rng = random.Random(5)
+    pieces = [" ", "  ", "\n", "\t", "'s", "ab", "Zé", "12", "!?", " ", " ", "日", "_", "\x1e"]
+    return docs + ODD + ["".join(rng.choices(pieces, k=rng.randint(1, 30))) for _ in range(3000)]
+
+
+def test_sentencepiece_model_equals_tiktoken(texts, plain):
+    own = bpe.ByteBpe(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN)
+    for a in range(0, len(texts), 500):  # the cache is warm for later parts
+        for text, ids in zip(texts[a : a + 500], own.encode(texts[a : a + 500])):
+            assert ids.tolist() == plain.encode_ordinary(text), repr(text[:80])
+            assert own.decode(ids.tolist()) == text.encode()
+
+
+def test_chunks_equal_whole_texts(texts, library):
+    own = tokenstore.TokenIds(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read())
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.chunks.encode(texts)] == expected
+
+
+def test_query_7(spark, plain):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rows = op7_bpe(spark, SMALL).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        ids = plain.encode_ordinary(docs[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def test_query_4(spark, library):
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect())
+    rows = sorted(op4_token_store(spark, SMALL).collect())
+    start = 0
+    for (doc_id, text), r in zip(docs, rows, strict=True):
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert tuple(r) == (doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_store_is_content_addressed_and_checked(spark, tmp_path, library):
+    rng = random.Random(3)
+    shared = " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "omega"], k=6000))
+    rows = [(1, f"first {shared}"), (2, f"another start {shared} end"), (2, f"another start {shared} end"), (None, None), (5, ""), (9, "x" * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.lit(1)).repartition(1)
+    store = str(tmp_path / "store")
+    tokenstore.write_store(df, store)
+    recipes, chunks = spark.read.parquet(f"{store}/recipes"), spark.read.parquet(f"{store}/chunks")
+    assert chunks.count() == chunks.select("hash").distinct().count() == recipes.select(F.explode("hashes")).distinct().count()
+    assert chunks.count() < recipes.select(F.explode("hashes")).count() * 0.6
+    got = sorted((r.start, r.doc_id, np.frombuffer(r.payload, "<u2").tolist()) for r in tokenstore.read_ids(spark, store).collect())
+    expected = [[*library.encode(t or "", add_special_tokens=False).ids, 2] for _, t in sorted(rows, key=lambda r: r[0] or 0)]
+    assert [x[2] for x in got] == expected
+    assert tokenstore.broken(spark, store).collect() == []
+    hurt = chunks.withColumn("payload", F.when(F.col("hash") == recipes.filter("doc_id = 1").first().hashes[0], F.unhex(F.lit("0100"))).otherwise(F.col("payload")))
+    rows = hurt.collect()
+    spark.createDataFrame(rows, hurt.schema).write.mode("overwrite").parquet(f"{store}/chunks")
+    assert {r.doc_id for r in tokenstore.broken(spark, store).collect()} >= {1}
+
+
+def test_empty_store(spark, tmp_path):
+    store = str(tmp_path / "store")
+    tokenstore.write_store(spark.createDataFrame([], "doc_id long, text string"), store)
+    assert tokenstore.document_digests(spark, store).collect() == []
+
+
+def test_chunk_ends_depend_on_content_alone():
+    rng = np.random.default_rng(0)
+    body = rng.integers(0, 50_000, 40_000).astype("<u4")
+    a = tokenstore.chunk_ends(body, np.array([len(body)]))
+    moved = np.concatenate([np.arange(777, dtype="<u4"), body])
+    b = tokenstore.chunk_ends(moved, np.array([500, len(moved)])) - 777
+    assert set(a[a > 16]) - set(b) <= {len(body)} and len(a) > 40
+    zeros = np.zeros(20_000, "<u4")
+    assert np.diff(np.r_[0, tokenstore.chunk_ends(zeros, np.array([7, 7, 20_000]))]).max() <= tokenstore.LONGEST
+
+
+def test_crc_of_parts():
+    data = bytes(range(256)) * 20
+    cuts = [0, 4, 1000, 1004, 5000, len(data)]
+    parts = [data[a:b] for a, b in zip(cuts, cuts[1:])]
+    own = tokenstore.crc_before(np.array([zlib.crc32(p) for p in parts], np.uint32), np.array([len(data) - b for b in cuts[1:]]))
+    assert int(np.bitwise_xor.reduce(own)) == zlib.crc32(data)
+
+
+def edited(text, edits):
+    out, at = [], 0
+    for a, b, new in sorted(edits):
+        if 0 <= a <= b <= len(text) and a >= at:
+            out += [text[at:a], new]
+            at = b
+    return "".join([*out, text[at:]])
+
+
+def test_counts_follow_edits(texts, plain):
+    rng = random.Random(9)
+
+    def count(t):
+        return len(plain.encode_ordinary(t))
+
+    for text in texts[:40] + ODD + texts[-400:]:
+        for leaf in (4, 40):
+            short = text[:600]
+            edits = []
+            for _ in range(rng.randint(0, 6)):
+                a = rng.randint(0, len(short))
+                edits.append((a, min(len(short), a + rng.choice([0, 0, 1, 2, 7, 90])), rng.choice(["", " ", "x", " new ", "\n", "abc def"])))
+            counted = tokencount.CountedText(short, count, leaf)
+            assert counted.tree.total() == count(short)
+            counted.edit(edits)
+            assert counted.tree.total() == count(edited(short, edits)), (short, edits, leaf)
+
+
+def test_only_touched_regions_are_encoded_again(plain):
+    text = "some words here " * 2000
+    counted = tokencount.CountedText(text, lambda t: len(plain.encode_ordinary(t)))
+    n, again = counted.edit([(100, 104, "X"), (20_000, 20_000, "inserted ")])
+    assert n == 2 and again < 4 * tokencount.LEAF
+
+
+def test_query_6(spark, plain):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rows = op6_token_counts(spark, SMALL).collect()
+    assert len(rows) == len(docs) and sum(r.n_edits for r in rows) > 0
+    for r in rows:
+        text = docs[r.doc_id]
+        assert r.n_tokens == len(plain.encode_ordinary(text))
+        assert r.n_tokens_edited == len(plain.encode_ordinary(edited(text, tokencount.curation_edits(text))))
+
+
+def test_edge_cases(spark, plain):
+    rows = [(1, "a b c", [(0, 1, "zz"), (99, 100, "no"), (0, 3, "no")]), (None, None, None), (1, "", [(0, 0, "new")]), (1, "", [(0, 0, None)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, e array<struct<start: int, end: int, text: string>>").withColumn("n_tokens", F.lit("x"))
+    got = [tuple(r)[1:] for r in tokencount.count_tokens(df, edits="e").collect()]
+    assert got[0] == (3, 1, 1, len(plain.encode_ordinary("zz b c")), 6) and got[1][:4] == (0, 1, 0, 0) and got[2][3] == 1 and got[3][3] == 0
+    both = bpe.encode_decode(df, outputs=("n_tokens", "ids", "decoded")).collect()
+    assert [bytes(r.decoded) for r in both] == [b"a b c", b"", b"", b""] and both[0].ids == plain.encode_ordinary("a b c")
+    assert bpe.encode_decode(df.limit(0)).collect() == [] and tokencount.count_tokens(df.limit(0)).collect() == []
