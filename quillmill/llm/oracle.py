@@ -2,6 +2,22 @@
 
 from __future__ import annotations
 
+TOPK = """
+WITH v AS (
+    SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.n AS query_row, q.vec_id AS query_id, c.vec_id, c.n,
+           CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON c.n <> q.n
+    WHERE q.vec_id % 100 = 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id, n) AS r FROM scored
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_topk": TOPK}

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import mixing, sharding, simhash
+from quillmill.llm import bpe, langid, mixing, quality, secrets, sharding, simhash, tokencount, tokenstore, topk
 from quillmill.llm.common import materialize, scratch_path, word_count
 
 
@@ -51,9 +51,52 @@ def op3_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFram
     )
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_sharding)}
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded into a content-addressed store, and what its files say of each."""
+    store = scratch_path(spark, "token-store")
+    tokenstore.write_store(documents(spark, sf_dir), store)
+    return tokenstore.document_digests(spark, store)
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    """The rows that the language model must not learn from; a null id is not one of them."""
+    return F.crc32(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "UTF-8")) % 3 == 1
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learnt from those that are not held out."""
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.filter(~held_out()).select(F.col("doc_id").alias("id"), "text", "lang"))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after curation edits; only what edits touch is encoded again."""
+    return tokencount.count_tokens(documents(spark, sf_dir))
+
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and their decoding for all documents, as digests."""
+    return bpe.encode_decode(documents(spark, sf_dir), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents by the base rules and the added ones."""
+    return secrets.digests(documents(spark, sf_dir))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of all documents, with cutoffs certified on the labels."""
+    return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten rows of highest product for each vector whose id is divisible by 100."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", topk.quantized(F.col("embedding")).alias("v"))
+    return topk.top_k(rows, F.col("vec_id") % 100 == 0)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    named = (op1_simhash, op2_mixing, op3_sharding, op4_token_store, op5_langid, op6_token_counts, op7_bpe, op8_secrets, op9_quality, op10_topk)
+    return {f.__name__: f for f in named}
