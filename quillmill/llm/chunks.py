@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import filterfalse
 from pathlib import Path
 
 from pyspark import Broadcast
@@ -18,7 +19,7 @@ from pyspark.sql import SparkSession
 
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Chunks in each of the two generations of a cache, and characters of text taken at once.
-CACHED, AT_ONCE = 250_000, 4_000_000
+CACHED, AT_ONCE = 400_000, 4_000_000
 
 _built: dict[tuple[object, ...], object] = {}
 
@@ -68,8 +69,7 @@ class ChunkEncoder:
         split = [text.split(" ") for text in texts]
         fresh: set[str] = set()
         for parts in split:
-            fresh.update(parts)
-        fresh -= known.keys()
+            fresh.update(filterfalse(known.__contains__, parts))
         open_ended = {c for c in fresh if _open_ended(c)}
         fresh -= open_ended
         rare: dict[str, bytes] = {}  # open-ended chunks stand at a text's end only, and are not kept

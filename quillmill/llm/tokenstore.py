@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
+from quillmill.llm.bpe import byte_characters
 from quillmill.llm.chunks import ChunkEncoder, once, ship, slices
 from quillmill.llm.common import by_arrow, discard, materialize, texts_of
 
@@ -60,20 +62,51 @@ def chunk_ends(ids: np.ndarray, doc_ends: np.ndarray, mean: int = MEAN, longest:
     return ends
 
 
+#: ASCII marks that may end a word; runs of them are a pre-token of their own.
+MARKS = ".,;:!?|&$%#*()[]{}<>\"'-_/\\+=@~^`"
+
+
 class TokenIds:
-    """Ids of the tokenizers library, as little-endian unsigned 32-bit integers."""
+    """Ids of the tokenizers library, as little-endian unsigned 32-bit integers.
+
+    A chunk of Latin letters is one pre-token, which the library's BPE model takes as it is;
+    marks at its end are the next.
+    """
 
     def __init__(self, data: bytes) -> None:
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.mapped = dict(enumerate(byte_characters()))
+        self.marks: dict[str, bytes] = {"": b""}
         self.chunks = ChunkEncoder(self._encode_chunks)
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        if not chunks:
+        out: list[bytes] = [b""] * len(chunks)
+        words: dict[str, bytes] = {}
+        others, model, mapped = [], self.tokenizer.model.tokenize, self.mapped
+        for i, chunk in enumerate(chunks):
+            word = chunk.rstrip(MARKS)
+            if not (word[:1] == " " and word[1:].isalpha() and (word.isascii() or max(word) < "\u0250")):
+                others.append(i)
+                continue
+            if (code := words.get(word)) is None:
+                pieces = model(word.encode().decode("latin-1").translate(mapped))
+                code = words[word] = array("I", [t.id for t in pieces]).tobytes()
+            marks = chunk[len(word) :]
+            if marks not in self.marks:
+                self.marks[marks] = self._codes(self.tokenizer, [marks])[0]
+            out[i] = code + self.marks[marks]
+        for i, code in zip(others, self._codes(self.tokenizer, [chunks[i] for i in others])):
+            out[i] = code
+        return out
+
+    @staticmethod
+    def _codes(tokenizer: Tokenizer, pieces: list[str]) -> list[bytes]:
+        if not pieces:
             return []
-        found = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+        found = tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
         ids, words = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
-        cuts = (np.searchsorted(words, np.arange(len(chunks) + 1)) * 4).tolist()
+        cuts = (np.searchsorted(words, np.arange(len(pieces) + 1)) * 4).tolist()
         data = ids.tobytes()
         return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
