@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from quillmill.llm.chunks import ChunkEncoder, once, ship, slices
 from quillmill.llm.common import by_arrow, texts_of
 
+#: Chunks in a generation of the cache; other encoders may share the worker's memory.
+CACHED = 100_000
 #: Columns that can be asked for, with their types.
 OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
 
@@ -83,7 +85,7 @@ class ByteBpe:
         # white space as Unicode has it, without the four separators that Python adds
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.mapped = dict(enumerate(byte_characters()))
-        self.chunks = ChunkEncoder(self._encode_chunks)
+        self.chunks = ChunkEncoder(self._encode_chunks, CACHED)
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
         split = [self.pattern.findall(c) for c in chunks]

@@ -28,7 +28,7 @@ BITS = {2: 13, 3: 16}
 #: Cost of changing the language between two words, in nats.
 PENALTY = 12.0
 #: Characters scored at once, and words x languages decoded at once.
-AT_ONCE, CELLS = 1_000_000, 16_000_000
+AT_ONCE, CELLS = 500_000, 8_000_000
 UNDETERMINED = "und"
 #: First and last code point of scripts; other letters count as Latin.
 SCRIPTS = (
@@ -193,17 +193,18 @@ def identify_texts(texts: list[str], model: Model, penalty: float = PENALTY, spa
     if not n_langs:
         return langs, shares, found
     for a, b in _blocks(texts, max(AT_ONCE, CELLS // n_langs * 4)):
-        parts = [(a + i, words_of(texts[a + i : a + j])) for i, j in _blocks(texts[a:b], AT_ONCE)]
-        scores = np.concatenate([scores_of(w, model) for _, w in parts])
-        doc = np.concatenate([w.doc + at - a for at, w in parts])
-        lengths = np.concatenate([w.lengths for _, w in parts])
+        parts = []  # without the n-grams, which are by far the largest
+        for i, j in _blocks(texts[a:b], AT_ONCE):
+            w = words_of(texts[a + i : a + j])
+            parts.append((scores_of(w, model), (w.doc + i).astype(np.int32), w.lengths.astype(np.int32), (w.starts - w.begins[w.doc]).astype(np.int32) if spans else None))
+        scores, doc, lengths = (np.concatenate([p[k] for p in parts]) for k in range(3))
         labels = viterbi(scores, np.bincount(doc, minlength=b - a), penalty)
-        letters = np.bincount(doc * n_langs + labels, lengths, minlength=(b - a) * n_langs).reshape(b - a, n_langs)
+        letters = np.bincount(doc.astype(np.int64) * n_langs + labels, lengths, minlength=(b - a) * n_langs).reshape(b - a, n_langs)
         total, best = letters.sum(axis=1), letters.argmax(axis=1)
         for i in np.flatnonzero(total):
             langs[a + i], shares[a + i] = model.languages[best[i]], float(letters[i, best[i]] / total[i])
         if spans:
-            place = np.concatenate([w.starts - w.begins[w.doc] for _, w in parts])
+            place = np.concatenate([p[3] for p in parts])
             new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (labels[1:] != labels[:-1])]) if len(doc) else []
             for k, stop in zip(new, [*new[1:], len(doc)]):
                 found[a + doc[k]].append({"start": int(place[k]), "end": int(place[stop - 1] + lengths[stop - 1]), "lang": model.languages[labels[k]]})
