@@ -296,6 +296,11 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     found = near_duplicates(df.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text")
     keep = materialize(found.filter("id = component_id").groupBy(F.col("id").alias("_key")).count(), "simhash-keep")
     keyed = df.withColumn("_own", key)
-    once = keyed.join(keep.filter("count = 1"), F.col("_own") == F.col("_key"), "left_semi")
-    again = keyed.join(keep.filter("count > 1"), F.col("_own") == F.col("_key"), "left_semi").dropDuplicates(["_own"])
-    return once.unionByName(again).drop("_own")
+
+    def kept(ids: DataFrame) -> DataFrame:  # merged at every size: the ids grow with the documents, so they are never broadcast
+        return keyed.join(ids.hint("shuffle_merge"), F.col("_own") == F.col("_key"), "left_semi")
+
+    repeated = keep.filter("count > 1")
+    if repeated.isEmpty():
+        return kept(keep).drop("_own")
+    return kept(keep.filter("count = 1")).unionByName(kept(repeated).dropDuplicates(["_own"])).drop("_own")
