@@ -42,7 +42,7 @@ def oracle_sql() -> dict[str, str]:
 
 LISTED = "list_filter(list_transform(string_split({}, ','), lambda x: trim(x)), lambda x: x <> '')"
 TYPES = f"CASE WHEN trim(doc_types) = '' THEN {LISTED.format('doc_type')} ELSE {LISTED.format('doc_types')} END"
-TOTALS = f"SELECT trim(target_email) AS target, count_if(success) AS total, count_if(NOT success) AS failed FROM ledger WHERE created_at >= TIMESTAMP '{SINCE}' AND trim(target_email) <> '' GROUP BY 1"
+TOTALS = f"SELECT trim(target_email) AS target, count(*) FILTER (WHERE success) AS total, count(*) FILTER (WHERE NOT success) AS failed FROM ledger WHERE created_at >= TIMESTAMP '{SINCE}' AND trim(target_email) <> '' GROUP BY 1"
 TYPE_COUNTS = f"SELECT target, type, count(*) AS n FROM (SELECT trim(target_email) AS target, unnest(CASE WHEN len({TYPES}) = 0 THEN ['未识别'] ELSE list_distinct({TYPES}) END) AS type FROM ledger WHERE success AND created_at >= TIMESTAMP '{SINCE}' AND trim(target_email) <> '') GROUP BY 1, 2"
 
 
@@ -54,17 +54,17 @@ def target_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.join(reports.target_types(rows, SINCE).drop("note"), "target", "left").select("target", "total", "failed", "type", "n", "share")
 
 
-@query(f"SELECT trim(target_email) AS target, count_if(success) AS total, count_if(NOT success) AS failed, coalesce((min(struct_pack(a := created_at, b := target_name)) FILTER (WHERE trim(target_name) <> '')).b, '') AS name FROM ledger WHERE created_at >= TIMESTAMP '{SINCE}' GROUP BY 1", "ledger")
+@query(f"SELECT trim(target_email) AS target, count(*) FILTER (WHERE success) AS total, count(*) FILTER (WHERE NOT success) AS failed, coalesce((min(struct_pack(a := created_at, b := target_name)) FILTER (WHERE trim(target_name) <> '')).b, '') AS name FROM ledger WHERE created_at >= TIMESTAMP '{SINCE}' GROUP BY 1", "ledger")
 def target_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.target_totals(view(spark, sf_dir, "ledger"), SINCE)
 
 
-@query(f"SELECT count(*) AS processed, count_if(status = 'forwarded') AS forwarded, count_if(status = 'failed') AS failed, count_if(status = 'skipped') AS skipped, count_if(urgency = 'high') AS urgent, count_if(doc_type <> '') AS analyzed FROM mail_log WHERE created_at >= date_trunc('day', TIMESTAMP '{AS_OF}')", "mail_log")
+@query(f"SELECT count(*) AS processed, count(*) FILTER (WHERE status = 'forwarded') AS forwarded, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE urgency = 'high') AS urgent, count(*) FILTER (WHERE doc_type <> '') AS analyzed FROM mail_log WHERE created_at >= date_trunc('day', TIMESTAMP '{AS_OF}')", "mail_log")
 def day_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.day_overview(view(spark, sf_dir, "mail_log"), AS_OF)
 
 
-@query(f"WITH s AS (SELECT count(*) AS total, count_if(status = 'forwarded') AS forwarded, count_if(created_at >= DATE '{AS_OF[:10]}') AS today_total, count_if(status = 'forwarded' AND created_at >= DATE '{AS_OF[:10]}') AS today_forwarded FROM mail_log) SELECT *, printf('%.1f', forwarded * 100.0 / total) || '%' AS rate, printf('%.1f', today_forwarded * 100.0 / today_total) || '%' AS today_rate FROM s", "mail_log")
+@query(f"WITH s AS (SELECT count(*) AS total, count(*) FILTER (WHERE status = 'forwarded') AS forwarded, count(*) FILTER (WHERE created_at >= DATE '{AS_OF[:10]}') AS today_total, count(*) FILTER (WHERE status = 'forwarded' AND created_at >= DATE '{AS_OF[:10]}') AS today_forwarded FROM mail_log) SELECT *, printf('%.1f', forwarded * 100.0 / total) || '%' AS rate, printf('%.1f', today_forwarded * 100.0 / today_total) || '%' AS today_rate FROM s", "mail_log")
 def cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.cumulative(view(spark, sf_dir, "mail_log"), AS_OF)
 
@@ -79,7 +79,7 @@ def report_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.report_cube(view(spark, sf_dir, "mail_log"))
 
 
-@query(f"SELECT a.id, a.name, coalesce(s.today, 0) AS today, s.latest, CASE WHEN s.latest IS NULL THEN '暂无记录' ELSE '' END AS note FROM accounts a LEFT JOIN (SELECT account_id, count_if(created_at >= DATE '{AS_OF[:10]}') AS today, max(created_at) AS latest FROM mail_log GROUP BY 1) s ON s.account_id = a.id WHERE a.enabled", "accounts", "mail_log")
+@query(f"SELECT a.id, a.name, coalesce(s.today, 0) AS today, s.latest, CASE WHEN s.latest IS NULL THEN '暂无记录' ELSE '' END AS note FROM accounts a LEFT JOIN (SELECT account_id, count(*) FILTER (WHERE created_at >= DATE '{AS_OF[:10]}') AS today, max(created_at) AS latest FROM mail_log GROUP BY 1) s ON s.account_id = a.id WHERE a.enabled", "accounts", "mail_log")
 def account_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.account_activity(view(spark, sf_dir, "accounts"), view(spark, sf_dir, "mail_log"), AS_OF)
 
@@ -253,7 +253,7 @@ def group_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text without white space of the pages."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", F.length("html").alias("n_html"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.length(fn.squash_ws(F.col("html"))).alias("n_solid"))
+    return pages.select("page_id", F.length("html").cast("long").alias("n_html"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.length(fn.squash_ws(F.col("html"))).cast("long").alias("n_solid"))
 
 
 @query()
@@ -268,7 +268,7 @@ def attachment_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "attachments").select("id", "filename", fn.archive_kind(F.col("filename")).alias("kind"), fn.extension(F.col("filename")).alias("ext"))
 
 
-@query(f"SELECT CAST(created_at AS DATE) AS day, trim(target_email) AS target, count_if(success) AS total, count_if(NOT success) AS failed FROM ledger GROUP BY 1, 2", "ledger")
+@query(f"SELECT CAST(created_at AS DATE) AS day, trim(target_email) AS target, count(*) FILTER (WHERE success) AS total, count(*) FILTER (WHERE NOT success) AS failed FROM ledger GROUP BY 1, 2", "ledger")
 def daily_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily summaries; the streaming job shares the code (I4)."""
     return polls.daily_targets(view(spark, sf_dir, "ledger"))
