@@ -26,6 +26,8 @@ from quillmill.llm.common import materialize
 MAX_PATTERNS = 100_000
 #: Hash ranges of the seeded order, as a power of two.
 RANGE_BITS = 10
+#: Columns that ``mix`` adds.
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def share_out(sizes: dict[str | None, int], weights: dict[str | None, float], total: float, most: float) -> dict[str | None, float]:
@@ -116,6 +118,7 @@ def mix(df: DataFrame, size: Column, sources: Column, order: Column, weights: di
     default to 1, 2, 3 in cycles, ``total`` to the words of all documents. Rows that agree in
     ``order`` and size are taken or left together, at the seam of the partial pass. Empty
     documents are copied as often as their pattern's whole passes. An empty table gives none.
+    Columns of ``df`` named like the added ones are replaced.
     """
     spark = df.sparkSession
     size = F.coalesce(size, F.lit(0)).cast("long")
@@ -162,7 +165,7 @@ def mix(df: DataFrame, size: Column, sources: Column, order: Column, weights: di
     at_end = (F.col("_mix_bin") == F.col("_mix_end_bin")) & F.coalesce(F.col("_mix_turn") <= F.col("_mix_seam"), F.lit(False))
     extra = F.coalesce((F.col("_mix_rest") > 0) & (before_end | at_end), F.lit(False))
     return joined.select(
-        *[F.col(f"`{c}`") for c in df.columns],
+        *[F.col(f"`{c}`") for c in df.columns if c not in ADDED],
         "mix_size",
         F.col("_mix_source_size").alias("mix_source_size"),
         F.col("_mix_target").alias("mix_target"),

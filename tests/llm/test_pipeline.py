@@ -55,3 +55,14 @@ def test_run_and_empty_table(spark, tmp_path):
     assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"] and out.count() > 100
     spark.read.parquet(f"{SMALL}/documents.parquet").filter(F.lit(False)).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_columns_that_clash_pass_through(spark):
+    names = ["lang_pred", "score", "spans", "fp", "id", "component_id", "_own", "_key", "mix_copies", "mix_copy", "mix_size", "_mix_of", "n_tokens", "ids"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(30).select("*", *[F.lit(n).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        rows = out.collect()
+        assert rows
+        if name != "bpe":
+            assert out.columns == docs.columns and all(r[n] == n for r in rows for n in names)
