@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -211,6 +212,17 @@ def identify_texts(texts: list[str], model: Model, penalty: float = PENALTY, spa
     return langs, shares, found
 
 
+def lettered(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text has a letter, as ``words_of`` knows them; a null text has none."""
+
+    @F.pandas_udf("boolean")
+    def any_letter(texts: pd.Series) -> pd.Series:
+        lower, _ = _characters()
+        return texts.map(lambda t: bool(lower[np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), "<u4")].any()))
+
+    return df.filter(any_letter(text_col))
+
+
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = True, penalty: float = PENALTY, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, keep..., lang_pred, score, spans) of each row; spans are code points, end exclusive, of equal labels.
 

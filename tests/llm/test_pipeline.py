@@ -66,3 +66,11 @@ def test_columns_that_clash_pass_through(spark):
         assert rows
         if name != "bpe":
             assert out.columns == docs.columns and all(r[n] == n for r in rows for n in names)
+
+
+def test_unlabelled_corpus_passes_the_language_stage(spark):
+    rows = [(1, "some plain words"), (2, "12 34 !!"), (3, None), (4, ""), (5, "\u65e5\u672c 7"), (6, "7 \u00e9")]
+    for label in (None, "und"):
+        docs = spark.createDataFrame([(i, t, label, "src0", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+        out = corpus_pipeline.identify_language(spark, docs, SMALL)
+        assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 5, 6]
