@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import difflib
 import gzip
 import io
+import random
 import tarfile
 import zipfile
 from email.header import Header
@@ -212,3 +214,33 @@ def test_poll_reads_message_files(spark, tmp_path):
     polls.run_polls(stream, lambda b, _: got.extend(b.select("message_id", "body_text").collect()), str(tmp_path / "check")).awaitTermination(120)
     assert [r.message_id for r in got] == ["<same@x>"]
     assert mail.read_raw_mail(spark, f"{tmp_path}/*.eml").count() == 2
+
+
+def test_long_revisions_are_compared(spark):
+    paragraphs = [f"{i}. paragraph {i * 7919 % 10007} of a long turn, with words enough to be one." for i in range(7000)]
+    whole = " ".join(f"{i:x}" for i in range(95_000))
+    pairs = [
+        (1, paragraphs, "\n\n".join(paragraphs[:1000])),
+        (2, paragraphs, "\n\n".join(p.replace("7 of", "seven of") for p in paragraphs)),
+        (3, [whole], whole[:200_000] + whole[200_300:]),
+    ]
+    assert all(sum(map(len, old)) + len(new) > 400_000 for _, old, new in pairs)
+    rows = revision.diff_pairs(spark.createDataFrame(pairs, "pair_id int, original array<string>, revised string")).collect()
+    assert {r.op for r in rows if r.pair_id == 1} == {"equal", "delete"} and {r.op for r in rows if r.pair_id == 2} == {"equal", "edit"}
+    guard = {r.pair_id: r for r in revision.revision_guard(spark.createDataFrame(rows, "pair_id int, seq int, op string, old_idx int, new_idx int, piece_kind string, text string")).collect()}
+    assert guard[1].deleted == sum(map(len, paragraphs[1000:])) and guard[1].rejected
+    assert guard[2].deleted == sum("7 of" in p for p in paragraphs) and not guard[2].rejected
+    assert guard[3].deleted == 300 and not guard[3].rejected
+
+
+def test_opcodes_are_those_of_difflib():
+    rng = random.Random(5)
+    for _ in range(60):
+        letters = rng.choice(["a", "ab", "abcdefgh "])
+        old = "".join(rng.choice(letters) for _ in range(rng.choice([50, 200, 500])))
+        new = old
+        for _ in range(rng.choice([0, 2, 40])):
+            p = rng.randrange(len(new) + 1)
+            new = new[:p] + rng.choice(["", "x", "ab" * 3]) + new[p + rng.choice([0, 1, 9]) :]
+        for a, b in ((old, new), (list(old), list(new)), (old, new[::-1])):
+            assert revision.opcodes(a, b) == difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
