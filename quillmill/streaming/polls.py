@@ -55,17 +55,26 @@ def fold(failures: list[float], now: float, ok: bool, window_s: int, limit: int)
 
 
 def throttle(attempts: DataFrame, window_s: int = 900, limit: int = 5) -> DataFrame:
-    """(key, ts, blocked, retry_after) of (key, ts, ok) attempts in order, per key."""
+    """(key, ts, blocked, retry_after) of (key, ts, ok) attempts in order, per key.
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        failures: list[float] = []
-        rows = []
-        for key, ts, ok in own.sort_values(["ts", "ok"])[["key", "ts", "ok"]].itertuples(index=False):
-            failures, blocked, wait = fold(failures, ts.timestamp(), bool(ok), window_s, limit)
-            rows.append((key, ts, blocked, wait))
-        return pd.DataFrame(rows, columns=["key", "ts", "blocked", "retry_after"])
+    Keys are sorted within their partition, which can spill, and folded batch by batch: only the
+    current key and its few live failures are held, however many attempts a key has.
+    """
 
-    return attempts.groupBy("key").applyInPandas(run, THROTTLE)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        failures: list[float] = []
+        started, current = False, None
+        for batch in batches:
+            rows = []
+            for key, ts, ok in batch[["key", "ts", "ok"]].itertuples(index=False):
+                if not started or not (key == current or (pd.isna(key) and pd.isna(current))):
+                    started, current, failures = True, key, []
+                failures, blocked, wait = fold(failures, ts.timestamp(), bool(ok), window_s, limit)
+                rows.append((key, ts, blocked, wait))
+            yield pd.DataFrame(rows, columns=["key", "ts", "blocked", "retry_after"])
+
+    ordered = attempts.select("key", "ts", "ok").repartition("key").sortWithinPartitions("key", F.asc_nulls_last("ts"), F.asc_nulls_last("ok"))
+    return ordered.mapInPandas(run, THROTTLE)
 
 
 def throttle_stream(attempts: DataFrame, window_s: int = 900, limit: int = 5) -> DataFrame:

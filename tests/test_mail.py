@@ -9,6 +9,7 @@ import zipfile
 from email.header import Header
 from email.message import EmailMessage
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,3 +245,20 @@ def test_opcodes_are_those_of_difflib():
             new = new[:p] + rng.choice(["", "x", "ab" * 3]) + new[p + rng.choice([0, 1, 9]) :]
         for a, b in ((old, new), (list(old), list(new)), (old, new[::-1])):
             assert revision.opcodes(a, b) == difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+
+
+def test_throttle_streams_a_hot_key(spark):
+    rng = random.Random(3)
+    events = [(rng.choice(["hot", "hot", "a", "b", None]), pd.Timestamp(rng.randrange(40_000), unit="s").to_pydatetime(), rng.random() < 0.1) for _ in range(3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = polls.throttle(spark.createDataFrame(events, "key string, ts timestamp, ok boolean"))
+        assert "InPandas" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "FlatMapGroupsInPandas" not in plan
+        rows = sorted(map(tuple, found.collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected, failures = [], {}
+    for key, ts, ok in sorted(events, key=lambda e: (e[1], e[2])):
+        failures[key], blocked, wait = polls.fold(failures.get(key, []), pd.Timestamp(ts).timestamp(), ok, 900, 5)
+        expected.append((key, ts, blocked, wait))
+    assert rows == sorted(expected, key=str) and any(r[2] for r in rows)
