@@ -1,13 +1,16 @@
 """Quality rules with risk-controlled thresholds (operator 9); DataFrame functions only.
 
-Per stratum and rule, a cutoff is certified if the share of good documents that it rejects is
-shown to be under the rule's share of ``ALPHA``: the exact binomial probability of seeing so few
-false rejections among the labelled good documents, were the share at the limit, must not
-exceed ``DELTA`` divided by strata and rules (Bonferroni). Cutoffs of a rule are tried from the
-laxest on and stop at the first failure, which needs no further correction. The strictest
-certified cutoff holds; without one the rule rejects nothing in that stratum. With probability
+Cutoffs are certified jointly, by a fixed sequence of cutoff vectors per stratum: the rules are
+tightened by one cutoff at a time, in turn, from the laxest on. A vector is certified if the
+share of good documents that any of its rules rejects is shown to be under ``ALPHA``: the exact
+binomial probability of seeing so few false rejections among the labelled good documents, were
+the share at the limit, must not exceed ``DELTA`` divided by the strata (Bonferroni). The
+sequence stops at the first failure, which needs no further correction. The last certified
+vector holds; a rule that it has not reached rejects nothing in that stratum. With probability
 1 - ``DELTA``, all rules together falsely reject at most ``ALPHA`` in every stratum.
 
+A stratum needs ln(``DELTA`` / strata) / ln(1 - ``ALPHA``) good documents for any cutoff: 436 of four strata.
+
 The grids are fixed in advance, so that all labelled rows serve as holdout.
 """
 
@@ -95,21 +98,47 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.when(k > n * p, 1.0).otherwise(total)
 
 
+#: The sequence: (rule, cutoff) that each vector tightens over the one before.
+SEQUENCE: list[tuple[str, float]] = [(rule, float(cutoffs[step])) for step in range(max(len(c) for _, c in RULES.values())) for rule, (_, cutoffs) in RULES.items() if step < len(cutoffs)]
+
+
 def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, rule, cutoff): the strictest certified cutoffs, from measures of labelled good documents.
 
     ``labelled`` has stratum and the measures, a row per good document that the base rules keep.
     """
-    share = alpha / len(RULES)
-    grid = [F.struct(F.lit(rule).alias("rule"), F.lit(step).alias("step"), F.lit(float(cutoff)).alias("cutoff"), (F.expr(value) > F.lit(float(cutoff))).cast("long").alias("over")) for rule, (value, cutoffs) in RULES.items() for step, cutoff in enumerate(cutoffs)]
-    counts = labelled.select("stratum", F.inline(F.array(*grid))).groupBy("stratum", "rule", "step", "cutoff").agg(F.count("*").alias("n"), F.sum("over").alias("k"))
-    strata = F.size(F.collect_set(F.coalesce("stratum", F.lit(""))).over(Window.partitionBy(F.lit(0))))  # over the few counts
-    tested = counts.withColumn("limit", F.lit(delta) / (strata * len(RULES))).withColumn("p", binomial_cdf(F.col("k"), F.col("n"), share))
-    order = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    never = len(SEQUENCE)
+    first = F.least(*[F.when(F.expr(RULES[rule][0]) > F.lit(cutoff), step).otherwise(never) for step, (rule, cutoff) in enumerate(SEQUENCE)])  # the first vector that rejects it
+    stops = labelled.select("stratum", first.alias("stop")).groupBy("stratum", "stop").agg(F.count("*").alias("m"))
+    steps = F.struct(*[F.sum(F.when(F.col("stop") <= step, F.col("m")).otherwise(0)).alias(f"k{step}") for step in range(never)])
+    counts = stops.groupBy("stratum").agg(F.sum("m").alias("n"), steps.alias("k"))
+    strata = F.count("*").over(Window.partitionBy(F.lit(0)))  # over the few counts
+    vectors = [F.struct(F.lit(step).alias("step"), F.lit(rule).alias("rule"), F.lit(cutoff).alias("cutoff"), F.col(f"k.k{step}").alias("k")) for step, (rule, cutoff) in enumerate(SEQUENCE)]
+    tested = counts.withColumn("limit", F.lit(delta) / strata).select("stratum", "n", "limit", F.inline(F.array(*vectors))).withColumn("p", binomial_cdf(F.col("k"), F.col("n"), alpha))
+    order = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     passed = tested.withColumn("passed", F.min((F.col("p") <= F.col("limit")).cast("int")).over(order)).filter("passed = 1")
     return passed.groupBy("stratum", "rule").agg(F.min_by("cutoff", -F.col("step")).alias("cutoff"))
 
 
+def active_cutoffs(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, n_good, n_active) of each stratum of ``docs``: good labels that count, and rules with a certified cutoff."""
+    measures = _measured(docs, id_col, text_col, stratum_col)
+    good = _good(measures, labels, id_col)
+    active = certified_cutoffs(good, alpha, delta).groupBy("stratum").agg(F.count("*").alias("n_active"))
+    counted = measures.select("stratum").distinct().join(good.groupBy("stratum").agg(F.count("*").alias("n_good")), "stratum", "left").join(active, "stratum", "left")
+    return counted.select("stratum", F.coalesce("n_good", F.lit(0)).alias("n_good"), F.coalesce("n_active", F.lit(0)).alias("n_active"))
+
+
+def _measured(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
+    narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.col(text_col).alias("text"))
+    return materialize(with_measures(narrow).drop("text").withColumn("base_failed", base_failed()), "quality")
+
+
+def _good(measures: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
+    good = labels.filter("quality = 1").select(F.col(id_col).alias("id")).distinct()
+    return measures.filter(~F.col("base_failed")).join(good, "id")
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(id, measures, base_failed, kept) of each row of ``docs``; ``labels`` has the id and quality 0 or 1.
 
@@ -117,10 +146,8 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     repeat an id are judged each. A null stratum is one of its own. Without labels the base
     rules alone decide.
     """
-    narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.col(text_col).alias("text"))
-    measures = materialize(with_measures(narrow).drop("text").withColumn("base_failed", base_failed()), "quality")
-    good = labels.filter("quality = 1").select(F.col(id_col).alias("id")).distinct()
-    cutoffs = certified_cutoffs(measures.filter(~F.col("base_failed")).join(good, "id"), alpha, delta)
+    measures = _measured(docs, id_col, text_col, stratum_col)
+    cutoffs = certified_cutoffs(_good(measures, labels, id_col), alpha, delta)
     by_stratum = materialize(cutoffs.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff")), "quality-cutoffs")
     joined = measures.join(by_stratum, "stratum", "left")
     over = F.lit(False)

@@ -68,3 +68,20 @@ def test_edge_cases(spark):
     assert sorted(map(plain, (t or "" for t in texts))) == sorted((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows)
     assert quality.judge(df.limit(0), labels).collect() == []
     assert len(quality.judge(df, labels.limit(0)).collect()) == len(texts)
+
+
+def test_joint_certificate_with_few_labels(spark):
+    clean = " ".join(f"word{i}" for i in range(60))
+    marked = " ".join(f"word{i}###" for i in range(60))
+    docs, labels = [], []
+    for s, (stratum, n_good) in enumerate([("a", 437), ("b", 436), ("c", 700), ("d", 10)]):  # 0.99 ** 437 <= 0.05 / 4 < 0.99 ** 436
+        texts = [clean] * n_good + [marked] * 5
+        if stratum == "c":  # one false rejection in 700 still is certified, 0.99 ** 700 * (1 + 700 / 99) <= 0.05 / 4
+            texts[0] = marked
+        docs += [(1000 * s + i, t, stratum) for i, t in enumerate(texts)]
+        labels += [(1000 * s + i, int(i < n_good)) for i in range(len(texts))]
+    tables = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    kept = {(r.lang, r.text == clean): r.n for r in quality.judge(*tables).join(tables[0], "doc_id").filter("kept").groupBy("lang", "text").agg(F.count("*").alias("n")).collect()}
+    assert kept == {("a", True): 437, ("b", True): 436, ("b", False): 5, ("c", True): 699, ("d", True): 10, ("d", False): 5}
+    active = {r.stratum: (r.n_good, r.n_active > 0) for r in quality.active_cutoffs(*tables).collect()}
+    assert active == {"a": (437, True), "b": (436, False), "c": (700, True), "d": (10, False)}
