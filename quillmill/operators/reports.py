@@ -94,8 +94,7 @@ def search_log(log: DataFrame, status: str | None = None, keyword: str | None =
     """Rows of a status with a keyword in subject, sender or summary; % and _ stay wildcards."""
     out = log.filter(F.col("status") == status) if status else log
     if keyword:
-        like = F.lit(f"%{keyword}%")
-        hit = [F.coalesce(F.col(c).ilike(f"%{keyword}%"), F.lit(False)) for c in ("subject", "sender", "case_summary")] if like is not None else []
+        hit = [F.coalesce(F.col(c).ilike(f"%{keyword}%"), F.lit(False)) for c in ("subject", "sender", "case_summary")]
         out = out.filter(hit[0] | hit[1] | hit[2])
     return out
 
@@ -103,8 +102,7 @@ def search_log(log: DataFrame, status: str | None = None, keyword: str | None =
 def date_range(df: DataFrame, start: str | None, end: str | None, column: str = "created_at") -> DataFrame:
     """Rows from the start of one day to 23:59:59 of another; bounds that aren't dates are ignored."""
     c = F.col(column)
-    low = F.expr("try_cast({} as date)".format(repr(start))) if start else F.lit(None).cast("date")
-    high = F.expr("try_cast({} as date)".format(repr(end))) if end else F.lit(None).cast("date")
+    low, high = (F.lit(x or None).cast("string").try_cast("date") for x in (start, end))
     after = low.isNull() | (c >= low.cast("timestamp_ntz"))
     before = high.isNull() | (c <= high.cast("timestamp_ntz") + F.expr("interval '23:59:59' hour to second"))
     return df.filter(after & before)

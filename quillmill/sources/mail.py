@@ -20,10 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmill.functions.names import fresh
 from quillmill.functions.text import extension, py_strip, safe_component
 
 LARGEST = 50 * 1024 * 1024
-KEPT_HEADERS = ("x-forwarded-by", "delivered-to", "x-original-to", "reply-to")
+#: Headers that tell forwarded copies and bulk mail.
+KEPT_HEADERS = ("x-forwarded-by", "x-forwarded-for", "list-id", "precedence")
 NAMELESS = "unnamed_attachment"
 MAIL = "message_id string, subject string, sender string, recipient string, received_at timestamp_ntz, body_text string, headers map<string, string>, attachments array<struct<filename: string, content: binary, content_type: string>>"
 
@@ -114,8 +116,11 @@ def attachments_of(message: Message) -> list[dict[str, object]]:
     return out
 
 
-def parse_mail(raw: DataFrame, as_of: str) -> DataFrame:
-    """Mails of raw (path, content) rows, with raw_id for messages without an id; unreadable ones go."""
+def parse_or_reject(raw: DataFrame, as_of: str) -> DataFrame:
+    """(path, mail columns, error) of raw (path, content) rows; a message that can't be read only has path and error.
+
+    A message without an id gets one from its content, one without a date the time ``as_of``.
+    """
     columns = [c.split()[0] for c in re.split(r", (?=\w+ (?:string|timestamp|map|array))", MAIL)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,14 +136,24 @@ def parse_mail(raw: DataFrame, as_of: str) -> DataFrame:
                         when = when.astimezone(timezone.utc).replace(tzinfo=None) if when.tzinfo else when
                     except (TypeError, ValueError, IndexError):
                         when = pd.Timestamp(as_of).to_pydatetime()
-                    headers = {k.lower(): str(v) for k, v in m.items() if k.lower() in KEPT_HEADERS}
-                    rows.append((path, str(m["Message-ID"] or "").strip() or synth, decoded(m["Subject"]), decoded(m["From"]), recipient, when, body_of(m), headers, attachments_of(m)))
-                except (UnicodeError, ValueError, LookupError, AttributeError):
-                    continue
-            yield pd.DataFrame(rows, columns=["path", *columns])
+                    headers = {k: str(m[k]) for k in KEPT_HEADERS if m[k]}
+                    rows.append((path, str(m["Message-ID"] or "").strip() or synth, decoded(m["Subject"]), decoded(m["From"]), recipient, when, body_of(m), headers, attachments_of(m), None))
+                except (UnicodeError, ValueError, LookupError, AttributeError, TypeError) as error:
+                    rows.append((path, *[None] * len(columns), f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["path", *columns, "error"])
 
     ready = raw.select("path", F.concat(F.lit("synth-"), F.sha2("content", 256)).alias("synth"), "content")
-    return ready.mapInPandas(run, f"path string, {MAIL}")
+    return ready.mapInPandas(run, f"path string, {MAIL}, error string")
+
+
+def parse_mail(raw: DataFrame, as_of: str) -> DataFrame:
+    """The messages of ``parse_or_reject`` that can be read."""
+    return parse_or_reject(raw, as_of).filter("error is null").drop("error")
+
+
+def rejects(parsed: DataFrame) -> DataFrame:
+    """(path, error) of the messages of ``parse_or_reject`` that can't be read: for the reject table."""
+    return parsed.filter("error is not null").select("path", "error")
 
 
 def explode_attachments(mails: DataFrame) -> DataFrame:
@@ -150,11 +165,12 @@ def filter_senders(mails: DataFrame, accounts: DataFrame, shared: list[str]) ->
     """Mails whose sender holds none of the account's or the shared entries; mails without an account only meet the shared ones."""
     clean = [x.strip().lower() for x in shared if x.strip()]
     entries = F.array_union(F.filter(F.transform(F.split(F.coalesce("filter_sender", F.lit("")), ","), lambda x: F.lower(py_strip(x))), lambda x: x != ""), F.array(*map(F.lit, clean)).cast("array<string>"))
-    own = accounts.select(F.col("id").alias("account_id"), entries.alias("_deny"))
+    own_deny = fresh(mails, "deny")
+    own = accounts.select(F.col("id").alias("account_id"), entries.alias(own_deny))
     joined = mails.join(own, "account_id", "left")
-    deny = F.coalesce("_deny", F.array(*map(F.lit, clean)).cast("array<string>"))
+    deny = F.coalesce(own_deny, F.array(*map(F.lit, clean)).cast("array<string>"))
     sender = F.lower(F.coalesce("sender", F.lit("")))
-    return joined.filter(~F.exists(deny, lambda x: F.contains(sender, x))).drop("_deny")
+    return joined.filter(~F.exists(deny, lambda x: F.contains(sender, x))).drop(own_deny)
 
 
 def within_lookback(mails: DataFrame, as_of: str, days: int = 7, column: str = "received_at") -> DataFrame:
@@ -174,7 +190,8 @@ def dedup_batch(mails: DataFrame, order: list[str]) -> DataFrame:
     """The first mail of each message id; blank ids are no duplicates of each other."""
     keyed = F.coalesce(F.col("message_id") != "", F.lit(False))
     rank = F.row_number().over(Window.partitionBy("message_id").orderBy(*order))
-    return mails.filter(keyed).withColumn("_n", rank).filter("_n = 1").drop("_n").unionByName(mails.filter(~keyed))
+    n = fresh(mails, "n")
+    return mails.filter(keyed).withColumn(n, rank).filter(F.col(n) == 1).drop(n).unionByName(mails.filter(~keyed))
 
 
 def drop_known(mails: DataFrame, log: DataFrame) -> DataFrame:
@@ -186,8 +203,13 @@ def with_preview(mails: DataFrame, n: int = 500) -> DataFrame:
 
 
 def newest_per_account(mails: DataFrame, n: int = 200) -> DataFrame:
-    order = Window.partitionBy("account_id").orderBy(F.desc("received_at"), "message_id")
-    return mails.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
+    order, place = Window.partitionBy("account_id").orderBy(F.desc("received_at"), "message_id"), fresh(mails, "place")
+    return mails.withColumn(place, F.row_number().over(order)).filter(F.col(place) <= n).drop(place)
+
+
+def first_images(images: Column, most: int = 5) -> Column:
+    """The images of one model request: the first of an array."""
+    return F.slice(images, 1, most)
 
 
 def docx_text(content: bytes) -> str:
@@ -233,7 +255,8 @@ def dedupe_names(df: DataFrame, scope: list[str], name: str, order: list[str]) -
 
 def storage_path(attachments: DataFrame, root: str = "attachments") -> DataFrame:
     """``attachments`` (account, received_at, filename, ...) with path: account, day, name without collisions."""
-    day = F.coalesce(F.date_format("received_at", "yyyy-MM-dd"), F.lit("unknown"))
-    shaped = attachments.withColumns({"_account": safe_component(F.col("account")), "_day": day, "_name": safe_component(F.col("filename"))})
-    named = dedupe_names(shaped, ["_account", "_day"], "_name", ["mail_id", "att_idx"])
-    return named.withColumn("path", F.concat_ws("/", F.lit(root), "_account", "_day", "_name")).drop("_account", "_day", "_name")
+    account, day, name = (fresh(attachments, x) for x in ("safe_account", "day", "safe_name"))
+    shown = F.coalesce(F.date_format("received_at", "yyyy-MM-dd"), F.lit("unknown"))
+    shaped = attachments.withColumns({account: safe_component(F.col("account")), day: shown, name: safe_component(F.col("filename"))})
+    named = dedupe_names(shaped, [account, day], name, ["mail_id", "att_idx"])
+    return named.withColumn("path", F.concat_ws("/", F.lit(root), account, day, name)).drop(account, day, name)

@@ -134,22 +134,56 @@ def test_groups_prompts_and_stages(spark):
 
 
 def test_capabilities(spark, tmp_path):
-    for name, text in (("合同", "---\n能力: 修订 #审查\n---\nbody"), ("起诉状", "no header"), ("非法律文书", "x")):
+    for name, text in (("合同", "---\ncaps: 修订 #审查\n---\nbody"), ("起诉状", "no header"), ("非法律文书", "x")):
         (tmp_path / f"{name}.md").write_text(text)
     assert [(r.doc_type, r.caps, r.ord) for r in modelio.capability_dim(spark, str(tmp_path)).orderBy("ord").collect()] == [("合同", ["修订", "审查"], 0), ("起诉状", [], 1), ("其他法律文书", [], 2), ("非法律文书", [], 3)]
 
 
-def test_revision():
-    parse = revision.parse_markers
-    assert parse("a【新增】b【/新增】c") == [("normal", "a"), ("add", "b"), ("normal", "c")] and parse("x【删除】y") == [("normal", "x"), ("delete", "y")]
-    assert parse("【新增】a【/新增】【新增】b【/新增】") == [("add", "ab")] and parse("【新增】a【/删除】b") == [("add", "ab")] and parse("【待确认】") == [("normal", "【待确认】")]
-    assert parse("") == [("normal", "")] and parse("", keep_blank=True) == []
+def cells(spark, column, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", column.alias("v")).orderBy("n").collect()
+    return [r.v for r in rows]
+
+
+def test_marks(spark):
+    texts = ["a【新增】b【/新增】c", "x【删除】y", "【新增】a【/新增】【新增】b【/新增】", "【新增】a【/删除】b", "【待确认】", "", None, "【修改】a【新增】b【/新增】c【/修改】d", " 【新增】 【/新增】z"]
+    found = [[tuple(p) for p in x] for x in cells(spark, revision.parse_markers(F.col("t")), texts)]
+    assert found == [
+        [("normal", "a"), ("add", "b"), ("normal", "c")], [("normal", "x"), ("delete", "y")], [("add", "ab")], [("add", "ab")], [("normal", "【待确认】")],
+        [("normal", "")], [("normal", "")], [("modify", "a"), ("add", "b"), ("modify", "c"), ("normal", "d")], [("normal", "z")],
+    ]
+    kept = [[tuple(p) for p in x] for x in cells(spark, revision.parse_markers(F.col("t"), keep_blank=True), ["", " 【新增】 【/新增】z"])]
+    assert kept == [[], [("normal", " "), ("add", " "), ("normal", "z")]]
+
+
+@pytest.mark.parametrize(("feature", "yes", "no"), [
+    ("clause", "第三十条 甲方", "第三方 甲方"), ("listed", "十二、标题", "十二 标题"), ("bracketed", "（ 12 ）甲", "（甲）12"),
+    ("numbered", "3 . 甲", "3.  "), ("labelled", "工程名称：某某", "一二三四五六七八九十一二三："), ("titled", "天津市", "天津市，"),
+])
+def test_line_features(spark, feature, yes, no):
+    assert cells(spark, revision.LINE_FEATURES[feature](F.col("t")), [yes, no]) == [True, False]
+
+
+def test_paragraphs(spark):
+    long = "甲方应当在合理的期限之内向乙方支付全部价款并且承担费用"
+    texts = [
+        "第一条 甲方应当。\n第二条 乙方应当。", f"{long}，\n第二条 承担费用。", f"{long}。\n{long}。", f"{long}。\n\n\n{long}。", f"{long}。\r\n标题\r{long}。", "", " \n ", None,
+    ]
+    assert cells(spark, revision.split_paragraphs(F.col("t")), texts) == [
+        ["第一条 甲方应当。", "第二条 乙方应当。"], [f"{long}，\n第二条 承担费用。"], [f"{long}。\n{long}。"], [f"{long}。", f"{long}。"], [f"{long}。", "标题", f"{long}。"], [], [], [],
+    ]
+    found = cells(spark, revision.revised_paragraphs(F.col("t")), ["工程名称：专项【修改】维修工程【/修改】\n\n【删除】去掉【/删除】【新增】加上【/新增】"])[0]
+    assert [tuple(p) for p in found] == [("modify", "工程名称：专项维修工程", "工程名称：专项维修工程"), ("delete", "去掉加上", "加上")]
+    rows = revision.marked_paragraphs(spark.createDataFrame([(1, "标题\n【新增】加上【/新增】"), (2, None)], "id int, t string"), "id", "t")
+    assert sorted(map(tuple, rows.collect())) == [(1, 0, "normal", "标题"), (1, 1, "add", "加上")]
+
+
+def test_revision(spark):
     assert revision.inline_diff("abcdef", "abXYef") == [("equal", "ab"), ("del", "cd"), ("ins", "XY"), ("equal", "ef")]
     assert revision.inline_diff("a", "a") is None and revision.inline_diff("", "a") is None and revision.inline_diff("abc", "xyz") is None
-    assert len(revision.reflow([("normal", "第一条 甲方应当。\n第二条 乙方应当。")])) == 2 and len(revision.reflow([("normal", "甲方应当在合理的期限之内向乙方支付全部价款，\n并且承担费用。")])) == 1
-    rows = revision.diff_documents(["第一条 期限为30日内支付。", "第二条 不变的条款内容。"], "第一条 期限为【修改】60【/修改】日内支付。\n\n第二条 不变的条款内容。\n\n【新增】第三条 新加的。【/新增】")
-    assert [r[0] for r in rows if r[3] != "equal"] == ["edit", "edit", "insert"] and rows[-2][0] == "equal"
-    assert "".join(t for op, i, _, k, t in rows if i == 0 and k in ("equal", "del")) == "第一条 期限为30日内支付。"
+    pairs = [(1, ["第一条 期限为30日内支付。", "第二条 不变的条款内容。"], "第一条 期限为【修改】60【/修改】日内支付。\n\n第二条 不变的条款内容。\n\n【新增】第三条 新加的。【/新增】")]
+    rows = revision.diff_pairs(spark.createDataFrame(pairs, "pair_id int, original array<string>, revised string")).orderBy("seq").collect()
+    assert [r.op for r in rows if r.piece_kind != "equal"] == ["edit", "edit", "insert"] and rows[-2].op == "equal"
+    assert "".join(r.text for r in rows if r.old_idx == 0 and r.piece_kind in ("equal", "del")) == "第一条 期限为30日内支付。"
 
 
 def test_guard_and_base(spark):
