@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +22,9 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from quillmill.llm.chunks import ChunkEncoder, once, ship, slices
+from quillmill.llm.chunks import ChunkEncoder, once, ship
 from quillmill.llm.common import by_arrow, texts_of
 
-#: Chunks in a generation of the cache; other encoders may share the worker's memory.
-CACHED = 100_000
 #: Columns that can be asked for, with their types.
 OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
 
@@ -85,17 +84,17 @@ class ByteBpe:
         # white space as Unicode has it, without the four separators that Python adds
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.mapped = dict(enumerate(byte_characters()))
-        self.chunks = ChunkEncoder(self._encode_chunks, CACHED)
+        self.chunks = ChunkEncoder(self._code)
 
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        split = [self.pattern.findall(c) for c in chunks]
-        distinct = list({p for parts in split for p in parts})
-        mapped = [p.encode("utf-8", "replace").decode("latin-1").translate(self.mapped) for p in distinct]
-        code = {p: np.array(ids, "<u4").tobytes() for p, ids in zip(distinct, self.pieces.encode(mapped, num_threads=1))}
-        return [b"".join([code[p] for p in parts]) for parts in split]
+    def _code(self, text: str) -> bytes:
+        parts = [text] if text[text[:1] == " " :].isalpha() else self.pattern.findall(text)
+        ids = array("I")
+        for part in parts:
+            ids.extend(self.pieces.EncodeAsIds(part.encode("utf-8", "replace").decode("latin-1").translate(self.mapped)))
+        return ids.tobytes()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, "<u4") for x in self.chunks.encode(texts)]
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.chunks.encode(text), "<u4")
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -114,25 +113,23 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
         bpe = once(("bpe", digest, pattern), lambda: ByteBpe(shipped.value, pattern))
-        texts = texts_of(batch.column(len(passed)))
-        for rows in slices(texts):
-            columns: dict[str, list[object]] = {o: [] for o in outputs}
-            for ids in bpe.encode([texts[i] for i in rows]):
-                listed = ids.tolist()
-                decoded = bpe.decode(listed) if "decoded" in columns or "decoded_sha256" in columns else b""
-                for o, out in columns.items():
-                    if o == "n_tokens":
-                        out.append(len(listed))
-                    elif o == "ids":
-                        out.append(listed)
-                    elif o == "decoded":
-                        out.append(decoded)
-                    elif o == "ids_sha256":
-                        out.append(hashlib.sha256(" ".join(map(str, listed)).encode()).hexdigest())
-                    else:
-                        out.append(hashlib.sha256(decoded).hexdigest())
-            own = batch.take(pa.array(rows))
-            types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.binary()}
-            yield {c: own.column(k) for k, c in enumerate(passed)} | {o: pa.array(v, types.get(o, pa.string())) for o, v in columns.items()}
-
-    return by_arrow(df.select(*[f"`{c}`" for c in passed], f"`{text_col}`"), schema, run)
+        columns: dict[str, list[object]] = {o: [] for o in outputs}
+        for text in texts_of(batch.column(len(passed))):
+            ids = bpe.encode(text)
+            listed = ids.tolist()
+            decoded = bpe.decode(listed) if "decoded" in columns or "decoded_sha256" in columns else b""
+            for o, out in columns.items():
+                if o == "n_tokens":
+                    out.append(len(listed))
+                elif o == "ids":
+                    out.append(ids.view("<i4"))
+                elif o == "decoded":
+                    out.append(decoded)
+                elif o == "ids_sha256":
+                    out.append(hashlib.sha256(" ".join(map(str, listed)).encode()).hexdigest())
+                else:
+                    out.append(hashlib.sha256(decoded).hexdigest())
+        types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.binary()}
+        yield {c: batch.column(k) for k, c in enumerate(passed)} | {o: pa.array(v, types.get(o, pa.string())) for o, v in columns.items()}
+
+    return by_arrow(df.select(*[f"`{c}`" for c in passed], f"`{text_col}`"), schema, run, text=len(passed))

@@ -10,16 +10,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
-from itertools import filterfalse
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: Chunks in each of the two generations of a cache, and characters of text taken at once.
-CACHED, AT_ONCE = 400_000, 4_000_000
+#: Bytes of a cache, what an entry takes besides its characters, and characters of the longest one.
+ROOM, ENTRY, LONGEST = 40_000_000, 200, 200
 
 _built: dict[tuple[object, ...], object] = {}
 
@@ -37,67 +36,56 @@ def once(key: tuple[object, ...], build: Callable[[], object]) -> object:
     return _built[key]
 
 
-def slices(texts: list[str], at_once: int = AT_ONCE) -> Iterator[list[int]]:
-    """Row numbers in runs of about so many characters."""
-    run, held = [], 0
-    for i, text in enumerate(texts):
-        run.append(i)
-        held += len(text)
-        if held >= at_once:
-            yield run
-            run, held = [], 0
-    if run:
-        yield run
+class _OpenEnded(Exception):
+    """A chunk with white space at an end: the text needs more than a split at single spaces."""
 
 
-def _open_ended(chunk: str) -> bool:
-    return not chunk or chunk[0].isspace() or chunk[-1].isspace()
+class _Known(dict[str, bytes]):
+    """Chunk -> code of a space and the chunk; what is missing is encoded.
+
+    About ``room`` bytes are held. Frequent chunks are met early, so a full cache stays as it is;
+    once it has missed three times what it holds, it starts anew.
+    """
+
+    def __init__(self, encode_one: Callable[[str], bytes], room: int) -> None:
+        super().__init__()
+        self.encode_one, self.room = encode_one, room
+        self.held = self.missed = 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise _OpenEnded
+        code = self.encode_one(" " + chunk)
+        if self.held < self.room:
+            if len(chunk) <= LONGEST:
+                self.held += len(chunk) + len(code) + ENTRY
+                self[chunk] = code
+        else:
+            self.missed += 1
+            if self.missed > 3 * len(self):
+                self.clear()
+                self.held = self.missed = 0
+        return code
 
 
 class ChunkEncoder:
-    """``encode_many`` maps chunks to bytes (their ids, say); ``encode`` gives each text's bytes in order."""
-
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], cached: int = CACHED) -> None:
-        self.encode_many, self.cached = encode_many, cached
-        self.known: dict[str, bytes] = {}  # chunk -> code of a space and the chunk
-        self.older: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.cached:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        split = [text.split(" ") for text in texts]
-        fresh: set[str] = set()
-        for parts in split:
-            fresh.update(filterfalse(known.__contains__, parts))
-        open_ended = {c for c in fresh if _open_ended(c)}
-        fresh -= open_ended
-        rare: dict[str, bytes] = {}  # open-ended chunks stand at a text's end only, and are not kept
-        odd = [i for i, parts in enumerate(split) if not open_ended.isdisjoint(parts)] if open_ended else []
-        for i in odd:
-            split[i] = SAFE_SPACE.split(texts[i])
-            for c in split[i]:
-                if _open_ended(c):
-                    rare[c] = b""
-                elif c not in known:
-                    fresh.add(c)
-        missing = []
-        for c in fresh:
-            if (code := older.get(c)) is None:
-                missing.append(c)
-            else:
-                known[c] = code
-        known.update(zip(missing, self.encode_many([" " + c for c in missing])))
-        if rare:
-            rare = dict(zip(rare, self.encode_many([" " + c for c in rare])))
-        bare = list({parts[0] for parts in split})
-        first = dict(zip(bare, self.encode_many(bare)))
-        special = set(odd)
-        out = []
-        for i, parts in enumerate(split):
-            start = first[parts[0]]
-            if i in special:
-                out.append(start + b"".join([rare[c] if c in rare else known[c] for c in parts[1:]]))
-            else:
-                out.append(start + b"".join(map(known.__getitem__, parts[1:])))
-        return out
+    """Each text's bytes (its ids, say), where ``encode_one`` gives those of a part of it."""
+
+    def __init__(self, encode_one: Callable[[str], bytes], room: int = ROOM) -> None:
+        self.encode_one, self.known = encode_one, _Known(encode_one, room)
+
+    def encode(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        if rest and first and first[-1].isspace():
+            return self._spaced(text)
+        try:
+            return self.encode_one(first) + b"".join(map(self.known.__getitem__, rest))
+        except _OpenEnded:
+            return self._spaced(text)
+
+    def _spaced(self, text: str) -> bytes:
+        first, *rest = SAFE_SPACE.split(text)
+        if not rest:
+            return self.encode_one(first)
+        last = rest.pop()
+        return self.encode_one(first) + b"".join(map(self.known.__getitem__, rest)) + self.encode_one(" " + last)

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The same white space, for ``translate``.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
+#: Bytes of text that Python functions take at once.
+AT_ONCE = 2_000_000
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
@@ -58,13 +63,26 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def by_arrow(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], Iterable[dict[str, object]]]) -> DataFrame:
-    """``mapInArrow`` over batches, where ``fn`` yields columns by name in the order of ``schema``."""
+def slices(batch: pa.RecordBatch, column: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of about so many bytes of text, so that Python only holds few texts at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
+    run = (np.cumsum(sizes) - sizes) // at_once
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
+def by_arrow(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], Iterable[dict[str, object]]], text: int | None = None, at_once: int = AT_ONCE) -> DataFrame:
+    """``mapInArrow`` over batches, where ``fn`` yields columns by name in the order of ``schema``.
+
+    With ``text``, the place of a column of texts, ``fn`` gets slices of about ``at_once`` bytes of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                for columns in fn(batch):
-                    yield pa.RecordBatch.from_pydict(columns)
+                for part in [batch] if text is None else slices(batch, text, at_once):
+                    for columns in fn(part):
+                        yield pa.RecordBatch.from_pydict(columns)
 
     return df.mapInArrow(run, schema)

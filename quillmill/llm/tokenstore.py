@@ -2,15 +2,18 @@
 
 A store is a folder of three Parquet tables:
 
-- ``chunks/``: (hash, width, payload), each distinct chunk once; a payload holds little-endian
-  ids of ``width`` bytes, ``hash`` is BLAKE2b of it;
-- ``recipes/``: (row, doc_id, start, n_tokens, hashes, ends, root), files and rows in ascending
+- ``chunks/``: (key, hash, width, payload), each distinct chunk once; a payload holds little-endian
+  ids of ``width`` bytes, ``hash`` is BLAKE2b of it, ``key`` its first bytes;
+- ``recipes/``: (row, rank, doc_id, start, n_tokens, hashes, ends, root), files and rows in ascending
   doc_id order; ``ends`` are the chunk ends in the document, ``root`` hashes the chunk hashes;
 - ``manifest/``: (level, node, hash), a Merkle tree over the roots in that order.
 
 A rolling hash over the last ``WINDOW`` ids cuts each document's stream where its low bits are
 zero, so equal passages give equal chunks wherever they stand. Payloads are shuffled once, on
 their way into the store; equal chunks of one task travel once, however often they occur.
+
+What is read is verified: chunks against their hashes, documents against the ids that their
+recipes count, and all recipes against the manifest. Any difference is an error.
 """
 
 from __future__ import annotations
@@ -23,14 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from quillmill.llm.bpe import byte_characters
-from quillmill.llm.chunks import ChunkEncoder, once, ship, slices
-from quillmill.llm.common import by_arrow, discard, materialize, texts_of
+from quillmill.llm.chunks import ChunkEncoder, once, ship
+from quillmill.llm.common import AT_ONCE, by_arrow, discard, materialize, scratch_path, slices, texts_of
 
 WINDOW, MEAN, LONGEST = 16, 512, 4096
 #: Children of a node of the Merkle tree.
@@ -62,65 +65,86 @@ def chunk_ends(ids: np.ndarray, doc_ends: np.ndarray, mean: int = MEAN, longest:
     return ends
 
 
+#: Bytes of the cache of encoded chunks.
+CACHE_BYTES = 120_000_000
+#: Runs of marks are kept up to this length, which bounds how many there are in practice.
+LONGEST_MARKS = 3
 #: ASCII marks that may end a word; runs of them are a pre-token of their own.
 MARKS = ".,;:!?|&$%#*()[]{}<>\"'-_/\\+=@~^`"
 
 
 class TokenIds:
-    """Ids of the tokenizers library, as little-endian unsigned 32-bit integers.
+    """Ids of the tokenizers library without added special tokens, as little-endian unsigned 32-bit integers.
 
-    A chunk of Latin letters is one pre-token, which the library's BPE model takes as it is;
-    marks at its end are the next.
+    A run of Latin letters, with or without a space before it, is one pre-token, which the
+    library's BPE model takes as it is; marks at its end are the next, and so is a single line
+    feed between two such words. Anything else, strings of special tokens included, goes through
+    the library whole.
     """
 
     def __init__(self, data: bytes) -> None:
         self.tokenizer = Tokenizer.from_str(data.decode())
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.mapped = dict(enumerate(byte_characters()))
-        self.marks: dict[str, bytes] = {"": b""}
-        self.chunks = ChunkEncoder(self._encode_chunks)
-
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(chunks)
-        words: dict[str, bytes] = {}
-        others, model, mapped = [], self.tokenizer.model.tokenize, self.mapped
-        for i, chunk in enumerate(chunks):
-            word = chunk.rstrip(MARKS)
-            if not (word[:1] == " " and word[1:].isalpha() and (word.isascii() or max(word) < "\u0250")):
-                others.append(i)
-                continue
-            if (code := words.get(word)) is None:
-                pieces = model(word.encode().decode("latin-1").translate(mapped))
-                code = words[word] = array("I", [t.id for t in pieces]).tobytes()
-            marks = chunk[len(word) :]
-            if marks not in self.marks:
-                self.marks[marks] = self._codes(self.tokenizer, [marks])[0]
-            out[i] = code + self.marks[marks]
-        for i, code in zip(others, self._codes(self.tokenizer, [chunks[i] for i in others])):
-            out[i] = code
-        return out
-
-    @staticmethod
-    def _codes(tokenizer: Tokenizer, pieces: list[str]) -> list[bytes]:
-        if not pieces:
-            return []
-        found = tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids, words = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
-        cuts = (np.searchsorted(words, np.arange(len(pieces) + 1)) * 4).tolist()
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        self.marks: dict[str, bytes] = {}
+        self.line_feed = self._library("\n")
+        self.chunks = ChunkEncoder(self._code, CACHE_BYTES)
+
+    def encode(self, text: str) -> bytes:
+        return self.chunks.encode(text)
+
+    def _library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _code(self, text: str) -> bytes:
+        if "\n" not in text:
+            return self._word(text) or self._library(text)
+        parts = [self._word(part) for part in text.split("\n")]
+        return self.line_feed.join(parts) if all(parts) else self._library(text)
+
+    def _word(self, text: str) -> bytes:
+        """Ids of letters with marks after them; nothing for any other text."""
+        word = text.rstrip(MARKS)
+        spaced = word[:1] == " "
+        if not (word[1:] if spaced else word).isalpha():
+            return b""
+        if word.isascii():
+            mapped = "\u0120" + word[1:] if spaced else word
+        elif max(word) < "\u0250":
+            mapped = word.encode().decode("latin-1").translate(self.mapped)
+        else:
+            return b""
+        code = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        if len(word) == len(text):
+            return code
+        marks = text[len(word) :]
+        if (after := self.marks.get(marks)) is None:
+            after = self._library(marks)
+            if len(marks) <= LONGEST_MARKS:
+                self.marks[marks] = after
+        return code + after
+
+
+CHUNK = "key long, hash binary, width int, payload binary"
+RECIPE_COLUMNS = ["row", "doc_id", "n_tokens", "hashes", "ends", "root"]
+
+
+def _recipe(id_type: str) -> str:
+    return f"row: bigint, doc_id: {id_type}, n_tokens: bigint, hashes: array<binary>, ends: array<bigint>, root: binary"
 
 
 def _encoded(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int, width: int) -> DataFrame:
     """Rows of both kinds: a recipe for each document, and the chunks, each once per task."""
     digest, shipped = ship(df.sparkSession, path)
     id_type = df.schema[id_col].dataType
-    schema = f"kind string, key long, row long, doc_id {id_type.simpleString()}, n_tokens long, hashes array<binary>, ends array<long>, root binary, hash binary, payload binary"
+    schema = f"kind string, {CHUNK}, recipe struct<{_recipe(id_type.simpleString())}>"
     end = np.uint32(end_id).tobytes()
 
-    def columns(doc_ids: pa.Array, numbers: list[int], codes: list[bytes], seen: set[bytes]) -> Iterator[dict[str, object]]:
+    def columns(doc_ids: pa.Array, numbers: pa.Array, codes: list[bytes], seen: set[bytes]) -> Iterator[dict[str, object]]:
         lengths = np.array([len(x) // 4 + 1 for x in codes], np.int64)
         ids = np.frombuffer(b"".join([x + end for x in codes]), "<u4")
+        if width == 2 and ids.max() >> 16:
+            raise ValueError("ids over 65,535 need a larger vocabulary")
         doc_ends = np.cumsum(lengths)
         ends = chunk_ends(ids, doc_ends)
         data = ids.astype(f"<u{width}").tobytes()
@@ -131,25 +155,25 @@ def _encoded(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int,
         n = len(codes)
         recipe_ends = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ends - np.repeat(doc_ends - lengths, np.diff(cuts)), pa.int64()))
         roots = [hashlib.sha256(b"".join(x)).digest() for x in of_doc]
-        yield {"kind": pa.array(["recipe"] * n), "key": pa.array(numbers, pa.int64()), "row": pa.array(numbers, pa.int64()), "doc_id": doc_ids, "n_tokens": pa.array(lengths), "hashes": pa.array(of_doc, pa.list_(pa.binary())), "ends": recipe_ends, "root": pa.array(roots, pa.binary()), "hash": pa.nulls(n, pa.binary()), "payload": pa.nulls(n, pa.binary())}
+        recipe = pa.StructArray.from_arrays([numbers, doc_ids, pa.array(lengths), pa.array(of_doc, pa.list_(pa.binary())), recipe_ends, pa.array(roots, pa.binary())], RECIPE_COLUMNS)
+        yield {"kind": pa.array(["recipe"] * n), "key": numbers, "hash": pa.nulls(n, pa.binary()), "width": pa.nulls(n, pa.int32()), "payload": pa.nulls(n, pa.binary()), "recipe": recipe}
         fresh = {}
         for i, x in enumerate(hashes):
             if x not in seen:
                 seen.add(x)
                 fresh[x] = i
         m = len(fresh)
-        none = {c: pa.nulls(m, t) for c, t in (("row", pa.int64()), ("doc_id", doc_ids.type), ("n_tokens", pa.int64()), ("hashes", pa.list_(pa.binary())), ("ends", pa.list_(pa.int64())), ("root", pa.binary()))}
+        keys = [int.from_bytes(x[:8], "little", signed=True) for x in fresh]
         payloads = [data[bounds[i] : bounds[i + 1]] for i in fresh.values()]
-        yield {"kind": pa.array(["chunk"] * m), "key": pa.array([int.from_bytes(x[:8], "little", signed=True) for x in fresh], pa.int64())} | none | {"hash": pa.array(list(fresh), pa.binary()), "payload": pa.array(payloads, pa.binary())}
+        yield {"kind": pa.array(["chunk"] * m), "key": pa.array(keys, pa.int64()), "hash": pa.array(list(fresh), pa.binary()), "width": pa.array([width] * m, pa.int32()), "payload": pa.array(payloads, pa.binary()), "recipe": pa.nulls(m, recipe.type)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = once(("ids", digest), lambda: TokenIds(shipped.value))
         seen: set[bytes] = set()
         for batch in batches:
-            texts, numbers = texts_of(batch.column(2)), batch.column(0).to_pylist()
-            for rows in slices(texts, 2_000_000):
-                codes = encoder.chunks.encode([texts[i] for i in rows])
-                for x in columns(batch.column(1).take(pa.array(rows)), [numbers[i] for i in rows], codes, seen):
+            for part in slices(batch, 2, AT_ONCE) if batch.num_rows else ():
+                codes = [encoder.encode(text) for text in texts_of(part.column(2))]
+                for x in columns(part.column(1), part.column(0), codes, seen):
                     yield pa.RecordBatch.from_pydict(x)
 
     source = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -165,11 +189,11 @@ def write_store(df: DataFrame, store: str, id_col: str = "doc_id", text_col: str
     width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
     rows = _encoded(df, id_col, text_col, path or public_tokenizers.path("byte_bpe_50k.json"), end_id, width)
     copy = F.row_number().over(Window.partitionBy("key", "hash").orderBy("kind"))
-    rows.withColumn("copy", copy).filter("copy = 1 or kind = 'recipe'").drop("copy", "key").write.partitionBy("kind").parquet(f"{store}/staged")
-    staged = spark.read.schema(f"row long, doc_id {df.schema[id_col].dataType.simpleString()}, n_tokens long, hashes array<binary>, ends array<long>, root binary, hash binary, payload binary, kind string").parquet(f"{store}/staged")
+    rows.withColumn("copy", copy).filter("copy = 1 or kind = 'recipe'").drop("copy").write.partitionBy("kind").parquet(f"{store}/staged")
+    staged = spark.read.schema(f"recipe struct<{_recipe(df.schema[id_col].dataType.simpleString())}>, kind string").parquet(f"{store}/staged")
     _move(spark, f"{store}/staged/kind=chunk", f"{store}/chunks")
 
-    recipes = staged.filter("kind = 'recipe'").select("row", "doc_id", "n_tokens", "hashes", "ends", "root")
+    recipes = staged.filter("kind = 'recipe'").select("recipe.*")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = recipes.repartitionByRange(parts, "doc_id", "row").withColumn("part", F.spark_partition_id())
     ranged = materialize(ranged, "", f"{store}/ranged")
@@ -181,7 +205,7 @@ def write_store(df: DataFrame, store: str, id_col: str = "doc_id", text_col: str
     placed = ranged.join(F.broadcast(offsets), "part").withColumn("start", start).withColumn("rank", F.col("rows") + F.row_number().over(within) - 1)
     ordered = placed.select("row", "rank", "doc_id", "start", "n_tokens", "hashes", "ends", "root").repartitionByRange(parts, "start").sortWithinPartitions("start")
     ordered.write.parquet(f"{store}/recipes")
-    merkle(spark.read.parquet(f"{store}/recipes")).write.parquet(f"{store}/manifest")
+    merkle(spark.read.parquet(f"{store}/recipes"), f"{store}/manifest")
     for name in ("staged", "ranged"):
         discard(spark, f"{store}/{name}")
 
@@ -192,21 +216,21 @@ def _move(spark: SparkSession, old: str, new: str) -> None:
     if files.exists(a):
         files.rename(a, b)
     else:
-        spark.createDataFrame([], "hash binary, payload binary").write.parquet(new)
+        spark.createDataFrame([], CHUNK).write.parquet(new)
 
 
-def merkle(recipes: DataFrame) -> DataFrame:
-    """(level, node, hash) over (rank, root): each level has a node for ``FAN_OUT`` below it."""
+def merkle(recipes: DataFrame, path: str) -> None:
+    """Write (level, node, hash) over (rank, root): each level has a node for ``FAN_OUT`` below it."""
     level = recipes.select(F.lit(0).alias("level"), F.col("rank").alias("node"), F.col("root").alias("hash"))
-    found, number = None, 0
+    number = 0
     while True:
         number += 1
         ordered = F.transform(F.array_sort(F.collect_list(F.struct("node", F.hex("hash").alias("hash")))), lambda x: x.hash)
         level = level.groupBy(F.floor(F.col("node") / FAN_OUT).alias("parent")).agg(F.unhex(F.sha2(F.array_join(ordered, ""), 256)).alias("hash"))
-        level = materialize(level.select(F.lit(number).alias("level"), F.col("parent").alias("node"), "hash"), "merkle")
-        found = level if found is None else found.unionByName(level)
+        level.select(F.lit(number).alias("level"), F.col("parent").alias("node"), "hash").write.mode("append").parquet(path)
+        level = recipes.sparkSession.read.parquet(path).filter(F.col("level") == number)
         if level.count() <= 1:
-            return found
+            return
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -232,18 +256,18 @@ def crc_before(crcs: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 def read_chunks(spark: SparkSession, store: str) -> DataFrame:
-    """(hash, n, crc) of each stored chunk, the hash taken anew from its payload; crc is of 32-bit ids."""
+    """(hash, n, crc, sound) of each stored chunk; ``sound`` if its payload has that hash, crc is of 32-bit ids."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
-        hashes, counts, crcs = [], [], []
-        for payload in batch.column(0).to_pylist():
-            ids = np.frombuffer(payload, "<u2")
-            hashes.append(hashlib.blake2b(payload, digest_size=16).digest())
+        counts, crcs, sound = [], [], []
+        for own, width, payload in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            ids = np.frombuffer(payload[: len(payload) // width * width], f"<u{width}")
+            sound.append(hashlib.blake2b(payload, digest_size=16).digest() == own)
             counts.append(len(ids))
             crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
-        yield {"hash": pa.array(hashes, pa.binary()), "n": pa.array(counts, pa.int64()), "crc": pa.array(crcs, pa.int64())}
+        yield {"hash": batch.column(0), "n": pa.array(counts, pa.int64()), "crc": pa.array(crcs, pa.int64()), "sound": pa.array(sound)}
 
-    return by_arrow(spark.read.parquet(f"{store}/chunks").select("payload"), "hash binary, n long, crc long", run)
+    return by_arrow(spark.read.parquet(f"{store}/chunks").select("hash", "width", "payload"), "hash binary, n long, crc long, sound boolean", run, text=2)
 
 
 def _pieces(recipes: DataFrame) -> DataFrame:
@@ -253,38 +277,60 @@ def _pieces(recipes: DataFrame) -> DataFrame:
     return pieces.select("row", "doc_id", "start", "n_tokens", "place", F.col("piece.hashes").alias("hash"), (F.col("n_tokens") - F.col("piece.ends")).alias("after"))
 
 
+def _failed(what: str, then: str) -> Column:
+    return F.raise_error(F.concat(F.lit(what), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(then)))
+
+
 def document_digests(spark: SparkSession, store: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document from the files.
 
-    Chunks are checked against their hashes where they are read, and a document's CRC is put
-    together from those of its chunks, so that no payload is shuffled.
+    A document's CRC is put together from those of its chunks, so that no payload is shuffled. A
+    chunk that is missing or damaged, a recipe that counts other ids than its chunks hold, and
+    recipes that don't lead to the manifest raise an error.
     """
+    if not broken_nodes(spark, store).isEmpty():
+        raise ValueError(f"the recipes in {store} don't lead to its manifest")
 
     def shifted(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
-        own = {c: batch.column(i) for i, c in enumerate(("row", "doc_id", "start", "n"))}
-        crc = crc_before(batch.column(4).to_numpy().astype(np.uint32), batch.column(5).to_numpy() * 4)
+        own = {c: batch.column(i) for i, c in enumerate(("row", "doc_id", "start", "said", "n"))}
+        crc = crc_before(batch.column(5).to_numpy().astype(np.uint32), batch.column(6).to_numpy() * 4)
         yield own | {"crc": pa.array(crc.astype(np.int64))}
 
     recipes = spark.read.parquet(f"{store}/recipes")
-    parts = _pieces(recipes).join(read_chunks(spark, store), "hash").select("row", "doc_id", "start", "n", "crc", "after")
+    joined = _pieces(recipes).join(read_chunks(spark, store), "hash", "left")
+    n = F.when(F.col("sound"), F.col("n")).otherwise(_failed("a chunk of document ", " is missing or damaged"))
+    parts = joined.select("row", "doc_id", "start", F.col("n_tokens").alias("said"), n.alias("n"), "crc", "after")
     id_type = recipes.schema["doc_id"].dataType.simpleString()
-    own = by_arrow(parts, f"row long, doc_id {id_type}, start long, n long, crc long", shifted)
-    return own.groupBy("row", "doc_id", "start").agg(F.sum("n").alias("n_tokens"), F.expr("bit_xor(crc)").alias("ids_crc32")).select("doc_id", "start", "n_tokens", "ids_crc32")
+    own = by_arrow(parts, f"row long, doc_id {id_type}, start long, said long, n long, crc long", shifted)
+    sums = own.groupBy("row", "doc_id", "start", "said").agg(F.sum("n").alias("n"), F.expr("bit_xor(crc)").alias("ids_crc32"))
+    counted = F.when(F.col("n") == F.col("said"), F.col("n")).otherwise(_failed("the chunks of document ", " hold another number of ids than its recipe says"))
+    return sums.select("doc_id", "start", counted.alias("n_tokens"), "ids_crc32")
 
 
 def read_ids(spark: SparkSession, store: str) -> DataFrame:
-    """(doc_id, start, payload) with each document's whole stream, rebuilt from its chunks."""
-    pieces = _pieces(spark.read.parquet(f"{store}/recipes")).join(spark.read.parquet(f"{store}/chunks").select("hash", "payload"), "hash")
+    """(doc_id, start, width, payload) with each document's whole stream, rebuilt from its chunks."""
+    pieces = _pieces(spark.read.parquet(f"{store}/recipes")).join(spark.read.parquet(f"{store}/chunks").select("hash", "width", "payload"), "hash")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("place", F.hex("payload").alias("part")))), lambda x: x.part)
-    return pieces.groupBy("row", "doc_id", "start").agg(F.unhex(F.array_join(parts, "")).alias("payload")).drop("row")
+    return pieces.groupBy("row", "doc_id", "start").agg(F.max("width").alias("width"), F.unhex(F.array_join(parts, "")).alias("payload")).drop("row")
+
+
+def broken_nodes(spark: SparkSession, store: str) -> DataFrame:
+    """(level, node) of the manifest that the chunk hashes of the recipes, hashed anew, don't lead to, or that lack."""
+    recipes = spark.read.parquet(f"{store}/recipes")
+    anew = scratch_path(spark, "merkle")
+    merkle(recipes.withColumn("root", F.unhex(F.sha2(F.unhex(F.array_join(F.transform("hashes", F.hex), "")), 256))), anew)
+    found, told = spark.read.parquet(anew), spark.read.parquet(f"{store}/manifest")
+    wrong = found.select("level", "node", F.col("hash").alias("found")).join(told, ["level", "node"], "full_outer")
+    wrong = materialize(wrong.filter(~F.col("found").eqNullSafe(F.col("hash"))).select("level", "node"), "merkle-wrong")
+    discard(spark, anew)
+    return wrong
 
 
 def broken(spark: SparkSession, store: str) -> DataFrame:
     """(rank, doc_id) of documents whose stored chunks don't lead to the manifest's hashes; none in a sound store."""
     recipes = spark.read.parquet(f"{store}/recipes")
-    there = read_chunks(spark, store).select("hash").distinct()
+    there = read_chunks(spark, store).filter("sound").select("hash").distinct()
     lost = _pieces(recipes).join(there, "hash", "left_anti").select("row")
-    anew = merkle(recipes.withColumn("root", F.unhex(F.sha2(F.unhex(F.array_join(F.transform("hashes", F.hex), "")), 256))))
-    wrong = anew.exceptAll(spark.read.parquet(f"{store}/manifest")).filter("level = 1").select("node")
+    wrong = broken_nodes(spark, store).filter("level = 1").select("node")
     first = F.floor(F.col("rank") / FAN_OUT)
     return recipes.join(lost, "row", "left_semi").unionByName(recipes.join(wrong, first == F.col("node"), "left_semi")).select("rank", "doc_id").distinct()

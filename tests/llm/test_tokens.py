@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import shutil
 import time
 import zlib
 
@@ -12,13 +13,14 @@ import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from quillmill.llm import bpe, tokencount, tokenstore
 from quillmill.llm.queries import op4_token_store, op6_token_counts, op7_bpe
 
 SMALL = "/root/testdata/sf0.001"
-ODD = ["", " ", "\n", "  ", "a", " a", "a ", "a  b", "a \n b", "x\n\ny z", "tab\t c", "it's we'll I'D", "<|endoftext|> x", "é ü  z", "\x1c x\x1d y", "日本語 テキスト 123 45", "🙂 🙂🙂", "a" * 3000, "! " * 50, "word 　next", "foo\n bar", "foo \nbar", "end \n", "²³ ½ ٣"]
+ODD = ["", " ", "\n", "  ", "a", " a", "a ", "a  b", "a \n b", "x\n\ny z", "tab\t c", "it's we'll I'D", "<|endoftext|> x", "a <|endoftext|> b", "a<|endoftext|>\n<|endoftext|>b, c <|endoftext|>", "a  <|endoftext|>  b", "<|endoftext", "one.\nTwo,\nthree!?&%\n\nfour\n", "\nfive", "six\n", "it's\n's\nOK ", "a-\nb -\nc", "é ü  z", "\x1c x\x1d y", "日本語 テキスト 123 45", "🙂 🙂🙂", "a" * 3000, "! " * 50, "word 　next", "foo\n bar", "foo \nbar", "end \n", "²³ ½ ٣"]
 
 
 @pytest.fixture(scope="module")
@@ -29,9 +31,7 @@ def plain():
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @pytest.fixture(scope="module")
@@ -44,16 +44,20 @@ def texts(spark):
 
 def test_sentencepiece_model_equals_tiktoken(texts, plain):
     own = bpe.ByteBpe(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN)
-    for a in range(0, len(texts), 500):  # the cache is warm for later parts
-        for text, ids in zip(texts[a : a + 500], own.encode(texts[a : a + 500])):
-            assert ids.tolist() == plain.encode_ordinary(text), repr(text[:80])
-            assert own.decode(ids.tolist()) == text.encode()
+    own.chunks.known.room = 200_000  # the cache is full soon, and starts anew
+    for text in texts:
+        ids = own.encode(text).tolist()
+        assert ids == plain.encode_ordinary(text), repr(text[:80])
+        assert own.decode(ids) == text.encode()
+    assert 0 < own.chunks.known.held < 1_000_000
 
 
 def test_chunks_equal_whole_texts(texts, library):
     own = tokenstore.TokenIds(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read())
     expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in own.chunks.encode(texts)] == expected
+    for text, ids in zip(texts, expected):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == ids, repr(text[:80])
+    assert 50256 in expected[texts.index("a <|endoftext|> b")]
 
 
 def test_query_7(spark, plain):
@@ -94,6 +98,43 @@ def test_store_is_content_addressed_and_checked(spark, tmp_path, library):
     rows = hurt.collect()
     spark.createDataFrame(rows, hurt.schema).write.mode("overwrite").parquet(f"{store}/chunks")
     assert {r.doc_id for r in tokenstore.broken(spark, store).collect()} >= {1}
+    with pytest.raises(Exception, match="missing or damaged"):
+        tokenstore.document_digests(spark, store).collect()
+
+
+def test_lost_chunks_and_altered_recipes_are_errors(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"some words of document {k}") for k in range(50)], "doc_id long, text string")
+    store = str(tmp_path / "store")
+    tokenstore.write_store(docs, store)
+    assert tokenstore.document_digests(spark, store).count() == 50
+    for table, change, what in (("chunks", "n <> 7", "missing or damaged"), ("recipes", "doc_id <> 7", "manifest")):
+        found = spark.read.parquet(f"{store}/{table}")
+        changed = found.withColumn("n", F.row_number().over(Window.orderBy("hash" if table == "chunks" else "doc_id"))).filter(change).drop("n")
+        rows = changed.collect()
+        other = str(tmp_path / table)
+        shutil.copytree(store, other)
+        spark.createDataFrame(rows, changed.schema).write.mode("overwrite").parquet(f"{other}/{table}")
+        with pytest.raises(Exception, match=what):
+            tokenstore.document_digests(spark, other).collect()
+    recipes = spark.read.parquet(f"{store}/recipes").withColumn("n_tokens", F.col("n_tokens") + (F.col("doc_id") == 3).cast("int"))
+    rows = recipes.collect()
+    spark.createDataFrame(rows, recipes.schema).write.mode("overwrite").parquet(f"{store}/recipes")
+    with pytest.raises(Exception, match="another number of ids"):
+        tokenstore.document_digests(spark, store).collect()
+
+
+def test_a_large_vocabulary_takes_32_bits(spark, tmp_path, library):
+    texts = [(1, "a few words"), (2, None), (3, "a <|endoftext|> b")]
+    found = {}
+    for vocabulary in (50_257, 100_000):
+        store = str(tmp_path / f"store{vocabulary}")
+        tokenstore.write_store(spark.createDataFrame(texts, "doc_id long, text string"), store, vocabulary=vocabulary)
+        found[vocabulary] = sorted(tokenstore.document_digests(spark, store).collect())
+        width = spark.read.parquet(f"{store}/chunks").select("width").distinct().collect()
+        assert [r.width for r in width] == [2 if vocabulary == 50_257 else 4]
+    assert found[50_257] == found[100_000]
+    ids = np.array([*library.encode("a <|endoftext|> b", add_special_tokens=False).ids, 2], "<u4")
+    assert found[100_000][2].ids_crc32 == zlib.crc32(ids.tobytes())
 
 
 def test_empty_store(spark, tmp_path):
