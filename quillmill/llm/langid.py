@@ -137,7 +137,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
                     out[name].append(value)
         yield {"lang": pa.array(np.concatenate(out["lang"]), pa.string())} | {c: pa.array(np.concatenate(out[c]), pa.int64()) for c in ("kind", "bucket", "n")}
 
-    counted = by_arrow(labelled.filter(drawn).select("text", "lang"), "lang string, kind long, bucket long, n long", run)
+    counted = by_arrow(labelled.filter(drawn).select("text", "lang"), "lang string, kind long, bucket long, n long", run, text=0, at_once=16_000_000)
     summed = counted.groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(summed["lang"].unique())
     tables = {k: np.full((1 << b, len(languages)), 0.5) for k, b in BITS.items()}
@@ -240,4 +240,4 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         yield own | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64()), "spans": pa.array(found, span)}
 
     schema = f"{kinds}, lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>"
-    return by_arrow(df.select(*[f"`{c}`" for c in passed], f"`{text_col}`"), schema, run)
+    return by_arrow(df.select(*[f"`{c}`" for c in passed], f"`{text_col}`"), schema, run, text=len(passed))

@@ -194,7 +194,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: t
         spans = find_spans(texts_of(batch.column(1)), rules)
         yield {id_col: batch.column(0), "spans": pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in spans], span)}
 
-    return by_arrow(df.select(f"`{id_col}`", f"`{text_col}`"), schema, run)
+    return by_arrow(df.select(f"`{id_col}`", f"`{text_col}`"), schema, run, text=1)
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,7 +211,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         base = [",".join([s for s, (k, _, _) in zip(t, x) if k in kinds]) for t, x in zip(texts, found)]
         yield columns | {"base_sha256": pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base]), "spans": pa.array([",".join(t) for t in texts], pa.string())}
 
-    return by_arrow(df.select(f"`{id_col}`", f"`{text_col}`"), schema, run)
+    return by_arrow(df.select(f"`{id_col}`", f"`{text_col}`"), schema, run, text=1)
 
 
 def redact(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = BASE + ADDED, mask: str = "[secret]") -> DataFrame:
@@ -230,4 +230,4 @@ def redact(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = BASE
             out.append("".join([*parts, text[at:]]) if spans else text)
         yield {c: pa.array(out, pa.string()) if c == text_col else batch.column(i) for i, c in enumerate(names)}
 
-    return by_arrow(df, schema, run)
+    return by_arrow(df, schema, run, text=names.index(text_col))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import discard, materialize, scratch_path
+from quillmill.llm.common import by_arrow, discard, materialize, scratch_path
 
 SHINGLE = 4
 RADIUS = 4
@@ -52,7 +52,7 @@ def shingle_hashes(text: str | None, size: int = SHINGLE) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())]
 
 
-def fingerprint_texts(texts: list[str | None], size: int = SHINGLE, at_once: int = 1 << 18) -> np.ndarray:
+def fingerprint_texts(texts: list[str | None], size: int = SHINGLE, at_once: int = 1 << 14) -> np.ndarray:
     """Fingerprints (uint64): a bit is set if it is set in over half of a text's shingle hashes."""
     ones = np.zeros((len(texts), 64), np.int64)
     totals = np.zeros(len(texts), np.int64)
@@ -178,12 +178,10 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, fp long) of each row. Null, empty and blank texts have fingerprint zero; repeated rows stay."""
     id_type = df.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = fingerprint_texts(batch.column(1).to_pylist(), size) if batch.num_rows else np.zeros(0, "<u8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view("<i8"))], ["id", "fp"])
+    def run(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
+        yield {"id": batch.column(0), "fp": pa.array(fingerprint_texts(batch.column(1).to_pylist(), size).view("<i8"))}
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, fp long")
+    return by_arrow(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), f"id {id_type}, fp long", run, text=1)
 
 
 def _block_masks(m: int, radius: int) -> list[int]:

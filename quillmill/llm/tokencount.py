@@ -165,4 +165,4 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         yield {id_col: batch.column(0)} | {c: pa.array(v, pa.int64()) for c, v in zip(names, zip(*rows))}
 
     schema = f"`{id_col}` {id_type}, n_tokens long, n_leaves long, n_edits long, n_tokens_edited long, n_chars_again long"
-    return by_arrow(df.select(f"`{id_col}`", f"`{text_col}`", *[f"`{c}`" for c in column]), schema, run)
+    return by_arrow(df.select(f"`{id_col}`", f"`{text_col}`", *[f"`{c}`" for c in column]), schema, run, text=1)
