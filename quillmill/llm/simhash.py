@@ -83,21 +83,23 @@ def fingerprint_texts(texts: list[str | None], size: int = SHINGLE, at_once: int
 
 
 def bit_planes(fingerprints: np.ndarray) -> np.ndarray:
-    """64 planes of ceil(n / 64) words; lane ``i`` of a plane is that bit of fingerprint ``i``."""
-    padded = np.zeros(-(-len(fingerprints) // 64) * 64, "<u8")
-    padded[: len(fingerprints)] = fingerprints
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """A plane of ceil(n / 64) words for each bit of n fingerprints of one or more words; lane ``i`` is fingerprint ``i``."""
+    words = fingerprints.reshape(len(fingerprints), -1)
+    padded = np.zeros((-(-len(words) // 64) * 64, words.shape[1]), "<u8")
+    padded[: len(words)] = words
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
 def lanes_within(queries: np.ndarray, words: np.ndarray, planes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For pair ``k``, the lanes of plane word ``words[k]`` within ``radius`` bits of ``queries[k]``, as a bit mask."""
+    queries = queries.reshape(len(queries), -1)
     out = np.zeros(len(queries), np.uint64)
     alive = np.arange(len(queries))
     counters = [np.zeros(len(queries), np.uint64) for _ in range((radius + 1).bit_length())]
     over = np.zeros(len(queries), np.uint64)
-    for bit in range(64):
-        carry = planes[bit][words] ^ (np.uint64(0) - ((queries >> np.uint64(bit)) & ONE))
+    for bit in range(len(planes)):
+        carry = planes[bit][words] ^ (np.uint64(0) - ((queries[:, bit >> 6] >> np.uint64(bit & 63)) & ONE))
         for counter in counters:  # carry-save: each counter holds one binary digit of 64 distances
             both = counter & carry
             counter ^= carry
@@ -199,18 +201,19 @@ def _keyed(distinct: DataFrame, n: int, radius: int) -> DataFrame:
     return distinct.select(F.explode(keys).alias("key"), "fp")
 
 
-def _tiled(keyed: DataFrame, tile: int) -> DataFrame:
-    """The same with each key's block bounded: blocks over ``tile`` become pairs of hashed tiles."""
+def tiled(keyed: DataFrame, tile: int = TILE) -> DataFrame:
+    """The same (key, ...) rows with each key's block bounded: blocks over ``tile`` become pairs of hashed tiles."""
     large = materialize(keyed.groupBy("key").count().filter(F.col("count") > tile), "simhash-large")
     if large.isEmpty():
         return keyed
+    others = [c for c in keyed.columns if c != "key"]
     joined = keyed.join(large, "key", "left")
     tiles = F.coalesce(F.ceil(F.col("count") / tile), F.lit(1))
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), tiles)
+    own = F.pmod(F.xxhash64(*others, F.lit(1)), tiles)
     other = F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("other")
-    pairs = joined.select("key", "fp", tiles.alias("tiles"), own.alias("own"), other)
+    pairs = joined.select("key", *others, tiles.alias("tiles"), own.alias("own"), other)
     split = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    return pairs.select(F.when(F.col("tiles") == 1, F.col("key")).otherwise(split).alias("key"), "fp")
+    return pairs.select(F.when(F.col("tiles") == 1, F.col("key")).otherwise(split).alias("key"), *others)
 
 
 def _links(keyed: DataFrame, radius: int) -> DataFrame:
@@ -271,7 +274,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = materialize(fingerprints(df, id_col, text_col, size), "simhash")
     distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    keyed = _tiled(_keyed(distinct.select("fp"), distinct.count(), radius), tile)
+    keyed = tiled(_keyed(distinct.select("fp"), distinct.count(), radius), tile)
     roots = components(_links(keyed, radius))
     classes = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -283,22 +286,3 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near duplicates: that of the smallest id, null ids last.
-
-    Rows that repeat an id are told apart by nothing, so one of them stays; rows with a null id
-    are told apart by their texts.
-    """
-    no_id = F.col(id_col).isNull()
-    key = F.struct(no_id.alias("no_id"), F.col(id_col).alias("id"), F.when(no_id, F.xxhash64(text_col)).alias("of_text"))
-    found = near_duplicates(df.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text")
-    keep = materialize(found.filter("id = component_id").groupBy(F.col("id").alias("_key")).count(), "simhash-keep")
-    keyed = df.withColumn("_own", key)
-
-    def kept(ids: DataFrame) -> DataFrame:  # merged at every size: the ids grow with the documents, so they are never broadcast
-        return keyed.join(ids.hint("shuffle_merge"), F.col("_own") == F.col("_key"), "left_semi")
-
-    repeated = keep.filter("count > 1")
-    if repeated.isEmpty():
-        return kept(keep).drop("_own")
-    return kept(keep.filter("count = 1")).unionByName(kept(repeated).dropDuplicates(["_own"])).drop("_own")

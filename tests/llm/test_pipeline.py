@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quillmill.llm import secrets
 from tests.llm.test_mixing import reshared
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_nearcopies import plain_copies
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -25,8 +25,7 @@ def test_stages_against_brute_force(spark):
             assert {r.doc_id for r in before} - {r.doc_id for r in rows} == {9001, 9002}
         elif name == "near_duplicates":
             ids = [r.doc_id for r in before]
-            classes = plain_components(ids, [plain_fingerprint(r.text) for r in before])
-            assert sorted(r.doc_id for r in rows) == sorted(set(classes))
+            assert sorted(r.doc_id for r in rows) == sorted(set(plain_copies(ids, [r.text for r in before])))
         elif name == "secrets":
             texts = {r.doc_id: r.text for r in before}
             assert len(rows) == len(before) and "token" not in next(r.text for r in rows if r.doc_id == 9003)

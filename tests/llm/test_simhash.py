@@ -79,7 +79,7 @@ def test_keys_tiles_and_components_lose_no_link(spark):
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
     expected = plain_components(list(range(len(fps))), [int(x) for x in fps])
     for n, tile in ((10, 1 << 14), (1 << 24, 1 << 14), (10, 3)):
-        keyed = simhash._tiled(simhash._keyed(df, n, 4), tile)
+        keyed = simhash.tiled(simhash._keyed(df, n, 4), tile)
         roots = {r.node: r.root for r in simhash.components(simhash._links(keyed, 4)).collect()}
         seen = {}
         got = [seen.setdefault(roots.get(int(x), int(x)), i) for i, x in enumerate(fps.view(np.int64))]
@@ -91,8 +91,5 @@ def test_edge_cases(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, fp int")
     got = sorted(((r.id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
     assert got == sorted([(None, 2), (3, 2), (2, 2), (5, 2), (7, 7), (7, 7), (9, 7), (None, None), (None, None)], key=str)
-    kept = simhash.drop_near_duplicates(df)
-    assert kept.columns == df.columns
-    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "x"), (0, "yy zz"), (2, ""), (7, "a b c d e")]
     assert simhash.near_duplicates(df.filter(F.lit(False))).collect() == []
     assert simhash.fingerprint_texts(["w " * 600_000], at_once=1000)[0] == plain_fingerprint("w w w w")
