@@ -7,13 +7,16 @@ pivot. Counts and distance bounds of the shells are the summary, at most ``PIVOT
     q.p - |q| r  <=  q.x  <=  q.p + |q| r.
 
 The lower bounds and counts give each query a score that its k-th best reaches at least; a
-shell whose upper bound is below it can't matter. Queries are grouped by pivots too, and a
-shell's vectors are replicated to the groups with a query that needs it. Groups solve locally,
-in bounded blocks of queries and vectors, and the best of the blocks are merged.
+shell whose upper bound is below it can't matter. Queries are grouped by the same pivots at every
+size, and a group needs the shells that one of its queries needs. Groups are solved in bounded
+blocks of queries and vectors: small groups share a block, large ones are cut into several. A
+shell's vectors are replicated to the blocks with a group that needs it, and there each group
+only meets the vectors it needs. The best of the blocks are merged.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,7 @@ from pyspark.sql.window import Window
 
 from quillmill.llm.common import by_arrow, materialize
 
-PIVOTS, SHELLS = 64, 32
+PIVOTS, SHELLS = 63, 32  # a set of pivots is a long
 #: Queries and vectors of a block at most, about.
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 20_000
 
@@ -53,6 +56,62 @@ def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return queries @ vectors.T
 
 
+class Cells:
+    """Vectors by cell and shell, written once, and their summary; ``rows`` has row, id, v, asks, cell, far and shell."""
+
+    def __init__(self, chosen: DataFrame, pivots: int) -> None:
+        self.width = max(chosen.agg(F.max(F.size("v"))).first()[0] or 0, 1)
+        width = self.width
+        # pivots: a fixed number, drawn by hash
+        drawn = chosen.orderBy(F.xxhash64("v"), "row").select("v").limit(min(pivots, PIVOTS)).collect()
+        centres = self.centres = np.unique(_matrix([r.v for r in drawn], width), axis=0).astype(np.float64)
+
+        def locate(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
+            x = _matrix(batch.column(2).to_numpy(zero_copy_only=False), width).astype(np.float64)
+            cell = ((x**2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres**2).sum(axis=1)).argmin(axis=1)
+            own = {c: batch.column(i) for i, c in enumerate(("row", "id", "v", "asks"))}
+            yield own | {"cell": pa.array(cell, pa.int32()), "far": pa.array(np.linalg.norm(x - centres[cell], axis=1))}
+
+        kind = chosen.schema["id"].dataType.simpleString()
+        located = materialize(by_arrow(chosen, f"row long, id {kind}, v array<bigint>, asks boolean, cell int, far double", locate), "topk-cells")
+        farthest = located.agg(F.max("far")).first()[0] or 0.0
+        self.rows = located.withColumn("shell", F.floor(F.col("far") * (SHELLS / (farthest or 1.0))).cast("int"))
+        self.summary = self.rows.groupBy("cell", "shell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.count_if("asks").alias("asking")).collect()  # bounded: pivots x shells
+
+    def needed(self, k: int) -> DataFrame:
+        """(for_cell, cell, shell): what the queries of a cell need to find their ``k`` best and themselves."""
+        width, centres = self.width, self.centres
+        cells, shells, counts, reach = (np.array([r[c] for r in self.summary]) for c in ("cell", "shell", "n", "far"))
+
+        def run(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
+            x, group = _matrix(batch.column(0).to_numpy(zero_copy_only=False), width).astype(np.float64), batch.column(1).to_numpy()
+            middle = x @ centres[cells].T
+            slack = np.linalg.norm(x, axis=1)[:, None] * reach * (1 + 1e-9) + 1e-6 * (1 + np.abs(middle))
+            low = middle - slack
+            order = np.argsort(-low, axis=1)
+            enough = np.cumsum(counts[order], axis=1) >= k + 1  # one of them may be the query's own row
+            at = np.where(enough.any(axis=1), enough.argmax(axis=1), -1)
+            bound = np.where(at >= 0, np.take_along_axis(low, order, axis=1)[np.arange(len(x)), at], -np.inf)
+            want = middle + slack >= bound[:, None]
+            found = [(g, int(j)) for g in np.unique(group) for j in np.flatnonzero(want[group == g].any(axis=0))]
+            yield {"for_cell": pa.array([g for g, _ in found], pa.int32()), "cell": pa.array([cells[j] for _, j in found], pa.int32()), "shell": pa.array([shells[j] for _, j in found], pa.int32())}
+
+        return by_arrow(self.rows.filter("asks").select("v", "cell"), "for_cell int, cell int, shell int", run).distinct()
+
+    def blocks(self, most: int) -> list[tuple[int, int, int]]:
+        """(cell, block, parts): groups of queries share a block up to ``most`` of them; a larger group has its own, in parts."""
+        asking = Counter()
+        for r in self.summary:
+            asking[r.cell] += r.asking
+        out, held, block = [], 0, 0
+        for cell, n in sorted(asking.items()):
+            if held and held + n > most:
+                held, block = 0, block + 1
+            held += n
+            out.append((cell, block, max(1, -(-n // most))))
+        return out
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "v", pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, id, score): for each query row, the ``k`` rows of highest inner product but its own.
 
@@ -61,68 +120,36 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     count as zero. Rows that repeat an id are rows of their own: each is a candidate for the
     other. Products must fit 64 bits. With fewer candidates than ``k``, all are returned.
     """
+    spark = vectors.sparkSession
     id_type = vectors.schema[id_col].dataType.simpleString()
     chosen = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     chosen = materialize(chosen.filter(F.col("v").isNotNull() & ~F.exists("v", F.isnull)), "topk-rows")
-    n_queries, width = chosen.agg(F.count_if("asks"), F.max(F.size("v"))).first()
-    width = max(width or 0, 1)
-    n_vectors = chosen.count()
-    # pivots: a fixed number, drawn by hash
-    drawn = chosen.orderBy(F.xxhash64("v"), "row").select("v").limit(pivots).collect()
-    centres = np.unique(_matrix([r.v for r in drawn], width), axis=0).astype(np.float64)
-    groups = max(1, min(len(centres), n_queries // QUERY_BLOCK))
-
-    def locate(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
-        x = _matrix(batch.column(2).to_numpy(zero_copy_only=False), width).astype(np.float64)
-        squares = (x**2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres**2).sum(axis=1)
-        cell = squares.argmin(axis=1)
-        far = np.linalg.norm(x - centres[cell], axis=1)
-        own = {c: batch.column(i) for i, c in enumerate(("row", "id", "v", "asks"))}
-        yield own | {"cell": pa.array(cell, pa.int32()), "far": pa.array(far), "team": pa.array(squares[:, :groups].argmin(axis=1), pa.int32())}
-
-    located = materialize(by_arrow(chosen, f"row long, id {id_type}, v array<bigint>, asks boolean, cell int, far double, team int", locate), "topk-cells")
-    farthest = located.agg(F.max("far")).first()[0] or 0.0
-    shell = F.floor(F.col("far") * (SHELLS / (farthest or 1.0))).cast("int")
-    located = located.withColumn("shell", shell)
-    summary = located.groupBy("cell", "shell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()  # bounded: pivots x shells
-    cells, shells, counts, reach = (np.array([r[c] for r in summary]) for c in ("cell", "shell", "n", "far"))
-
-    def needed(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
-        """Shells that the batch's queries need, by team."""
-        x, team = _matrix(batch.column(0).to_numpy(zero_copy_only=False), width).astype(np.float64), batch.column(1).to_numpy()
-        middle = x @ centres[cells].T
-        norm = np.linalg.norm(x, axis=1)[:, None]
-        slack = norm * reach * (1 + 1e-9) + 1e-6 * (1 + np.abs(middle))
-        low = middle - slack
-        order = np.argsort(-low, axis=1)
-        enough = np.cumsum(counts[order], axis=1) >= k + 1  # one of them may be the query's own row
-        at = np.where(enough.any(axis=1), enough.argmax(axis=1), -1)
-        bound = np.where(at >= 0, np.take_along_axis(low, order, axis=1)[np.arange(len(x)), at], -np.inf)
-        want = middle + slack >= bound[:, None]
-        rows = [(t, int(j)) for t in np.unique(team) for j in np.flatnonzero(want[team == t].any(axis=0))]
-        yield {"team": pa.array([t for t, _ in rows], pa.int32()), "cell": pa.array([cells[j] for _, j in rows], pa.int32()), "shell": pa.array([shells[j] for _, j in rows], pa.int32())}
-
-    asking = located.filter("asks")
-    want = by_arrow(asking.select("v", "team"), "team int, cell int, shell int", needed).distinct()  # at most teams x shells
-    query_blocks = max(1, -(-n_queries // (QUERY_BLOCK * groups)))
+    cells = Cells(chosen, pivots)
+    width = cells.width
+    n_vectors = sum(r.n for r in cells.summary)
+    blocks = spark.createDataFrame(cells.blocks(QUERY_BLOCK), "for_cell int, block int, parts int")
     splits = max(1, -(-n_vectors // VECTOR_BLOCK))
-    block, split = F.pmod(F.xxhash64("row"), F.lit(query_blocks)), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(splits))
+    part, split = F.pmod(F.xxhash64("row"), F.col("parts")), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(splits))
     every_split = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(splits - 1).cast("long")))
-    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("block")
-    left = asking.select(F.col("row").alias("q_row"), F.col("id").alias("q_id"), F.col("v").alias("q_v"), F.col("team").alias("q_team"), block.alias("q_block"), every_split.alias("q_split"))
-    right = located.join(F.broadcast(want.withColumnRenamed("team", "for_team")), ["cell", "shell"]).select("row", "id", "v", F.col("for_team").alias("team"), split.alias("split"), every_block)
+    every_part = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long"))).alias("part")
+    asking = cells.rows.filter("asks").join(F.broadcast(blocks), F.col("cell") == F.col("for_cell"))
+    left = asking.select(F.col("row").alias("q_row"), F.col("id").alias("q_id"), F.col("v").alias("q_v"), F.col("cell").alias("q_cell"), F.col("block").alias("q_block"), part.alias("q_part"), every_split.alias("q_split"))
+    want = cells.needed(k).join(F.broadcast(blocks), "for_cell").groupBy("cell", "shell", "block", "parts").agg(F.bit_or(F.expr("shiftleft(1L, for_cell)")).alias("groups"))  # at most pivots x pivots x shells
+    right = cells.rows.join(F.broadcast(want), ["cell", "shell"]).select("row", "id", "v", "groups", "block", split.alias("split"), every_part)
 
     def solve(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(queries) and len(data):
             data = data.sort_values(["id", "row"], na_position="first")
-            x, rows, ids = _matrix(data["v"], width), data["row"].to_numpy(), data["id"].to_numpy()
-            for a in range(0, len(queries), 256):
-                part = queries.iloc[a : a + 256]
-                scores = _products(_matrix(part["q_v"], width), x)
-                for own_row, own_id, s in zip(part["q_row"], part["q_id"], scores):
-                    there = np.flatnonzero(rows != own_row)
-                    s = s[there]
+            x, rows, ids, groups = _matrix(data["v"], width), data["row"].to_numpy(), data["id"].to_numpy(), data["groups"].to_numpy(np.int64)
+        for cell, own in queries.groupby("q_cell") if len(data) else ():
+            meets = np.flatnonzero(groups >> np.int64(cell) & 1)
+            for a in range(0, len(own), 256):
+                some = own.iloc[a : a + 256]
+                scores = _products(_matrix(some["q_v"], width), x[meets])
+                for own_row, own_id, s in zip(some["q_row"], some["q_id"], scores):
+                    there = np.flatnonzero(rows[meets] != own_row)
+                    s, there = s[there], meets[there]
                     if len(s) > k:
                         least = np.partition(s, len(s) - k)[len(s) - k]
                         above = np.flatnonzero(s > least)
@@ -132,7 +159,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
                     out += [(own_row, own_id, rows[there[i]], ids[there[i]], s[i]) for i in best]
         return pd.DataFrame(out, columns=["query_row", "query_id", "row", "id", "score"])
 
-    found = left.groupBy("q_team", "q_block", "q_split").cogroup(right.groupBy("team", "block", "split")).applyInPandas(solve, f"query_row long, query_id {id_type}, row long, id {id_type}, score long")
+    found = left.groupBy("q_block", "q_part", "q_split").cogroup(right.groupBy("block", "part", "split")).applyInPandas(solve, f"query_row long, query_id {id_type}, row long, id {id_type}, score long")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_first("id"), "row")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

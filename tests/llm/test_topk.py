@@ -39,6 +39,20 @@ def test_blocks_and_bounds_lose_nothing(spark, monkeypatch, pivots, block):
     assert got == plain(data, lambda i: i % 10 == 0, 4)
 
 
+def test_groups_of_queries_need_few_shells_at_any_size(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 4000, (6, 8))
+    data = [(i, [int(x) for x in centres[i % 6] + rng.normal(0, 20, 8)], i % 10 == 0, i) for i in range(600)]
+    cells = topk.Cells(spark.createDataFrame(data, "id long, v array<bigint>, asks boolean, row long").select("row", "id", "v", "asks"), 20)
+    needed = cells.needed(4).collect()
+    asking = {r.cell for r in cells.summary if r.asking}
+    assert len(asking) > 1 and {r.for_cell for r in needed} == asking
+    assert len(needed) < 0.5 * len(asking) * len(cells.summary)
+    assert [x[1] for x in cells.blocks(4096)] == [0] * len({r.cell for r in cells.summary})
+    parts = cells.blocks(3)
+    assert len({b for _, b, _ in parts}) > 1 and max(n for _, _, n in parts) > 1
+
+
 def test_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0], 1), (100, None, 1), (1, [nan, 1.0], 1), (2, [1.0, None], 1), (3, [inf, 0.0], 1), (None, [1.0, 1.0], 1), (4, [-0.5], 1), (5, [], 1), (0, [1.0, 2.0], 1)]
