@@ -186,8 +186,12 @@ def test_counts_follow_edits(texts, plain):
                 edits.append((a, min(len(short), a + rng.choice([0, 0, 1, 2, 7, 90])), rng.choice(["", " ", "x", " new ", "\n", "abc def"])))
             counted = tokencount.CountedText(short, count, leaf)
             assert counted.tree.total() == count(short)
-            counted.edit(edits)
-            assert counted.tree.total() == count(edited(short, edits)), (short, edits, leaf)
+            for _ in range(3):  # repeated edits, and from a stored tree
+                short = edited(short, edits)
+                counted.edit(edits)
+                assert counted.text() == short and counted.tree.total() == count(short), (short, edits, leaf)
+                counted = tokencount.CountedText(short, count, leaf, counted.starts, counted.tree.sums.tolist())
+                edits = [(a + rng.randint(-3, 3), b + rng.randint(-3, 9), new) for a, b, new in edits]
 
 
 def test_only_touched_regions_are_encoded_again(plain):
@@ -197,6 +201,24 @@ def test_only_touched_regions_are_encoded_again(plain):
     assert n == 2 and again < 4 * tokencount.LEAF
 
 
+def test_stored_trees_take_repeated_edits(spark, tmp_path, plain):
+    base = "some words here " * 3000
+    docs = spark.createDataFrame([(1, base), (2, "short one"), (2, "short two"), (None, None)], "doc_id long, text string").repartition(2)
+    store = str(tmp_path / "trees")
+    tokencount.write_trees(docs, store)
+    expected = {1: base, 2: None}
+    for edits in ([(1, 100, 104, "X"), (1, 20_000, 20_000, "inserted "), (7, 0, 1, "gone"), (None, 0, 1, "x"), (1, None, 3, "x"), (1, 3, None, "x")], [(1, 99, 103, None)], [(1, 0, 5, "")]):
+        version = tokencount.edit_trees(spark, store, spark.createDataFrame(edits, "id long, start int, end int, text string"))
+        expected[1] = edited(expected[1], [(a, b, t or "") for i, a, b, t in edits if i == 1 and a is not None and b is not None])
+        own = spark.read.parquet(f"{store}/version={version}").collect()
+        assert [r.id for r in own] == [1] and own[0].n_chars_again < 4 * tokencount.LEAF and own[0].text == expected[1]
+        assert own[0].sums[1] == len(plain.encode_ordinary(expected[1]))
+    assert version == tokencount.versions(spark, store) == 4
+    latest = tokencount.read_trees(spark, store).collect()
+    assert sorted((str(r.id), r.text) for r in latest) == sorted([("1", expected[1]), ("2", "short one"), ("2", "short two"), ("None", "")])
+    assert tokencount.counts(tokencount.read_trees(spark, store, 1)).filter("id = 1").first().n_tokens == len(plain.encode_ordinary(base))
+
+
 def test_curation_edits_of_long_runs():
     """A run of a million characters takes no longer than other text of its length."""
     for run in ("x" * 1_000_000, "a.b-" * 250_000, "x@" * 500_000, "@" * 1_000_000):
@@ -226,10 +248,10 @@ def test_query_6(spark, plain):
 
 
 def test_edge_cases(spark, plain):
-    rows = [(1, "a b c", [(0, 1, "zz"), (99, 100, "no"), (0, 3, "no")]), (None, None, None), (1, "", [(0, 0, "new")]), (1, "", [(0, 0, None)])]
+    rows = [(1, "a b c", [(0, 1, "zz"), (99, 100, "no"), (0, 3, "no")]), (None, None, None), (1, "", [(0, 0, "new")]), (1, "", [(0, 0, None)]), (4, "d e", [None, (None, 1, "x"), (0, None, "x")])]
     df = spark.createDataFrame(rows, "doc_id long, text string, e array<struct<start: int, end: int, text: string>>").withColumn("n_tokens", F.lit("x"))
-    got = [tuple(r)[1:] for r in tokencount.count_tokens(df, edits="e").collect()]
-    assert got[0] == (3, 1, 1, len(plain.encode_ordinary("zz b c")), 6) and got[1][:4] == (0, 1, 0, 0) and got[2][3] == 1 and got[3][3] == 0
+    got = sorted((tuple(r) for r in tokencount.count_tokens(df, edits="e").collect()), key=str)
+    assert got == sorted([(1, 3, 1, 1, len(plain.encode_ordinary("zz b c")), 6), (None, 0, 1, 0, 0, 0), (1, 0, 1, 1, 1, 3), (1, 0, 1, 1, 0, 0), (4, 2, 1, 0, 2, 0)], key=str)
     both = bpe.encode_decode(df, outputs=("n_tokens", "ids", "decoded")).collect()
-    assert [bytes(r.decoded) for r in both] == [b"a b c", b"", b"", b""] and both[0].ids == plain.encode_ordinary("a b c")
+    assert [bytes(r.decoded) for r in both] == [b"a b c", b"", b"", b"", b"d e"] and both[0].ids == plain.encode_ordinary("a b c")
     assert bpe.encode_decode(df.limit(0)).collect() == [] and tokencount.count_tokens(df.limit(0)).collect() == []
