@@ -45,31 +45,45 @@ def share_out(sizes: dict[str | None, int], weights: dict[str | None, float], to
 def route(patterns: list[tuple[str | None, ...]], sizes: list[int], quotas: dict[str | None, float], repeats: int) -> list[float]:
     """Words that each pattern supplies in a min-cost flow from patterns to source quotas.
 
-    Successive shortest paths on the small graph pass -> pattern -> source -> sink. Patterns that
-    share no source with others need no path search: their flow is their quota.
+    The graph falls apart into patterns that share sources, directly or by others; each part has a
+    flow of its own.
     """
-    users: dict[str | None, list[int]] = defaultdict(list)
-    for i, sources in enumerate(patterns):
+    part_of: dict[str | None, str | None] = {}
+
+    def root(source: str | None) -> str | None:
+        while part_of.setdefault(source, source) != source:
+            part_of[source] = part_of[part_of[source]]
+            source = part_of[source]
+        return source
+
+    for sources in patterns:
         for source in sources:
-            users[source].append(i)
+            part_of[root(source)] = root(sources[0])
+    parts: dict[str | None, list[int]] = defaultdict(list)
+    for i, sources in enumerate(patterns):
+        parts[root(sources[0])].append(i)
     flow = [0.0] * len(patterns)
-    tied = [i for i, sources in enumerate(patterns) if len(sources) > 1 or len(users[sources[0]]) > 1]
-    for i in set(range(len(patterns))) - set(tied):
-        flow[i] = min(quotas[patterns[i][0]], float(repeats * sizes[i]))
-    if not tied:
-        return flow
-    names = sorted({s for i in tied for s in patterns[i]}, key=lambda s: (s is None, s or ""))
-    at = {s: 2 + len(tied) + k for k, s in enumerate(names)}
-    graph: list[list[list]] = [[] for _ in range(2 + len(tied) + len(names))]  # arcs: head, capacity, cost, place of the reverse arc
+    for own in parts.values():
+        for i, words in zip(own, _flow([patterns[i] for i in own], [sizes[i] for i in own], quotas, repeats)):
+            flow[i] = words
+    return flow
+
+
+def _flow(patterns: list[tuple[str | None, ...]], sizes: list[int], quotas: dict[str | None, float], repeats: int) -> list[float]:
+    """Successive shortest paths on the small graph of passes, patterns, sources and a sink."""
+    names = sorted({s for sources in patterns for s in sources}, key=lambda s: (s is None, s or ""))
+    first = 2 + len(patterns)
+    at = {s: first + k for k, s in enumerate(names)}
+    graph: list[list[list]] = [[] for _ in range(first + len(names))]  # arcs: head, capacity, cost, place of the reverse arc
 
     def arc(a: int, b: int, capacity: float, cost: int) -> None:
         graph[a].append([b, capacity, cost, len(graph[b])])
         graph[b].append([a, 0.0, -cost, len(graph[a]) - 1])
 
-    for k, i in enumerate(tied):
+    for k, sources in enumerate(patterns):
         for turn in range(repeats):
-            arc(0, 2 + k, float(sizes[i]), turn)
-        for source in patterns[i]:
+            arc(0, 2 + k, float(sizes[k]), turn)
+        for source in sources:
             arc(2 + k, at[source], float("inf"), 0)
     for source, node in at.items():
         arc(node, 1, quotas[source], 0)
@@ -99,9 +113,7 @@ def route(patterns: list[tuple[str | None, ...]], sizes: list[int], quotas: dict
         for x in path:
             x[1] -= amount
             graph[x[0]][x[3]][1] += amount
-    for k, i in enumerate(tied):
-        flow[i] = sum(graph[x[0]][x[3]][1] for x in graph[2 + k] if x[0] >= 2 + len(tied))
-    return flow
+    return [sum(graph[x[0]][x[3]][1] for x in graph[2 + k] if x[0] >= first) for k in range(len(patterns))]
 
 
 def cycle_weights(sources: list[str | None]) -> dict[str | None, float]:
@@ -132,6 +144,7 @@ def mix(df: DataFrame, size: Column, sources: Column, order: Column, weights: di
     rows = base.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    rows.sort(key=lambda r: r.pattern)  # of several cheapest flows, reruns take the same
     patterns = [tuple(json.loads(r.pattern)) for r in rows]
     sizes: dict[str | None, int] = defaultdict(int)
     for r, members in zip(rows, patterns):

@@ -2,7 +2,8 @@
 
 Records are hashed into ``SLOTS`` virtual slots, bytes are summed per slot, and a versioned
 slot-to-shard map says where each slot lives. Rebalancing edits the map, not the hash: a new
-version moves whole slots, and only from the fullest shards.
+version moves whole slots, and only from the fullest shards. The first version deals slots in
+turn; the second is its rebalancing by the bytes that were counted.
 
 The law is ``bytes``: shards get nearly equal sizes. The map has ``SLOTS`` rows whatever the
 input is; they alone reach the driver and are broadcast.
@@ -10,9 +11,9 @@ input is; they alone reach the driver and are broadcast.
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,43 +33,46 @@ class SlotMap:
         return replace(self, version=self.version + 1, shards=shards, shard_of=tuple(shard_of))
 
 
-def plan_slots(sizes: list[int], shards: int) -> SlotMap:
-    """Version 1: slots from the largest down, each to the emptiest shard."""
-    shard_of, loads = [0] * len(sizes), [(0, s) for s in range(shards)]
-    for slot in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
-        load, shard = loads[0]
-        shard_of[slot] = shard
-        heapq.heapreplace(loads, (load + sizes[slot], shard))
-    return SlotMap(1, shards, tuple(shard_of))
+def even_slots(shards: int, slots: int = SLOTS) -> SlotMap:
+    """Version 1, before any record is known: slots in turn."""
+    return SlotMap(1, shards, tuple(k % shards for k in range(slots)))
 
 
 def rebalance(current: SlotMap, sizes: list[int], shards: int | None = None, slack: float = 0.01) -> SlotMap:
     """The next version: slots go from the fullest to the emptiest shard until none is over the mean by ``slack``.
 
-    With more shards than before, the new ones start empty, so that they mostly take and few
-    slots move otherwise. Fewer shards give up all slots of the removed ones.
+    Where no slot is small enough to go, two are exchanged. With more shards than before, the new
+    ones start empty, so that they mostly take and few slots move otherwise. Fewer shards give
+    up all slots of the removed ones.
     """
     shards = shards or current.shards
-    shard_of = list(current.shard_of)
-    loads = [0] * shards
-    for slot, shard in enumerate(shard_of):
-        if shard < shards:
-            loads[shard] += sizes[slot]
-    for slot in sorted((k for k in range(len(sizes)) if shard_of[k] >= shards), key=lambda k: -sizes[k]):
-        shard_of[slot] = loads.index(min(loads))
-        loads[shard_of[slot]] += sizes[slot]
-    mean = sum(sizes) / shards
+    weight = np.array(sizes, np.int64)
+    shard_of = np.array(current.shard_of)
+    loads = np.bincount(shard_of[shard_of < shards], weight[shard_of < shards], minlength=shards).astype(np.int64)
+    homeless = np.flatnonzero(shard_of >= shards)
+    for slot in homeless[np.argsort(-weight[homeless], kind="stable")]:
+        shard_of[slot] = loads.argmin()
+        loads[shard_of[slot]] += weight[slot]
     for _ in range(4 * len(sizes)):
-        full, empty = loads.index(max(loads)), loads.index(min(loads))
+        full, empty = int(loads.argmax()), int(loads.argmin())
         gap = loads[full] - loads[empty]
-        fits = [k for k, s in enumerate(shard_of) if s == full and 0 < sizes[k] < gap]
-        if loads[full] <= mean * (1 + slack) or not fits:
+        if loads[full] <= loads.mean() * (1 + slack):
             break
-        slot = min(fits, key=lambda k: (abs(gap / 2 - sizes[k]), k))
-        shard_of[slot] = empty
-        loads[full] -= sizes[slot]
-        loads[empty] += sizes[slot]
-    return current.moved(shard_of, shards)
+        ours, theirs = np.flatnonzero(shard_of == full), np.flatnonzero(shard_of == empty)
+        step = weight[ours][:, None]
+        exchange = not ((step > 0) & (step < gap)).any()
+        if exchange:
+            step = step - weight[theirs][None]
+        fits = np.where((step > 0) & (step < gap), np.abs(2 * step - gap), np.iinfo(np.int64).max)
+        if not fits.size or fits.min() == np.iinfo(np.int64).max:
+            break
+        i, j = np.unravel_index(fits.argmin(), fits.shape)
+        shard_of[ours[i]] = empty
+        if exchange:
+            shard_of[theirs[j]] = full
+        loads[full] -= step[i, j]
+        loads[empty] += step[i, j]
+    return current.moved(shard_of.tolist(), shards)
 
 
 def slot_of(*record: Column, slots: int = SLOTS) -> Column:

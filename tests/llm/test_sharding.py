@@ -5,7 +5,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from quillmill.llm import sharding
+from quillmill.llm import queries, sharding
 from quillmill.llm.queries import op3_sharding
 
 SMALL = "/root/testdata/sf0.01"
@@ -25,9 +25,27 @@ def test_query(spark):
     assert max(loads.values()) - min(loads.values()) <= max(r.size for r in rows)
 
 
+def test_query_places_by_the_rebalanced_version(spark):
+    rows = op3_sharding(spark, SMALL).collect()
+    sizes = [0] * sharding.SLOTS
+    for r in rows:
+        sizes[r.virtual_slot] += r["size"]
+    first = sharding.even_slots(40)
+    second = sharding.rebalance(first, sizes, slack=queries.SLACK)
+    assert second.version == 2 and first.shard_of != second.shard_of
+    assert all(r.shard == second.shard_of[r.virtual_slot] for r in rows)
+
+
+def test_slots_are_exchanged_where_none_fits():
+    grown = sharding.rebalance(sharding.SlotMap(1, 2, (0, 0, 1, 1)), [10, 9, 8, 9], slack=0.0)
+    assert sorted(grown.shard_of) == [0, 0, 1, 1] and grown.shard_of[0] == grown.shard_of[2]
+
+
 def test_rebalance_edits_the_map(spark, tmp_path):
     sizes = [(k * 7919) % 1000 + 1 for k in range(2048)]
-    first = sharding.plan_slots(sizes, 10)
+    first = sharding.rebalance(sharding.even_slots(10, 2048), sizes, slack=0.001)
+    loads = [sum(s for s, at in zip(sizes, first.shard_of) if at == k) for k in range(10)]
+    assert max(loads) <= 1.001 * sum(sizes) / 10 and first.version == 2
     grown = sharding.rebalance(first, sizes, 11)
     changed = [k for k in range(2048) if first.shard_of[k] != grown.shard_of[k]]
     loads = [sum(s for s, at in zip(sizes, grown.shard_of) if at == k) for k in range(11)]
@@ -37,7 +55,7 @@ def test_rebalance_edits_the_map(spark, tmp_path):
     assert max(shrunk.shard_of) == 9
     for x in (first, grown):
         sharding.write_map(spark, x, str(tmp_path / "map"))
-    assert sharding.read_map(spark, str(tmp_path / "map")) == grown and sharding.read_map(spark, str(tmp_path / "map"), 1) == first
+    assert sharding.read_map(spark, str(tmp_path / "map")) == grown and sharding.read_map(spark, str(tmp_path / "map"), first.version) == first
 
 
 def test_edge_cases(spark, tmp_path):
