@@ -53,9 +53,8 @@ def with_measures(df: DataFrame, text_col: str = "text") -> DataFrame:
         lines.alias("_lines"),
     )
     n = F.size("_words")
-    windows = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.arrays_zip(F.slice("_words", 1, n - 2).alias("a"), F.slice("_words", 2, n - 2).alias("b"), F.slice("_words", 3, n - 2).alias("c")), lambda x: F.xxhash64(x.a, x.b, x.c))
-    )
+    word = F.col("_words")
+    windows = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.xxhash64(word[i], word[i + 1], word[i + 2])))
     measured = measured.select(
         "*",
         n.cast("long").alias("n_words"),
@@ -64,18 +63,22 @@ def with_measures(df: DataFrame, text_col: str = "text") -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         windows.alias("_windows"),
     ).drop("_solid", "_words", "_lines")
-    return measured.withColumn("n_repeat_words", F.when(F.size(F.array_distinct("_windows")) == F.size("_windows"), 0).otherwise(_covered(F.col("_windows"))).cast("long")).drop("_windows")
-
-
-def _covered(windows: Column) -> Column:
-    """Words in windows whose hash is there twice or more."""
-    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    n = F.size(windows)
-    none = F.array(F.lit(None).cast("struct<h: bigint, i: int>"))
-    beside = F.arrays_zip(placed.alias("own"), F.concat(none, F.slice(placed, 1, n - 1)).alias("last"), F.concat(F.slice(placed, 2, n - 1), none).alias("next"))
-    again = F.filter(beside, lambda x: F.coalesce(x.own.h == x.last.h, F.lit(False)) | F.coalesce(x.own.h == x.next.h, F.lit(False)))
-    places = F.flatten(F.transform(again, lambda x: F.array(x.own.i, x.own.i + 1, x.own.i + 2)))
-    return F.size(F.array_distinct(places))
+    some_again = F.size(F.array_distinct("_windows")) < F.size("_windows")
+    measured = measured.withColumn("_placed", F.when(some_again, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("_windows")
+    placed = F.col("_placed")
+
+    def beside(x: Column, k: Column) -> Column:
+        """The hash before or after it is the same."""
+        return F.coalesce(F.get(placed, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(placed, k + 1)["h"] == x["h"], F.lit(False))
+
+    measured = measured.withColumn("_starts", F.sort_array(F.transform(F.filter(placed, beside), lambda x: x["i"]))).drop("_placed")
+    return measured.withColumn("n_repeat_words", F.coalesce(_covered(F.col("_starts")), F.lit(0)).cast("long")).drop("_starts")
+
+
+def _covered(starts: Column) -> Column:
+    """Words in windows of three words that begin at these places, in order; null for none."""
+    first = F.struct(F.lit(0).alias("words"), F.lit(-3).alias("last"))
+    return F.aggregate(starts, first, lambda acc, i: F.struct((acc["words"] + F.least(i - acc["last"], F.lit(3))).alias("words"), i.alias("last")), lambda acc: acc["words"])
 
 
 def base_failed() -> Column:

@@ -41,6 +41,41 @@ def test_query(spark):
     assert sum(not r.kept for r in judged) <= quality.ALPHA * len(judged)
 
 
+def test_query_verdicts_recomputed(spark):
+    """Cutoffs and verdicts of the whole table, anew from its measures; some are certified, and they reject."""
+    folder = "/root/testdata/sf0.1"
+    rows = op9_quality(spark, folder).collect()
+    langs = {r.doc_id: r.lang or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang").collect()}
+    good = {r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").filter("quality = 1").collect()}
+    values = {"symbols": lambda r: r.n_symbols, "repeats": lambda r: r.n_repeat_words, "dup_lines": lambda r: r.n_dup_lines, "long_words": lambda r: r.word_chars, "short_words": lambda r: -r.word_chars}
+
+    def over(r, cutoffs):
+        return any(values[rule](r) / r.n_words > c for rule, c in cutoffs.items())
+
+    steps, cutoffs = [], {}
+    for place in range(9):  # one cutoff tighter at a time, rule by rule
+        for rule, (_, grid) in quality.RULES.items():
+            if place < len(grid):
+                cutoffs = cutoffs | {rule: grid[place]}
+                steps.append(cutoffs)
+    judged = {}
+    for r in rows:
+        if r.doc_id in good and not r.base_failed:
+            judged.setdefault(langs[r.doc_id], []).append(r)
+    certified = {}
+    for lang, own in judged.items():
+        for cutoffs in steps:
+            k, n = sum(over(r, cutoffs) for r in own), len(own)
+            p = sum(math.comb(n, i) * 0.01**i * 0.99 ** (n - i) for i in range(k + 1)) if k <= 0.01 * n else 1.0
+            if p > 0.05 / len(judged):
+                break
+            certified[lang] = cutoffs
+    assert certified
+    for r in rows:
+        assert r.kept == (not r.base_failed and not over(r, certified.get(langs[r.doc_id], {}))), r
+    assert sum(not r.kept and not r.base_failed for r in rows) > 50
+
+
 def test_binomial(spark):
     cases = [(0, 10, 0.3), (3, 10, 0.3), (10, 10, 0.3), (5, 2000, 0.01), (0, 50_000, 0.002), (70, 50_000, 0.002)]
     for k, n, p in cases:
