@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import blank, csv_list, label, py_strip, sanitize_header
@@ -61,10 +63,24 @@ def compose_bodies(analyses: DataFrame, mails: DataFrame, brief: bool = False, c
     return mails.join(groups, "mail_id", "left").select("mail_id", F.concat_ws("\n\n", *parts).alias("body"))
 
 
-def build_outbox(routed: DataFrame, analyses: DataFrame, mails: DataFrame, brief: bool = False) -> DataFrame:
+def distinct_endpoints(endpoints: Column) -> Column:
+    """Sender endpoints to try, each (host, port, username, password_encrypted) once, in order; null ones are none.
+
+    ``endpoints`` is an array of structs, of which other fields are those of the first alike.
+    """
+    key = ("host", "port", "username", "password_encrypted")
+
+    def add(kept: Column, one: Column) -> Column:
+        known = F.exists(kept, lambda x: reduce(lambda a, b: a & b, [x[k].eqNullSafe(one[k]) for k in key]))
+        return F.when(one.isNull() | known, kept).otherwise(F.array_append(kept, one))
+
+    return F.aggregate(endpoints, F.slice(endpoints, 1, 0), add)
+
+
+def build_outbox(routed: DataFrame, analyses: DataFrame, mails: DataFrame, brief: bool = False, cut: int = 3000) -> DataFrame:
     """(mail_id, target_email, subject, body): a row per routable mail and target."""
     rows = routed.filter("status = 'routable'").select("mail_id", F.explode(csv_list(F.col("targets"))).alias("target_email"))
-    return rows.join(compose_subjects(analyses, mails), "mail_id").join(compose_bodies(analyses, mails, brief), "mail_id")
+    return rows.join(compose_subjects(analyses, mails), "mail_id").join(compose_bodies(analyses, mails, brief, cut), "mail_id")
 
 
 def write_outbox(outbox: DataFrame, path: str) -> None:

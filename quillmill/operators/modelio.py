@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quillmill.functions.names import fresh
 from quillmill.functions.text import NON_LEGAL, OTHER, estimate_tokens, parse_caps, py_strip, tokens_of_counts, urls
 
 ANALYSIS = T.StructType([T.StructField(c, T.StringType()) for c in ("doc_type", "case_summary", "ai_interpretation", "urgency", "key_date", "case_number", "involved_parties", "confidence", "revised_document", "contract_party_a", "contract_party_b", "contract_name", "contract_content", "contract_amount", "agency_name", "document_title_no")])
@@ -58,44 +59,89 @@ def fit_attachments(parts: DataFrame, budget: Column, fixed_chinese: Column | No
     """Parts (mail_id, att_idx, text) of the longest prefix within the token budget, by running sums; no text is counted twice."""
     chinese = F.length(F.regexp_replace("text", r"[^一-鿿㐀-䶿]", ""))
     upto = Window.partitionBy("mail_id").orderBy("att_idx").rowsBetween(Window.unboundedPreceding, 0)
-    counted = parts.withColumns({"_c": chinese, "_o": F.length("text") - chinese})
+    c, o = (fresh(parts, x) for x in ("n_chinese", "n_other"))
+    counted = parts.withColumns({c: chinese, o: F.length("text") - chinese})
     separators = 2 * (F.count("*").over(upto) - 1)
-    used = tokens_of_counts(F.sum("_c").over(upto) + (F.lit(0) if fixed_chinese is None else fixed_chinese), F.sum("_o").over(upto) + separators + (F.lit(0) if fixed_other is None else fixed_other))
-    return counted.withColumn("used", used).filter(F.col("used") <= budget).drop("_c", "_o")
+    used = tokens_of_counts(F.sum(c).over(upto) + (F.lit(0) if fixed_chinese is None else fixed_chinese), F.sum(o).over(upto) + separators + (F.lit(0) if fixed_other is None else fixed_other))
+    return counted.withColumn("used", used).filter(F.col("used") <= budget).drop(c, o)
 
 
-def truncate_prompt(prompts: DataFrame, start: str = "## Input", end: str = "## Output") -> DataFrame:
-    """(id, prompt) with the part between the marks cut by steps of 15 % while over ``budget``; the built-in estimate picks the few rows that need it.
+#: Heads of the regions of a prompt, what stands before attachments, what stays of a body that can't be kept.
+INPUT, OUTPUT, ATTACHED, CUT_BODY = "## Input", "## Output", "\n\n## 附件内容\n", "(body truncated due to length)"
 
-    ``prompts``: id, prompt, budget, has_attachments. Without attachments a prompt stays as it is.
+
+def _counts(c: Column) -> Column:
+    """struct(chinese, other) characters of a text."""
+    chinese = F.length(F.regexp_replace(c, r"[^一-鿿㐀-䶿]", "")).cast("bigint")
+    return F.struct(chinese.alias("chinese"), (F.length(c) - chinese).alias("other"))
+
+
+def kept_attachments(template: Column, attachments: Column, budget: Column) -> Column:
+    """struct(text, fits): the longest list of whole attachments that fits beside the template; at least the last one goes."""
+    parts = F.transform(F.filter(F.transform(F.split(attachments, "=== "), py_strip), lambda x: x != ""), lambda x: F.concat(F.lit("=== "), x))
+    fixed, label = _counts(template), _counts(F.lit(ATTACHED))
+    sums = F.struct(fixed["chinese"].alias("chinese"), fixed["other"].alias("other"), F.lit(0).alias("n"), F.lit(0).alias("best"), (tokens_of_counts(fixed["chinese"], fixed["other"]) <= budget).alias("fits"))
+
+    def longer(acc: Column, part: Column) -> Column:
+        own, before = _counts(part), F.when(acc["n"] == 0, F.struct(label["chinese"].alias("chinese"), label["other"].alias("other"))).otherwise(F.struct(F.lit(0).cast("bigint").alias("chinese"), F.lit(2).cast("bigint").alias("other")))
+        chinese, other, n = acc["chinese"] + own["chinese"] + before["chinese"], acc["other"] + own["other"] + before["other"], acc["n"] + 1
+        fits = tokens_of_counts(chinese, other) <= budget
+        return F.struct(chinese.alias("chinese"), other.alias("other"), n.alias("n"), F.when(fits, n).otherwise(acc["best"]).alias("best"), (acc["fits"] | fits).alias("fits"))
+
+    found = F.aggregate(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), sums, longer)
+    return F.struct(F.array_join(F.slice(parts, F.lit(1), found["best"]), "\n\n").alias("text"), found["fits"].alias("fits"))
+
+
+def truncate_prompt(prompts: DataFrame) -> DataFrame:
+    """(id, template, attachments) within the budget of tokens; ``prompts``: id, template, attachments, window, ratio, output.
+
+    The budget is what the window's share leaves beside the output, 1,024 at least. Without
+    attachments a prompt stays as it is. Then attachments go from the last on, and if the template
+    alone is over the budget, its region from ``INPUT`` to ``OUTPUT`` is cut by 15 % while over 100
+    characters. If that does not help, the region only says so; a template without the regions is cut
+    at two characters a token. Only those few prompts go through Python.
     """
 
     def tokens(text: str) -> int:
         chinese = len(re.findall(r"[一-鿿㐀-䶿]", text))
         return max(int(chinese / 0.85 + (len(text) - chinese) / 4), len(text) // 10)
 
+    def shortened(text: str, most: int) -> str:
+        a, b = text.find(INPUT), text.find(OUTPUT)
+        if a < 0 or b <= a:
+            return text[: most * 2]
+        head, region, tail = text[:a], text[a:b], text[b:]
+        while (over := tokens(head + region + tail) > most) and len(region) > 100:
+            region = region[: -max(1, int(len(region) * 0.15))]
+        return head + (f"{INPUT}\n{CUT_BODY}\n{OUTPUT}\n" if over else region) + tail
+
     @F.pandas_udf("string")
-    def cut(prompt: pd.Series, budget: pd.Series) -> pd.Series:
-        out = []
-        for text, most in zip(prompt, budget):
-            a, b = text.find(start), text.find(end)
-            if a < 0 or b < a:
-                out.append(text[: most * 2])
-                continue
-            head, body, tail = text[: a + len(start)], text[a + len(start) : b], text[b:]
-            while len(body) > 100 and tokens(head + body + tail) > most:
-                body = body[: int(len(body) * 0.85)]
-            out.append(head + (body if tokens(head + body + tail) <= most else "\n") + tail)
-        return pd.Series(out)
+    def cut(template: pd.Series, budget: pd.Series) -> pd.Series:
+        return pd.Series([shortened(text, most) for text, most in zip(template, budget)])
 
-    over = F.col("has_attachments") & (estimate_tokens(F.col("prompt")) > F.col("budget"))
-    return prompts.filter(~over).select("id", "prompt").unionByName(prompts.filter(over).select("id", cut("prompt", "budget").alias("prompt")))
+    budget = F.greatest((F.col("window") * F.col("ratio")).cast("bigint") - F.col("output"), F.lit(1024))
+    texts = prompts.select("id", F.coalesce("template", F.lit("")).alias("template"), F.coalesce("attachments", F.lit("")).alias("attachments"), budget.alias("budget"))
+    whole = F.concat("template", F.lit(ATTACHED), "attachments")
+    over = (F.col("attachments") != "") & (estimate_tokens(whole) > F.col("budget"))
+    tried = texts.filter(over).withColumn("kept", kept_attachments(F.col("template"), F.col("attachments"), F.col("budget")))
+    dropped = tried.filter("kept.fits").select("id", "template", F.col("kept.text").alias("attachments"))
+    bare = tried.filter("not kept.fits").select("id", cut("template", "budget").alias("template"), F.lit("").alias("attachments"))
+    return texts.filter(~over).select("id", "template", "attachments").unionByName(dropped).unionByName(bare)
 
 
-def fill_template(template: str, values: dict[str, Column]) -> Column:
-    """``{name}`` of known names replaced in one pass; values and other braces are literal."""
+def fill_template(template: str, values: dict[str, Column], appended: dict[str, str] | None = None) -> Column:
+    """``{name}`` of known names replaced in one pass; values and other braces are literal.
+
+    A value named in ``appended`` that the template has no place for goes to the end, under its heading
+    there, unless it is empty.
+    """
     parts = re.split("(" + "|".join(re.escape("{%s}" % k) for k in values) + ")", template) if values else [template]
-    return F.concat(*[values[p[1:-1]] if p[1:-1] in values and p[:1] == "{" else F.lit(p) for p in parts])
+    filled = F.concat(*[values[p[1:-1]] if p[1:-1] in values and p[:1] == "{" else F.lit(p) for p in parts])
+    for name, heading in (appended or {}).items():
+        if f"{{{name}}}" not in template:
+            said = F.coalesce(values[name], F.lit(""))
+            filled = F.concat(filled, F.when(said != "", F.concat(F.lit(f"\n\n{heading}\n" if heading else "\n\n"), said)).otherwise(""))
+    return filled
 
 
 def tolerant_json(text: str | None) -> str | None:
@@ -126,8 +172,9 @@ def parse_replies(replies: DataFrame, content: str = "content") -> DataFrame:
         return text.map(tolerant_json)
 
     good = replies.filter(F.coalesce(readable, F.lit(False))).withColumns({"analysis": strict, "parsed": F.lit(True)})
-    rest = replies.filter(~F.coalesce(readable, F.lit(False))).withColumn("_json", repaired(content))
-    mended = rest.withColumns({"analysis": F.from_json("_json", ANALYSIS), "parsed": F.col("_json").isNotNull()}).drop("_json")
+    mend = fresh(replies, "mended")
+    rest = replies.filter(~F.coalesce(readable, F.lit(False))).withColumn(mend, repaired(content))
+    mended = rest.withColumns({"analysis": F.from_json(mend, ANALYSIS), "parsed": F.col(mend).isNotNull()}).drop(mend)
     return good.unionByName(mended)
 
 
@@ -148,32 +195,44 @@ def validate_analysis(a: Column) -> Column:
 
 def validate_classes(classified: DataFrame, dim: DataFrame) -> DataFrame:
     """``classified`` (doc_type, confidence, parsed) checked against the known types."""
-    known = dim.select(F.col("doc_type").alias("_known")).distinct()
-    joined = classified.join(F.broadcast(known) if known.limit(100_001).count() <= 100_000 else known, F.col("doc_type") == F.col("_known"), "left")
+    name = fresh(classified, "known_type")
+    known = dim.select(F.col("doc_type").alias(name)).distinct()
+    joined = classified.join(F.broadcast(known) if known.limit(100_001).count() <= 100_000 else known, F.col("doc_type") == F.col(name), "left")
     ok = F.coalesce("parsed", F.lit(False))
-    return joined.withColumns({"doc_type": F.when(ok, F.coalesce("_known", F.lit(OTHER))).otherwise(OTHER), "confidence": F.when(ok, confidence_of(F.col("confidence"))).otherwise(0.5), "classify_failed": ~ok}).drop("_known")
+    return joined.withColumns({"doc_type": F.when(ok, F.coalesce(name, F.lit(OTHER))).otherwise(OTHER), "confidence": F.when(ok, confidence_of(F.col("confidence"))).otherwise(0.5), "classify_failed": ~ok}).drop(name)
+
+
+#: The analysis of a mail that is not legal.
+MINIMAL = {"case_summary": "非法律文书，无需法律分析", "ai_interpretation": "该邮件在文书类型识别阶段被判定为非法律文书，无需法律审核，仅归档即可。", "urgency": "low"}
 
 
 def split_non_legal(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(to analyse, analysed): what is not legal gets a constant minimal analysis and skips the second stage."""
+    """(to analyse, analysed): what is not legal gets a constant minimal analysis and skips the second stage.
+
+    Its facts are null, its other texts empty; confidence and failure stay those of the first stage.
+    """
     out = F.coalesce((F.col("doc_type") == NON_LEGAL) & ~F.col("classify_failed"), F.lit(False))
-    return classified.filter(~out), classified.filter(out).withColumns({"case_summary": F.lit(NON_LEGAL), "urgency": F.lit("low")})
+    facts = ("key_date", "case_number", "revised_document")
+    said = {f.name: F.lit(MINIMAL.get(f.name, None if f.name in facts else "")).cast("string") for f in ANALYSIS if f.name not in ("doc_type", "confidence")}
+    return classified.filter(~out), classified.filter(out).withColumns(said)
 
 
 def merge_stages(first: DataFrame, second: DataFrame) -> DataFrame:
     """Stage two with type, confidence and failure of stage one; ``disagrees`` tells where the types differ."""
-    own = first.select("mail_id", "group_idx", F.col("doc_type").alias("_type"), F.col("confidence").alias("_confidence"), F.col("classify_failed").alias("_failed"))
+    kind, sure, failed = (fresh(second, x) for x in ("first_type", "first_confidence", "first_failed"))
+    own = first.select("mail_id", "group_idx", F.col("doc_type").alias(kind), F.col("confidence").alias(sure), F.col("classify_failed").alias(failed))
     joined = second.join(own, ["mail_id", "group_idx"])
-    return joined.withColumns({"disagrees": ~F.col("doc_type").eqNullSafe(F.col("_type")), "doc_type": F.col("_type"), "confidence": F.col("_confidence"), "classify_failed": F.col("_failed")}).drop("_type", "_confidence", "_failed")
+    return joined.withColumns({"disagrees": ~F.col("doc_type").eqNullSafe(F.col(kind)), "doc_type": F.col(kind), "confidence": F.col(sure), "classify_failed": F.col(failed)}).drop(kind, sure, failed)
 
 
 def gate_capabilities(analyses: DataFrame, dim: DataFrame) -> DataFrame:
     """``analyses`` with do_revision and do_review by their type's capabilities."""
-    caps = dim.select(F.col("doc_type").alias("_t"), F.col("caps").alias("_caps"))
-    joined = analyses.join(caps, F.col("doc_type") == F.col("_t"), "left")
+    kind, own = (fresh(analyses, x) for x in ("caps_type", "caps"))
+    caps = dim.select(F.col("doc_type").alias(kind), F.col("caps").alias(own))
+    joined = analyses.join(caps, F.col("doc_type") == F.col(kind), "left")
     ok = ~F.coalesce("llm_failed", F.lit(False)) & (F.coalesce(py_strip(F.col("revised_document")), F.lit("")) != "")
-    revise = F.coalesce(F.array_contains("_caps", "修订"), F.lit(False)) & ok
-    return joined.withColumns({"do_revision": revise, "do_review": F.coalesce(F.array_contains("_caps", "审查"), F.lit(False))}).drop("_t", "_caps")
+    revise = F.coalesce(F.array_contains(own, "修订"), F.lit(False)) & ok
+    return joined.withColumns({"do_revision": revise, "do_review": F.coalesce(F.array_contains(own, "审查"), F.lit(False))}).drop(kind, own)
 
 
 def unpack_analyses(log: DataFrame, column: str = "llm_raw_response") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmill.functions.text import blank, clipped, csv_list, label, percent, py_strip, safe_cell, split_sender
+from quillmill.functions.text import blank, clipped, csv_list, display_width, label, padded, percent, py_strip, safe_cell, split_sender, tenths
 
 NO_SUBJECT, UNRECOGNISED, UNKNOWN_ERROR = "(无主题)", "未识别", "未知错误"
 
@@ -59,16 +59,29 @@ def target_totals(ledger: DataFrame, since: str, until: str | None = None) -> Da
 
 
 def target_types(ledger: DataFrame, since: str) -> DataFrame:
-    """(target, type, n, share, note): successes by type, each type once per record."""
-    rows = ledger.filter(F.col("created_at") >= F.lit(since).cast("timestamp_ntz")).filter(~blank(F.col("target_email")) & F.col("success"))
-    named = F.array_distinct(csv_list(F.when(blank(F.col("doc_types")), F.col("doc_type")).otherwise(F.col("doc_types"))))
-    types = F.when(F.size(named) == 0, F.array(F.lit(UNRECOGNISED))).otherwise(named)
-    counts = rows.select(py_strip(F.col("target_email")).alias("target"), F.explode(types).alias("type")).groupBy("target", "type").agg(F.count("*").alias("n"))
-    totals = target_totals(ledger, since).select("target", "total")
-    joined = counts.join(totals, "target")
+    """(target, type, n, share, note): successes by type, each type once per record. The ledger is read once."""
     per = Window.partitionBy("target")
     note = (F.count("*").over(per) > 1) & (F.sum("n").over(per) != F.col("total"))
-    return joined.select("target", "type", "n", F.round(F.col("n") * 100.0 / F.col("total"), 1).alias("share"), note.alias("note"))
+    rows = target_summary(ledger, since).filter(F.col("type").isNotNull())
+    return rows.select("target", "type", "n", "share", note.alias("note"))
+
+
+def target_summary(ledger: DataFrame, since: str) -> DataFrame:
+    """(target, total, failed, type, n, share) of each target by type, in one pass; one row without a type if nothing succeeded.
+
+    A record is counted in the target's totals once and by each of its types; both are summed
+    by one aggregation over (target, type), where the totals have the null type.
+    """
+    rows = ledger.filter(F.col("created_at") >= F.lit(since).cast("timestamp_ntz")).filter(~blank(F.col("target_email")))
+    named = F.array_distinct(csv_list(F.when(blank(F.col("doc_types")), F.col("doc_type")).otherwise(F.col("doc_types"))))
+    types = F.when(~F.col("success"), F.array().cast("array<string>")).when(F.size(named) == 0, F.array(F.lit(UNRECOGNISED))).otherwise(named)
+    each = rows.select(py_strip(F.col("target_email")).alias("target"), "success", F.explode(F.array_append(types, F.lit(None).cast("string"))).alias("type"))
+    counts = each.groupBy("target", "type").agg(F.count_if("success").alias("n"), F.count_if(~F.col("success")).alias("bad"))
+    per = Window.partitionBy("target")
+    whole = F.col("type").isNull()
+    summed = counts.withColumns({"total": F.max(F.when(whole, F.col("n"))).over(per), "failed": F.max(F.when(whole, F.col("bad"))).over(per), "kinds": F.count("type").over(per)})
+    shown = summed.filter(~whole | (F.col("kinds") == 0))
+    return shown.select("target", "total", "failed", "type", F.when(~whole, F.col("n")).alias("n"), F.when(~whole, F.round(F.col("n") * 100.0 / F.col("total"), 1)).alias("share"))
 
 
 def subject_lists(ledger: DataFrame, since: str) -> DataFrame:
@@ -80,14 +93,50 @@ def subject_lists(ledger: DataFrame, since: str) -> DataFrame:
     return rows.withColumn("target", py_strip(F.col("target_email"))).select("target", seq.alias("seq"), clipped(subject).alias("subject"), kind.alias("type"))
 
 
-def render_summary(totals: DataFrame, types: DataFrame, day: str, brief: bool = True) -> DataFrame:
-    """(target, text): the day's summary for each target, types by count, then name."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "type", "n"))), lambda x: F.concat(x.type, F.lit(" "), x.n.cast("string"), F.lit(" 封")))
-    listed = types.groupBy("target").agg(F.array_join(ordered, "、" if brief else "\n").alias("types"))
+#: The rule between sections of a summary, and its last lines.
+RULE = "━" * 23
+FOOT = ("此为自动生成的每日汇总，请勿回复。", "如需调整接收邮箱或发送时间，请前往系统设置页面配置。")
+
+
+def _type_bars(types: DataFrame) -> DataFrame:
+    """(target, rows, width, n, names): types by count, then name; the width of the widest."""
+    row = F.struct((-F.col("n")).alias("order"), "type", "n")
+    listed = types.groupBy("target").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max(display_width(F.col("type"))).alias("width"), F.sum("n").alias("n"))
+    return listed.select("target", "rows", "width", "n", F.array_join(F.transform("rows", lambda x: x.type), "、").alias("names"))
+
+
+def render_summary(totals: DataFrame, types: DataFrame, day: str, brief: bool = True, subjects: DataFrame | None = None, system: str = "", now: str = "", attachment: str = "") -> DataFrame:
+    """(target, text): the day's summary for each target.
+
+    Types go by count, then name. The full text has them as aligned lines and lists the subjects of
+    ``subject_lists``; the brief one only names them, and the ``attachment`` that has the rest.
+    """
     hello = F.when(F.col("name") != "", F.concat("name", F.lit(" 您好，"))).otherwise("您好，")
-    failed = F.when(F.col("failed") > 0, F.format_string("转发失败：%d 封", "failed"))
-    lines = F.concat_ws("\n", hello, F.concat(F.lit(f"{day} 转发给 "), "target", F.lit(" 的文书")), F.format_string("转发总数：%d 封", "total"), failed, F.coalesce("types", F.lit("（今日无转发记录）")))
-    return totals.join(listed, "target", "left").select("target", lines.alias("text"))
+    head = F.concat(F.lit(f"以下是 {system} 统计的、{day} 当天转发给 "), "target", F.lit(f" 的文书汇总（{now}）："))
+    failed = F.when(F.col("failed") > 0, F.format_string("  转发失败：%d 封（已记录，需人工关注）", "failed"))
+    joined = totals.join(_type_bars(types), "target", "left")
+
+    def section(*lines: Column | str) -> Column:
+        return F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines])
+
+    if brief:
+        named = F.when(F.col("names") != "", F.concat(F.lit("📁 涉及类型："), "names"))
+        place = ("", RULE, "", f"📎 文书类型分布与今日转发清单已按表格整理在附件《{attachment}》中，", "   请下载查阅。", "", RULE) if attachment else ()
+        return joined.select("target", section(hello, "", head, "", F.format_string("📊 转发总数：%d 封", "total"), failed, named, *place, "", *FOOT).alias("text"))
+
+    def bar(x: Column) -> Column:
+        share = F.when(F.col("total") > 0, x["n"] * 100.0 / F.col("total")).otherwise(0.0)
+        return F.concat(F.lit("  "), padded(x["type"], F.col("width")), F.format_string("%3d 封  (%5.1f%%)", x["n"], tenths(share)))
+
+    note = F.when((F.size("rows") > 1) & (F.col("n") != F.col("total")), "\n  说明：一封邮件含多份不同类型文书时会按类型分别计数，\n        因此各类型数量之和可能大于转发总数。")
+    bars = F.coalesce(F.array_join(F.transform("rows", bar), "\n"), F.lit("  （今日无转发记录）"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "type", "subject"))), lambda x: F.concat(F.lit("  · ["), x["type"], F.lit("] "), x["subject"]))
+    if subjects is not None:
+        joined = joined.join(subjects.groupBy("target").agg(F.array_join(ordered, "\n").alias("listed")), "target", "left")
+    listed = F.lit(None).cast("string") if subjects is None else F.col("listed")
+    shown = F.when(listed.isNotNull(), section("", RULE, "📋 今日转发清单", RULE, listed))
+    top = section(hello, "", head, "", RULE, "📊 今日转发概况", RULE, F.format_string("  转发总数：%d 封", "total"), failed, "", RULE, "📁 文书类型分布", RULE)
+    return joined.select("target", section(top, bars, note, shown, "", RULE, "", *FOOT).alias("text"))
 
 
 def search_log(log: DataFrame, status: str | None = None, keyword: str | None = None) -> DataFrame:

@@ -11,11 +11,6 @@ from quillmill.functions.text import NON_LEGAL, OTHER, blank, csv_list, py_strip
 BROADCAST_RULES = 100_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_RULES) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def enabled(df: DataFrame) -> DataFrame:
     return df.filter(F.coalesce("enabled", F.lit(False)))
 
@@ -39,27 +34,42 @@ def match_rules(mails: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``mails``: mail_id, account_id, doc_types (array). A rule without account ids holds for all
     accounts; a list without a valid id for none. Type rules need a common type. Rules for all
-    accounts meet mails by type; only account rules for all accounts meet every mail.
+    accounts meet mails by type. Account rules for all accounts hold for every mail alike: they are
+    gathered into one list first, one row for each of their targets, which is attached to the mails.
+    A rule that a mail hits in several ways is there as often; ``ordered_targets`` does not mind.
     """
     rules = enabled(rules).filter(~blank(F.col("target_email")))
+    small = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    few = F.broadcast if small else lambda df: df
     ids = F.filter(csv_list(F.col("account_ids")), lambda x: x.rlike("^[0-9]+$"))
     typed = F.coalesce(F.col("rule_type") == "doc_type", F.lit(False))
     shaped = rules.select(
         F.col("id").alias("rule_id"), "target_email", "target_name", typed.alias("typed"), blank(F.col("account_ids")).alias("for_all"),
         F.transform(ids, lambda x: x.cast("bigint")).alias("accounts"), F.array_distinct(csv_list(F.col("doc_type"))).alias("types"),
     )
-    each_account = shaped.filter(~F.col("for_all")).withColumn("account_id", F.explode("accounts"))
+    each_account = shaped.filter(~F.col("for_all")).withColumn("account_id", F.explode(F.array_distinct("accounts")))
     each_type = shaped.filter("typed").withColumn("type", F.explode("types"))
     mail_types = mails.select("mail_id", "account_id", F.explode(F.array_distinct("doc_types")).alias("type"))
     keep = ["mail_id", "rule_id", "target_email", "target_name"]
     hits = [
-        mails.crossJoin(small(shaped.filter("for_all and not typed"))).select(*keep),
-        mails.join(small(each_account.filter("not typed")), "account_id").select(*keep),
-        mail_types.join(small(each_type.filter("for_all")), "type").select(*keep),
-        mail_types.join(small(each_type.filter("not for_all").withColumn("account_id", F.explode("accounts"))), ["type", "account_id"]).select(*keep),
+        mails.join(few(each_account.filter("not typed")), "account_id").select(*keep),
+        mail_types.join(few(each_type.filter("for_all")), "type").select(*keep),
+        mail_types.join(few(each_type.filter("not for_all").withColumn("account_id", F.explode(F.array_distinct("accounts")))), ["type", "account_id"]).select(*keep),
     ]
-    union = hits[0].union(hits[1]).union(hits[2]).union(hits[3]).distinct()
-    return union.select("mail_id", "rule_id", F.posexplode(csv_list(F.col("target_email"))).alias("pos", "target"), py_strip(F.col("target_name")).alias("name"))
+    union = hits[0].union(hits[1]).union(hits[2])
+    spread = union.select("mail_id", "rule_id", F.posexplode(csv_list(F.col("target_email"))).alias("pos", "target"), py_strip(F.col("target_name")).alias("name"))
+    every = shaped.filter("for_all and not typed").select("rule_id", F.posexplode(csv_list(F.col("target_email"))).alias("pos", "target"), py_strip(F.col("target_name")).alias("name"))
+    firsts = first_of_targets(every, "target")
+    return spread.unionByName(mails.select("mail_id").crossJoin(F.broadcast(firsts.agg(F.collect_list(F.struct("*")).alias("all")))).select("mail_id", F.inline("all")).select(*spread.columns))
+
+
+def first_of_targets(matches: DataFrame, *keys: str) -> DataFrame:
+    """(keys, rule_id, pos, name): the first rule and place of each target, and under them its first name, as rows of matches."""
+    named = F.col("name") != ""
+    least = F.min(F.struct("rule_id", "pos", "name")).alias("first")
+    by_name = F.min(F.when(named, F.struct("rule_id", "pos", "name"))).alias("by_name")
+    both = matches.groupBy(*keys).agg(least, by_name)
+    return both.select(*keys, F.explode(F.array_distinct(F.array_compact(F.array("first", "by_name")))).alias("m")).select(*keys, "m.*")
 
 
 def ordered_targets(matches: DataFrame) -> DataFrame:

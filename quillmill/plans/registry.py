@@ -1,43 +1,19 @@
-"""All registered queries of the mail operators, each next to its DuckDB SQL."""
+"""Queries of reports, routing, the ledger and differences, each next to its DuckDB SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as fn
 from quillmill.operators import ledger, maintenance, modelio, reports, revision, routing
-from quillmill.plans.views import rules, view, with_views
+from quillmill.plans.catalogue import query
+from quillmill.plans.views import rules, view
 from quillmill.sources import mail
 from quillmill.streaming import polls
 
 FLAGSHIP = "target_summary"
 AS_OF, SINCE = "2000-06-15 12:00:00", "1999-01-01 00:00:00"
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *names: str) -> Callable[[Query], Query]:
-    """Register a query; ``sql`` reads the views ``names``."""
-
-    def add(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql:
-            _sql[f.__name__] = with_views(sql.strip(), *names)
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
 
 
 LISTED = "list_filter(list_transform(string_split({}, ','), lambda x: trim(x)), lambda x: x <> '')"
@@ -49,9 +25,7 @@ TYPE_COUNTS = f"SELECT target, type, count(*) AS n FROM (SELECT trim(target_emai
 @query(f"WITH totals AS ({TOTALS}), kinds AS ({TYPE_COUNTS}) SELECT t.target, t.total, t.failed, k.type, k.n, round(k.n * 100.0 / t.total, 1) AS share FROM totals t LEFT JOIN kinds k USING (target)", "ledger")
 def target_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was forwarded to each target since a time, by type."""
-    rows = view(spark, sf_dir, "ledger")
-    totals = reports.target_totals(rows, SINCE).select("target", "total", "failed")
-    return totals.join(reports.target_types(rows, SINCE).drop("note"), "target", "left").select("target", "total", "failed", "type", "n", "share")
+    return reports.target_summary(view(spark, sf_dir, "ledger"), SINCE)
 
 
 @query(f"SELECT trim(target_email) AS target, count(*) FILTER (WHERE success) AS total, count(*) FILTER (WHERE NOT success) AS failed, coalesce((min(struct_pack(a := created_at, b := target_name)) FILTER (WHERE trim(target_name) <> '')).b, '') AS name FROM ledger WHERE created_at >= TIMESTAMP '{SINCE}' GROUP BY 1", "ledger")
@@ -88,10 +62,10 @@ CLIP = "CASE WHEN length({0}) > 60 THEN left({0}, 57) || '...' ELSE {0} END"
 SUBJECT = "CASE WHEN trim(coalesce(subject, '')) = '' THEN '(无主题)' ELSE subject END"
 
 
-@query(f"SELECT target, {CLIP.format('s')} AS subject, type, count(*) AS n FROM (SELECT trim(target_email) AS target, {SUBJECT} AS s, CASE WHEN trim(doc_type) = '' THEN '未识别' ELSE doc_type END AS type FROM ledger WHERE success AND created_at >= TIMESTAMP '2001-06-01') GROUP BY 1, 2, 3", "ledger")
+@query(f"SELECT target, CAST(row_number() OVER (PARTITION BY target ORDER BY created_at, id) AS INTEGER) AS seq, {CLIP.format('s')} AS subject, type FROM (SELECT trim(target_email) AS target, created_at, id, {SUBJECT} AS s, CASE WHEN trim(doc_type) = '' THEN '未识别' ELSE doc_type END AS type FROM ledger WHERE success AND created_at >= TIMESTAMP '{SINCE}')", "ledger")
 def subject_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subjects per target (F5), counted, as the ledger has no unique order."""
-    return reports.subject_lists(view(spark, sf_dir, "ledger"), "2001-06-01").groupBy("target", "subject", "type").agg(F.count("*").alias("n"))
+    """Subjects per target by time, then id."""
+    return reports.subject_lists(view(spark, sf_dir, "ledger"), SINCE)
 
 
 @query("SELECT id, status FROM mail_log WHERE status = 'failed' AND (subject ILIKE '%1-u_gent%' OR sender ILIKE '%1-u_gent%' OR case_summary ILIKE '%1-u_gent%')", "mail_log")
@@ -129,10 +103,19 @@ def attachment_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.attachment_manifest(view(spark, sf_dir, "attachments"), view(spark, sf_dir, "mail_log"), "attachments", "1999-02-01", "1999-03-10")
 
 
-@query("SELECT strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, regexp_extract(sender, '\"(.*)\"', 1) AS sender_name, regexp_extract(sender, '<(.*)>', 1) AS sender_addr, coalesce(subject, '') AS subject, CASE urgency WHEN 'high' THEN '紧急' WHEN 'low' THEN '普通' ELSE '一般' END AS urgency, CASE status WHEN 'pending' THEN '待处理' WHEN 'analyzed' THEN '已分析' WHEN 'forwarded' THEN '已转发' WHEN 'failed' THEN '失败' ELSE '已跳过' END AS status, CASE WHEN case_summary LIKE '=%' THEN '''' || case_summary ELSE case_summary END AS case_summary, coalesce(doc_type, '') AS doc_type FROM mail_log", "mail_log")
+SAFE = r"CASE WHEN regexp_matches({0}, '^\s*[=+@-]') THEN chr(39) || {0} ELSE {0} END AS {0}"
+EXPORTED = """
+t AS (SELECT strftime(l.created_at, '%Y-%m-%d %H:%M:%S') AS created_at, regexp_extract(sender, '"(.*)"', 1) AS sender_name, regexp_extract(sender, '<(.*)>', 1) AS sender_addr, coalesce(subject, '') AS subject, coalesce(doc_type, '') AS doc_type,
+    CASE urgency WHEN 'high' THEN '紧急' WHEN 'low' THEN '普通' ELSE '一般' END AS urgency, CASE status WHEN 'pending' THEN '待处理' WHEN 'analyzed' THEN '已分析' WHEN 'forwarded' THEN '已转发' WHEN 'failed' THEN '失败' ELSE '已跳过' END AS status,
+    case_summary, coalesce(key_date, '') AS key_date, coalesce(case_number, '') AS case_number, coalesce(involved_parties, '') AS involved_parties, target_email AS targets, coalesce(a.names, '') AS attachments
+    FROM mail_log l LEFT JOIN (SELECT log_id, string_agg(filename, '; ' ORDER BY id, filename) AS names FROM attachments GROUP BY 1) a ON a.log_id = l.id)
+"""
+
+
+@query(f"WITH {EXPORTED.strip()} SELECT {', '.join(map(SAFE.format, ('created_at', 'sender_name', 'sender_addr', 'subject', 'doc_type', 'urgency', 'status', 'case_summary', 'key_date', 'case_number', 'involved_parties', 'targets', 'attachments')))} FROM t", "mail_log", "attachments")
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reports.export_rows(view(spark, sf_dir, "mail_log"), view(spark, sf_dir, "attachments"))
-    return rows.select("created_at", "sender_name", "sender_addr", "subject", "urgency", "status", "case_summary", "doc_type")
+    """The 13 columns of the export (A10)."""
+    return reports.export_rows(view(spark, sf_dir, "mail_log"), view(spark, sf_dir, "attachments"))
 
 
 MATCH = """
@@ -173,13 +156,6 @@ def assembled_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("mail_id", "doc_type", "case_summary", "doc_types", "pick_type", "pick_confidence", F.array_join(F.array_sort("route_types"), ",").alias("route_types"), "any_failed", "all_failed", "no_basis")
 
 
-@query()
-def routed_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict on each mail with its ordered targets (B6, B8); tested against a plain restatement."""
-    rows = routing.assemble_mail(view(spark, sf_dir, "analyses")).withColumn("account_id", F.col("mail_id") % 12)
-    return routing.route(rows, rules(spark), "default@example.com")
-
-
 @query("WITH t AS (SELECT id AS log_id, unnest(string_split(target_email, ',')) AS raw, generate_subscripts(string_split(target_email, ','), 1) - 1 AS pos FROM mail_log WHERE status = 'failed') SELECT log_id, CAST(pos AS INTEGER) AS pos, trim(raw) AS target FROM t WHERE trim(raw) <> '' AND NOT EXISTS (SELECT 1 FROM ledger l WHERE l.success AND l.log_id = t.log_id AND trim(l.target_email) = trim(t.raw))", "mail_log", "ledger")
 def pending_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.pending_targets(view(spark, sf_dir, "mail_log"), view(spark, sf_dir, "ledger"))
@@ -274,14 +250,6 @@ def daily_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polls.daily_targets(view(spark, sf_dir, "ledger"))
 
 
-@query()
-def throttled_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failures in a trailing window block an attempt (E7); events are sparse, so the window is wide."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type in ('error', 'purchase')")
-    attempts = events.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("ok"))
-    return polls.throttle(attempts, 40 * 86_400, 3)
-
-
 @query()
 def text_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences between each turn and itself with words replaced (H20), then the guard."""

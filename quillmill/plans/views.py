@@ -38,6 +38,11 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         "least(value / 100, 1.0) AS confidence", "event_id % 8 = 0 AS classify_failed", "event_id % 5 = 0 AS llm_failed",
         "concat('summary ', CAST(event_id AS STRING)) AS case_summary", "concat('reading ', CAST(event_id AS STRING)) AS ai_interpretation", "CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS urgency",
         "CAST(NULL AS STRING) AS key_date", "CAST(NULL AS STRING) AS case_number", "concat('user ', CAST(user_id AS STRING)) AS involved_parties")),
+    "rule_forms": ("customer", (
+        "c_custkey AS id", "CASE c_custkey % 4 WHEN 0 THEN 'doc_type' WHEN 1 THEN 'account' WHEN 2 THEN 'weird' ELSE NULL END AS rule_type",
+        "CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat(CAST(c_custkey % 60 % 7 AS STRING), ', ', CAST(c_custkey % 3 AS STRING)) END AS account_ids",
+        "CASE c_custkey % 6 WHEN 0 THEN ' , ' WHEN 1 THEN 'click, view,click' ELSE c_mktsegment END AS doc_type", "concat(' s', CAST(c_custkey % 60 % 11 AS STRING), '@example.com ') AS target_email", "'' AS target_name",
+        "CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat(c_name, ' , ', c_name) ELSE concat(c_name, ',nobody') END AS account_names", "TRUE AS enabled")),
     "bodies": ("documents", ("doc_id AS mail_id", "doc_id % 40 AS account_id", "source AS sender", "text", "lang")),
     "parts": ("conversations", ("conv_id AS mail_id", "CAST(turn AS INT) AS att_idx", "concat(role, CAST(turn AS STRING), '.txt') AS filename", "text")),
 }

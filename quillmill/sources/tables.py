@@ -13,8 +13,8 @@ SCHEMAS = {
 }
 
 
-def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in SCHEMAS.items()}
+def read_tables(spark: SparkSession, folder: str, names: tuple[str, ...] = tuple(SCHEMAS)) -> dict[str, DataFrame]:
+    return {name: spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}") for name in names}
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str) -> None:

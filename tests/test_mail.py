@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.operators import maintenance, modelio, reports, revision
+from quillmill.operators import ledger, maintenance, modelio, reports, revision
 from quillmill.sources import archives, mail
 from quillmill.streaming import polls
 
@@ -112,12 +112,15 @@ def test_groups_prompts_and_stages(spark):
     rows = [(1, 3, [[0, 1], [2]], True), (2, 3, [[0], [1]], True), (3, 2, [[0], [5]], True), (4, 1, None, True), (5, 3, [[0], [1], [2]], False)]
     got = {r.mail_id: r.groups for r in modelio.validate_groups(spark.createDataFrame(rows, "mail_id int, n int, groups array<array<int>>, grouping boolean")).collect()}
     assert got == {1: [[0, 1], [2]], 2: [[0], [1], [2]], 3: [[0], [1]], 4: [[0]], 5: [[0, 1, 2]]}
-    t = "head ## Input " + "x" * 4000 + " ## Output tail"
-    prompts = spark.createDataFrame([(1, t, 300, True), (2, t, 300, False)], "id int, prompt string, budget int, has_attachments boolean")
-    cut = {r.id: r.prompt for r in modelio.truncate_prompt(prompts).collect()}
-    assert len(cut[1]) < 1300 and cut[1].endswith("## Output tail") and cut[2] == t
     filled = spark.range(1).select(modelio.fill_template("{a} {b} {c}", {"a": F.lit("{b}"), "b": F.lit("x")}).alias("v")).first().v
     assert filled == "{b} x {c}"
+    values = {"file_list": F.lit("0. a"), "hint": F.lit("more"), "none": F.lit("")}
+    filled = spark.range(1).select(modelio.fill_template("ask {x}", values, {"file_list": "附件列表：", "hint": "", "none": "?"}).alias("v")).first().v
+    assert filled == "ask {x}\n\n附件列表：\n0. a\n\nmore"
+    assert spark.range(1).select(modelio.fill_template("{file_list}!", values, {"file_list": "附件列表："}).alias("v")).first().v == "0. a!"
+    legal, done = modelio.split_non_legal(spark.createDataFrame([(1, "非法律文书", 0.4, False), (2, "非法律文书", 0.5, True), (3, "t", 0.9, False)], "mail_id int, doc_type string, confidence double, classify_failed boolean"))
+    r = done.first()
+    assert sorted(x.mail_id for x in legal.collect()) == [2, 3] and (r.urgency, r.confidence, r.key_date, r.agency_name, r.case_summary) == ("low", 0.4, None, "", "非法律文书，无需法律分析")
     first = spark.createDataFrame([(1, 0, "t", 0.9, False)], "mail_id int, group_idx int, doc_type string, confidence double, classify_failed boolean")
     second = spark.createDataFrame([(1, 0, "u", 0.1, "s")], "mail_id int, group_idx int, doc_type string, confidence double, case_summary string")
     merged = modelio.merge_stages(first, second).first()
@@ -133,6 +136,42 @@ def test_groups_prompts_and_stages(spark):
     assert links.links == ["http://b", "http://a", "http://c"]
 
 
+def plain_prompt(template, attachments, window, ratio, output):
+    def tokens(text):
+        chinese = sum("\u4e00" <= c <= "\u9fff" or "\u3400" <= c <= "\u4dbf" for c in text)
+        return max(int(chinese / 0.85 + (len(text) - chinese) / 4), len(text) // 10)
+
+    def whole(a):
+        return template + (f"\n\n## 附件内容\n{a}" if a else "")
+
+    most = max(1024, int(window * ratio) - output)
+    if not attachments or tokens(whole(attachments)) <= most:
+        return template, attachments
+    parts = ["=== " + x.strip() for x in attachments.split("=== ") if x.strip()]
+    for n in range(len(parts) - 1, -1, -1):
+        if tokens(whole("\n\n".join(parts[:n]))) <= most:
+            return template, "\n\n".join(parts[:n])
+    a, b = template.find("## Input"), template.find("## Output")
+    if not 0 <= a < b:
+        return template[: most * 2], ""
+    region = template[a:b]
+    while len(region) > 100 and tokens(template[:a] + region + template[b:]) > most:
+        region = region[: len(region) - max(1, int(len(region) * 0.15))]
+    if tokens(template[:a] + region + template[b:]) > most:
+        region = "## Input\n(body truncated due to length)\n## Output\n"
+    return template[:a] + region + template[b:], ""
+
+
+def test_prompts_within_a_budget(spark):
+    lists = ["", "条款。" * 5000, "=== 附件: a ===\n" + "x" * 900 + "\n\n=== 附件: b ===\n" + "条" * 400 + "\n\n=== 附件: c ===\nlast"]
+    templates = ["head\n## Input\n正文。\n## Output\njson", "head\n## Input\n" + "正文。" * 3000 + "\n## Output\njson", "no region " * 2000, "## Output first ## Input " + "正" * 3000, "标" * 4000 + "## Input\nx\n## Output\n"]
+    rows = [(n, t, a, w, r, o) for n, (t, a, (w, r, o)) in enumerate((t, a, s) for t in templates for a in lists for s in ((8192, 0.5, 100), (0, 0.5, 0), (131072, 0.5, 2000), (5000, 0.5, 1000)))]
+    rows += [(len(rows), None, None, 0, 0.5, 0)]
+    got = {r.id: (r.template, r.attachments) for r in modelio.truncate_prompt(spark.createDataFrame(rows, "id int, template string, attachments string, window int, ratio double, output int")).collect()}
+    for n, t, a, w, r, o in rows:
+        assert got[n] == plain_prompt(t or "", a or "", w, r, o), (n, t[:30], a[:30], w)
+
+
 def test_capabilities(spark, tmp_path):
     for name, text in (("合同", "---\ncaps: 修订 #审查\n---\nbody"), ("起诉状", "no header"), ("非法律文书", "x")):
         (tmp_path / f"{name}.md").write_text(text)
@@ -201,12 +240,33 @@ def test_target_summary(spark):
     totals, types = reports.target_totals(df, since), reports.target_types(df, since)
     assert {(r.target, r.total, r.failed, r.name) for r in totals.collect()} == {("a@x.com", 3, 0, "A"), ("b@x.com", 1, 1, "")}
     assert {(r.target, r.type, r.n) for r in types.collect()} == {("a@x.com", t, 1) for t in ("合同协议", "政府信息公开", "起诉状", "证据材料")} | {("b@x.com", "合同协议", 1)}
-    text = {r.target: r.text for r in reports.render_summary(totals, types, since).collect()}
+    text = {r.target: r.text for r in reports.render_summary(totals, types, since, attachment="表").collect()}
     assert "转发失败：1 封" in text["b@x.com"] and "转发失败" not in text["a@x.com"] and text["a@x.com"].startswith("A 您好，")
+    assert "📁 涉及类型：合同协议、政府信息公开、证据材料、起诉状" in text["a@x.com"].split("\n") and "附件《表》中" in text["a@x.com"]
+    text = {r.target: r.text.split("\n") for r in reports.render_summary(totals, types, since, brief=False, subjects=reports.subject_lists(df, since), system="系统", now="18:00").collect()}
+    assert text["a@x.com"][2] == f"以下是 系统 统计的、{since} 当天转发给 a@x.com 的文书汇总（18:00）："
+    assert "  合同协议        1 封  ( 33.3%)" in text["a@x.com"] and "  政府信息公开    1 封  ( 33.3%)" in text["a@x.com"]
+    assert "  说明：一封邮件含多份不同类型文书时会按类型分别计数，" in text["a@x.com"] and not any("说明" in x for x in text["b@x.com"])
+    assert sum(x.startswith("  · [") for x in text["a@x.com"]) == 3 and text["a@x.com"][-1].startswith("如需调整")
     assert reports.subject_lists(df, since).filter("target = 'a@x.com'").orderBy("seq").first().subject == reports.NO_SUBJECT
     assert reports.target_totals(df, "2025-01-01").collect() == []
 
 
+def test_images_and_endpoints(spark):
+    row = [("h", 1, "u", "p", 1), ("h", 1, "u", "p", 2), None, ("h", 1, None, "p", 3), ("h", 1, None, "p", 4)]
+    df = spark.createDataFrame([(row, list("abcdefg"))], "e array<struct<host: string, port: int, username: string, password_encrypted: string, n: int>>, i array<string>")
+    got = df.select(ledger.distinct_endpoints(F.col("e")).alias("e"), mail.first_images(F.col("i")).alias("i")).first()
+    assert [x.n for x in got.e] == [1, 3] and got.i == list("abcde")
+
+
+def test_rejects(spark):
+    raw = spark.createDataFrame([("good", b"Subject: s\nX-Forwarded-By: one\nX-Forwarded-By: two\nList-Id: l\nReply-To: r\n\nbody"), ("bad", None)], "path string, content binary")
+    parsed = mail.parse_or_reject(raw, "2024-01-01 00:00:00")
+    assert [(r.path, r.error is not None) for r in mail.rejects(parsed).collect()] == [("bad", True)]
+    good = mail.parse_mail(raw, "2024-01-01 00:00:00").collect()
+    assert [(r.path, r.headers) for r in good] == [("good", {"x-forwarded-by": "one", "list-id": "l"})]
+
+
 def test_maintenance_and_exports(spark, tmp_path):
     log = spark.createDataFrame([(1, "pending", "2024-01-01"), (2, "failed", "2024-05-01")], "id bigint, status string, at string").select("id", "status", F.col("at").cast("timestamp_ntz").alias("created_at"))
     child = spark.createDataFrame([(10, 1, "f1"), (20, 2, "")], "id bigint, log_id bigint, file_path string")
@@ -218,6 +278,9 @@ def test_maintenance_and_exports(spark, tmp_path):
     assert sorted(map(tuple, maintenance.upsert(now, snap, ["k"], skip="***").collect())) == [("a", "1", 1), ("b", "2", 9), ("c", "3", 3)]
     old = maintenance.upgrade_rules(spark.createDataFrame([(1, None, 7), (2, "", None)], "id int, rule_type string, account_id int"))
     assert [(r.rule_type, r.account_ids, r.enabled) for r in old.collect()] == [("account", "7", True), ("account", "", True)]
+    for table, added in maintenance.ADDED_COLUMNS.items():
+        up = maintenance.upgrade_schema(spark.range(1).withColumn("rule_type", F.lit("")), table)
+        assert {n for n, _, _ in added} <= set(up.columns) and maintenance.upgrade_schema(up, table).columns == up.columns
 
 
 def test_streams_equal_batches(spark, tmp_path):
