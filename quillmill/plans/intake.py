@@ -9,7 +9,7 @@ from quillmill.plans.catalogue import query
 from quillmill.plans.registry import AS_OF
 from quillmill.plans.views import view
 from quillmill.sources import archives, mail
-from quillmill.sources.scratch import scratch_path
+from quillmill.sources.scratch import scratch_path, until_exit
 from quillmill.streaming import polls
 
 
@@ -148,4 +148,5 @@ def polled_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
         polls.new_only(batch, log.filter("id <= 400")).select("message_id").write.mode("overwrite").parquet(f"{out}/mails/batch={number}")
 
     polls.run_polls(polls.exactly_once(mails), sink, f"{out}/state").awaitTermination()
+    until_exit(spark, out)
     return spark.read.schema("message_id string").parquet(f"{out}/mails").select("message_id")

@@ -11,7 +11,7 @@ from quillmill.plans.catalogue import query
 from quillmill.plans.registry import AS_OF, SINCE, TOTALS, TYPE_COUNTS
 from quillmill.plans.views import view
 from quillmill.sources import tables
-from quillmill.sources.scratch import scratch_path
+from quillmill.sources.scratch import scratch_path, until_exit
 from quillmill.streaming import polls
 
 MARKED = "concat('开头', CAST(id AS STRING), '【新增】', case_summary, '【修改】内【/修改】', '【/新增】 【删除】', CASE WHEN id % 2 = 0 THEN '' ELSE status END, '【/删除】【/修改】完【新增】尾')"
@@ -201,6 +201,7 @@ def stored_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "accounts").select("id", "name", "username", "imap_host", "filter_sender", F.lit(30).alias("check_interval"), F.lit(True).alias("download_attachments"), "enabled")
     folder = scratch_path(spark, "mail-tables")
     tables.write_tables({"accounts": rows}, folder)
+    until_exit(spark, folder)
     return maintenance.upgrade_schema(tables.read_tables(spark, folder, ("accounts",))["accounts"], "accounts").select("id", "name", "forward_to", "imap_host", "enabled")
 
 
