@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions.names import fresh
-from quillmill.sources.scratch import scratch_path
+from quillmill.sources.scratch import discard, scratch_path, until_exit  # noqa: F401  operators take them from here
 
 #: A word is a run of anything but ASCII white space, as in ``bytes.split()``.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,15 +29,10 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
     df.write.parquet(path)
+    until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table that nothing reads any more."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
-
 def word_count(text: Column) -> Column:
     """Words of a text as a long; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import bpe, langid, mixing, quality, secrets, sharding, simhash, tokencount, tokenstore, topk
-from quillmill.llm.common import materialize, scratch_path, word_count
+from quillmill.llm.common import materialize, scratch_path, until_exit, word_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFram
     first = sharding.even_slots(shards)
     for version in (first, sharding.rebalance(first, sizes, slack=SLACK)):
         sharding.write_map(spark, version, path)
+    until_exit(spark, path)
     placed = sharding.place(records, sharding.read_map(spark, path), rows, ["doc_id", "text_crc32", "size"])
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("position").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("slot").alias("virtual_slot")
@@ -61,6 +62,7 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded into a content-addressed store, and what its files say of each."""
     store = scratch_path(spark, "token-store")
     tokenstore.write_store(documents(spark, sf_dir), store)
+    until_exit(spark, store)
     return tokenstore.document_digests(spark, store)
 
 

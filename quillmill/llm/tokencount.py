@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quillmill.llm.bpe import read_ranks
 from quillmill.llm.chunks import once, ship
-from quillmill.llm.common import by_arrow, materialize, scratch_path, split_by, texts_of
+from quillmill.llm.common import by_arrow, materialize, scratch_path, split_by, texts_of, until_exit
 
 #: Characters of a leaf at least, if a safe space follows.
 LEAF = 512
@@ -270,6 +270,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     or end; a null replacement is empty. ``store`` is where the trees stay, by default a scratch folder.
     """
     spark = df.sparkSession
+    passing = store is None
     store = store or scratch_path(spark, "trees")
     if isinstance(edits, str):  # by their documents' rows, which alone tell equal ids apart
         keyed = materialize(df.select(F.struct(F.col(id_col).alias("id"), F.col(edits).cast(EDITS).alias("edits")).alias("both"), F.col(text_col).alias("text")), "edited")
@@ -279,6 +280,8 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         write_trees(df, store, id_col, text_col, path, pattern, leaf)
         edit_trees(spark, store, edits, path, pattern)
+    if passing:
+        until_exit(spark, store)
     before, after = (spark.read.parquet(f"{store}/version={k}") for k in (1, 2))
     changed = after.select("row", F.col("sums")[1].alias("after"), "n_edits", "n_chars_again")
     joined = counts(before).join(changed, "row", "left")
