@@ -232,7 +232,8 @@ def page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.length("html").cast("long").alias("n_html"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.length(fn.squash_ws(F.col("html"))).cast("long").alias("n_solid"))
 
 
-@query()
+@query("""WITH t AS (SELECT page_id, string_split(regexp_replace(regexp_replace(replace(html, '"</p>"', chr(3)), '<!--.*?-->', chr(1), 'g'), '<[^>]*>', chr(1), 'g'), chr(1)) AS s FROM pages)
+SELECT page_id, array_to_string(list_filter(list_transform(s, lambda x: trim(replace(replace(replace(replace(replace(x, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(3), '"</p>"'), ' ' || chr(10) || chr(9) || chr(13))), lambda x: x <> ''), chr(10)) AS text FROM t""")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of the pages."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -257,11 +258,3 @@ def text_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat_ws("-", "conv_id", "turn")
     pairs = turns.select(key.alias("pair_id"), F.split("text", r"(?<=\.) ").alias("original"), F.regexp_replace(F.regexp_replace("text", r"(?<=\.) ", "\n"), r"\b(the|de|la|der)\b", "【修改】x【/修改】").alias("revised"))
     return revision.revision_guard(revision.diff_pairs(pairs))
-
-
-@query()
-def marked_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs of each document with some words marked as deleted."""
-    docs = view(spark, sf_dir, "bodies")
-    marked = docs.select("mail_id", F.regexp_replace("text", r"\b(the|de|la|der)\b", "【删除】$1【/删除】").alias("text"))
-    return revision.marked_paragraphs(marked, "mail_id", "text").groupBy("mail_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))

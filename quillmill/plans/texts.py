@@ -37,6 +37,22 @@ def revised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revision.marked_paragraphs(view(spark, sf_dir, "mail_log").select("id", text.alias("text")), "id", "text")
 
 
+UNFINISHED = "regexp_matches({0}, '[，,、：:（(「『【]$')"
+STANDALONE = r"({0} <> '' AND NOT regexp_matches({0}, '[，,、：:（(「『【]$') AND (regexp_matches({0}, '^第[一二三四五六七八九十百零〇\d]+[条章节款项目]|^[一二三四五六七八九十]+[、．.]|^[（(]\s*\d+\s*[）)]|^\d+\s*[、．.]\s*\S|^[^：:]{{1,12}}[：:]') OR (length({0}) <= 20 AND NOT regexp_matches({0}, '[，,。；;：:]'))))"
+
+
+@query(f"""WITH t AS (SELECT mail_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS lines FROM bodies),
+l AS (SELECT mail_id, unnest(lines) AS raw, generate_subscripts(lines, 1) AS n FROM t), s AS (SELECT *, trim(raw, ' ' || chr(9) || chr(11) || chr(12)) AS s FROM l),
+p AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY mail_id ORDER BY n), '') AS prev FROM s),
+b AS (SELECT *, sum(CASE WHEN s <> '' AND (prev = '' OR NOT ({UNFINISHED.format('prev')} OR NOT ({STANDALONE.format('prev')} OR {STANDALONE.format('s')}))) THEN 1 ELSE 0 END) OVER (PARTITION BY mail_id ORDER BY n) AS para FROM p),
+g AS (SELECT mail_id, para, CASE WHEN bool_or(contains(raw, ' the ')) THEN 'delete' ELSE 'normal' END AS kind, sum(length(raw)) + count(*) - 1 AS chars FROM b WHERE s <> '' GROUP BY 1, 2)
+SELECT mail_id, kind, count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars FROM g GROUP BY 1, 2""", "bodies")
+def marked_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of each document with some words marked as deleted."""
+    marked = view(spark, sf_dir, "bodies").select("mail_id", F.replace("text", F.lit(" the "), F.lit(" 【删除】the【/删除】 ")).alias("text"))
+    return revision.marked_paragraphs(marked, "mail_id", "text").groupBy("mail_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
 @query(f"SELECT id, '{LONG[0]}。' || chr(10) || '{LONG[1]}。' || '|' || id || '、' || status || '|' || CASE WHEN id % 2 = 0 THEN '甲方：某某，' || chr(10) || '{LONG[1]}。' ELSE '短行|{LONG[1]}。' END AS paragraphs FROM mail_log", "mail_log")
 def split_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of plain texts."""

@@ -7,12 +7,14 @@ import email.header
 import email.policy
 import email.utils
 import io
+import json
 import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 from datetime import timezone
 from email.message import Message
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -53,12 +55,32 @@ def html_text(html: str | None) -> str:
     return "\n".join(parser.parts)
 
 
-def html_to_text(c: Column) -> Column:
-    @F.pandas_udf("string")
-    def convert(pages: pd.Series) -> pd.Series:
-        return pages.map(html_text)
+#: What is not text in a page: comments, tags, and tags around scripts and styles, whose content is text as it stands.
+MARKUP = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>(.*?)</\1\s*>|<[a-z/!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+CUT, AS_IS = "\x01", "\x02"
+ENTITY = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
-    return convert(c)
+
+def unescaped(c: Column) -> Column:
+    """A text with the characters that HTML's entities stand for; those that it doesn't know stay."""
+    named = {f"&{name}": value for name, value in html5.items() if name.endswith(";")}
+    known = F.from_json(F.lit(json.dumps(named)), "map<string, string>")
+    parts = F.split(c, f"(?={ENTITY})|(?<=;)")
+
+    def said(x: Column) -> Column:
+        digits = F.regexp_extract(x, r"^&#(\d+);$", 1)
+        number = F.coalesce(F.nullif(digits, F.lit("")).cast("bigint"), F.conv(F.nullif(F.regexp_extract(x, "^&#[xX]([0-9a-fA-F]+);$", 1), F.lit("")), 16, 10).cast("bigint"))
+        one = F.when(number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        return F.when(x.startswith("&"), F.coalesce(one, F.try_element_at(known, x), x)).otherwise(x)
+
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(parts, said), "")).otherwise(c)
+
+
+def html_to_text(c: Column) -> Column:
+    """Visible strings of a page, a line each; scripts are text, comments are none. A null page has no text."""
+    marked = F.split(F.regexp_replace(F.coalesce(c, F.lit("")), MARKUP, f"{CUT}{AS_IS}$2{CUT}"), CUT)
+    lines = F.transform(marked, lambda x: py_strip(F.when(x.startswith(AS_IS), F.substring(x, 2, 1 << 30)).otherwise(unescaped(x))))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def decoded(value: object) -> str:

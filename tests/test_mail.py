@@ -6,6 +6,7 @@ import io
 import random
 import tarfile
 import zipfile
+from collections import Counter
 from email.header import Header
 from email.message import EmailMessage
 
@@ -178,6 +179,11 @@ def test_capabilities(spark, tmp_path):
     assert [(r.doc_type, r.caps, r.ord) for r in modelio.capability_dim(spark, str(tmp_path)).orderBy("ord").collect()] == [("合同", ["修订", "审查"], 0), ("起诉状", [], 1), ("其他法律文书", [], 2), ("非法律文书", [], 3)]
 
 
+def test_page_text(spark):
+    pages = ["<p>a &amp; b</p><!-- c -->d", "<script>if (a<b && c) x('</p>&amp;')</script>t", "<a title='x > y'>l</a>", "&#65;&#x1F642;&copy;&nope;&#0; &lt;b&gt;", "a < b", "", None, " \n <br/> \u3000", "<P>one\ntwo</P><style>p{}</style>", "&nbsp;x&nbsp;"]
+    assert cells(spark, mail.html_to_text(F.col("t")), pages) == ["a & b\nd", "if (a<b && c) x('</p>&amp;')\nt", "l", "A🙂©&nope;&#0; <b>", "a < b", "", "", "", "one\ntwo\np{}", "x"]
+
+
 def cells(spark, column, texts):
     rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", column.alias("v")).orderBy("n").collect()
     return [r.v for r in rows]
@@ -225,6 +231,26 @@ def test_revision(spark):
     assert "".join(r.text for r in rows if r.old_idx == 0 and r.piece_kind in ("equal", "del")) == "第一条 期限为30日内支付。"
 
 
+def test_differences_lead_from_one_text_to_the_other(spark):
+    """Equal and deleted pieces are the original, equal and inserted ones the revision, for all turns of the registered query."""
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    key = F.concat_ws("-", "conv_id", "turn")
+    pairs = turns.select(key.alias("pair_id"), F.split("text", r"(?<=\.) ").alias("original"), F.regexp_replace(F.regexp_replace("text", r"(?<=\.) ", "\n"), r"\b(the|de|la|der)\b", "【修改】x【/修改】").alias("revised"))
+    rows = {}
+    for r in revision.diff_pairs(pairs).orderBy("pair_id", "seq").collect():
+        rows.setdefault(r.pair_id, []).append(r)
+    guard = {r.pair_id: r for r in revision.revision_guard(revision.diff_pairs(pairs)).collect()}
+    seen = Counter()
+    for p in pairs.collect():
+        own = rows[p.pair_id]
+        old, new = ("".join("".join(r.text for r in own if r.piece_kind in kinds).split()) for kinds in (("equal", "del"), ("equal", "ins")))
+        assert old == "".join("".join(p.original).split()) and new == "".join(p.revised.replace("【修改】", "").replace("【/修改】", "").split())
+        deleted, kept = (sum(len(r.text) for r in own if r.piece_kind == k) for k in ("del", "equal"))
+        assert (guard[p.pair_id].deleted, guard[p.pair_id].rejected) == (deleted, deleted >= 800 and deleted / (deleted + kept) > 0.6)
+        seen.update(r.op for r in own)
+    assert seen["equal"] and seen["edit"]
+
+
 def test_guard_and_base(spark):
     pairs = spark.createDataFrame([(1, ["很长的" * 400, "短"], "短"), (2, ["同"], "同")], "pair_id bigint, original array<string>, revised string")
     assert {r.pair_id: r.rejected for r in revision.revision_guard(revision.diff_pairs(pairs)).collect()} == {1: True, 2: False}
