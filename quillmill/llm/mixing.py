@@ -8,7 +8,7 @@ often as whole passes say, and a seeded order picks the documents of the last, p
 
 Only one row per pattern reaches the driver; ``MAX_PATTERNS`` bounds them, and more raise an
 error. The documents are read twice and never shuffled, but for those in the one hash range
-of each pattern in which the partial pass ends.
+of a million of each pattern in which the partial pass ends.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from quillmill.llm.common import materialize
 
 MAX_PATTERNS = 100_000
-#: Hash ranges of the seeded order, as a power of two.
+#: Hash ranges of the seeded order, and ranges within each, as powers of two.
 RANGE_BITS = 10
 #: Columns that ``mix`` adds.
 ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
@@ -122,6 +122,11 @@ def cycle_weights(sources: list[str | None]) -> dict[str | None, float]:
     return {s: float(k % 3 + 1) for k, s in enumerate(ordered)}
 
 
+def sub_of(draw: Column) -> Column:
+    """The range within a draw's hash range."""
+    return F.shiftright(draw, 64 - 2 * RANGE_BITS).bitwiseAND(F.lit((1 << RANGE_BITS) - 1))
+
+
 def mix(df: DataFrame, size: Column, sources: Column, order: Column, weights: dict[str | None, float] | None = None, total: float | None = None, max_repeats: int = 3, seed: int = 17) -> DataFrame:
     """``df`` with mix_size, mix_source_size, mix_target (of its first source) and mix_copies.
 
@@ -159,23 +164,30 @@ def mix(df: DataFrame, size: Column, sources: Column, order: Column, weights: di
         plan.append((r.pattern, sizes[members[0]], float(targets[members[0]]), passes, float(rest)))
     plan_df = spark.createDataFrame(plan, "pattern string, source_size long, target double, passes int, rest double")
 
-    # the hash range in which the partial pass ends, then its last document
-    by_bin = base.groupBy("pattern", "bin").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("bin"))
-    ends = by_bin.withColumn("upto", upto).join(F.broadcast(plan_df), "pattern").filter(F.col("upto") >= F.col("rest"))
-    ends = ends.groupBy("pattern").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"), "rest")).alias("end"))
-    ends = ends.select("pattern", "end.*")
-    last = base.join(F.broadcast(ends), ["pattern", "bin"])
+    # the hash range in which the partial pass ends, the range within it, then its last document
+    def ended(rows: DataFrame, place: str, before: Column, rest: DataFrame) -> DataFrame:
+        """(pattern, place, before, rest): where each pattern's words reach ``rest``, and the words before."""
+        words = rows.groupBy("pattern", place).agg(F.sum("size").alias("words"))
+        upto = F.sum("words").over(Window.partitionBy("pattern").orderBy(place))
+        reached = words.withColumn("upto", upto).join(F.broadcast(rest), "pattern").withColumn("upto", F.col("upto") + before).filter(F.col("upto") >= F.col("rest"))
+        first = reached.groupBy("pattern").agg(F.min(F.struct(place, (F.col("upto") - F.col("words")).alias("before"), "rest")).alias("end"))
+        return first.select("pattern", "end.*")
+
+    ends = materialize(ended(base, "bin", F.lit(0), plan_df.select("pattern", "rest")), "mix-ends")
+    last = base.join(F.broadcast(ends.select("pattern", "bin")), ["pattern", "bin"]).withColumn("sub", sub_of(F.col("turn.draw")))
+    subs = materialize(ended(last, "sub", F.col("before"), ends.select("pattern", "before", "rest")), "mix-subs")
+    final = last.join(F.broadcast(subs), ["pattern", "sub"])
     running = F.sum("size").over(Window.partitionBy("pattern").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
-    last = last.withColumn("half", F.col("before") + running - F.col("size") / 2).filter("half <= rest and rest > 0")
-    last = last.groupBy("pattern").agg(F.max("turn").alias("seam"))
-    plan_df = plan_df.join(ends.select("pattern", F.col("bin").alias("end_bin")), "pattern", "left").join(last, "pattern", "left")
+    final = final.withColumn("half", F.col("before") + running - F.col("size") / 2).filter("half <= rest and rest > 0")
+    seams = final.groupBy("pattern").agg(F.max("turn").alias("seam"))
+    plan_df = plan_df.join(ends.select("pattern", F.col("bin").alias("end_bin")), "pattern", "left").join(subs.select("pattern", F.col("sub").alias("end_sub")), "pattern", "left").join(seams, "pattern", "left")
 
     plan_df = plan_df.select([F.col(c).alias(f"_mix_{c}") for c in plan_df.columns])
-    added = {"_mix_of": pattern, "_mix_bin": bin_of, "_mix_turn": turn, "mix_size": size}
+    added = {"_mix_of": pattern, "_mix_bin": bin_of, "_mix_sub": sub_of(draw), "_mix_turn": turn, "mix_size": size}
     joined = df.withColumns(added).join(F.broadcast(plan_df), F.col("_mix_of") == F.col("_mix_pattern"))
     before_end = F.col("_mix_bin") < F.col("_mix_end_bin")
-    at_end = (F.col("_mix_bin") == F.col("_mix_end_bin")) & F.coalesce(F.col("_mix_turn") <= F.col("_mix_seam"), F.lit(False))
+    at_seam = (F.col("_mix_sub") == F.col("_mix_end_sub")) & F.coalesce(F.col("_mix_turn") <= F.col("_mix_seam"), F.lit(False))
+    at_end = (F.col("_mix_bin") == F.col("_mix_end_bin")) & ((F.col("_mix_sub") < F.col("_mix_end_sub")) | at_seam)
     extra = F.coalesce((F.col("_mix_rest") > 0) & (before_end | at_end), F.lit(False))
     return joined.select(
         *[F.col(f"`{c}`") for c in df.columns if c not in ADDED],
