@@ -60,7 +60,8 @@ def match_rules(mails: DataFrame, rules: DataFrame) -> DataFrame:
     spread = union.select("mail_id", "rule_id", F.posexplode(csv_list(F.col("target_email"))).alias("pos", "target"), py_strip(F.col("target_name")).alias("name"))
     every = shaped.filter("for_all and not typed").select("rule_id", F.posexplode(csv_list(F.col("target_email"))).alias("pos", "target"), py_strip(F.col("target_name")).alias("name"))
     firsts = first_of_targets(every, "target")
-    return spread.unionByName(mails.select("mail_id").crossJoin(F.broadcast(firsts.agg(F.collect_list(F.struct("*")).alias("all")))).select("mail_id", F.inline("all")).select(*spread.columns))
+    listed = firsts.agg(F.collect_list(F.struct("*"))).scalar()  # one value, whatever the number of mails
+    return spread.unionByName(mails.select("mail_id", listed.alias("listed")).select("mail_id", F.inline("listed")).select(*spread.columns))
 
 
 def first_of_targets(matches: DataFrame, *keys: str) -> DataFrame:

@@ -155,7 +155,7 @@ def base_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recent_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most recent mails (F2), and the pages there are (F1)."""
     log = view(spark, sf_dir, "mail_log")
-    return reports.recent(log).select("id", "created_at").crossJoin(F.broadcast(reports.total_pages(log)))  # one row
+    return reports.recent(log).select("id", "created_at", reports.total_pages(log).scalar().alias("total_pages"))
 
 
 @query(f"SELECT id FROM mail_log WHERE NOT (status = 'pending' AND created_at < TIMESTAMP '{AS_OF}' - INTERVAL 60 MINUTE)", "mail_log")
