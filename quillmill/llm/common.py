@@ -64,6 +64,7 @@ def by_arrow(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], Iterable
                 for part in [batch] if text is None else slices(batch, text, at_once):
                     for columns in fn(part):
                         yield pa.RecordBatch.from_pydict(columns)
+                pa.default_memory_pool().release_unused()  # the worker goes on, and shares its executor's memory
 
     return df.mapInArrow(run, schema)
 

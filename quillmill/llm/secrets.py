@@ -177,7 +177,7 @@ def holds(query: Query, found: dict[bytes, np.ndarray], n: int) -> np.ndarray:
 
 
 #: Bytes of text in a segment, and the trigram number under which its texts' hashes are stored.
-SEGMENT, HASHES = 4_000_000, -1
+SEGMENT, HASHES = 1_000_000, -1
 POSTINGS = "segment long, trigram int, dense boolean, texts binary"
 
 
