@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import bpe, langid, mixing, quality, secrets, sharding, simhash, tokencount, tokenstore, topk
+from quillmill.llm import bpe, langid, licenses, mixing, prefixtrie, quality, secrets, sharding, simhash, tokencount, tokenstore, topk, vectorcodes
 from quillmill.llm.common import materialize, scratch_path, until_exit, word_count
 
 
@@ -105,6 +105,34 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, F.col("vec_id") % 100 == 0)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all embeddings that are whole: 16 parts of 64 entries, two rounds, components as floor(256 x).
+
+    A null vector, or one with a null or non-finite component, is left out; a null label is a label; rows that repeat
+    an id are coded each; an empty table gives none.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", vectorcodes.quantized(F.col("embedding")).alias("v"))
+    coded, books = vectorcodes.compress(rows)
+    summed = vectorcodes.with_label_error(coded)
+    return summed.select("vec_id", vectorcodes.hex_codes(F.col("codes")).alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents: exact phrases, and notices with a bounded number of edits.
+
+    A null text is empty and has neither words nor labels; repeated rows stay; an empty table gives none.
+    """
+    return licenses.digests(documents(spark, sf_dir))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, rebuilt so that groups of twenty share openings; a row for each distinct sequence of first turns.
+
+    Null roles and texts are empty, a null turn is the first; rows without a conv_id take no part; an empty table gives none.
+    """
+    return prefixtrie.nodes(prefixtrie.rebuilt(prefixtrie.conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_simhash, op2_mixing, op3_sharding, op4_token_store, op5_langid, op6_token_counts, op7_bpe, op8_secrets, op9_quality, op10_topk)
+    named = (op1_simhash, op2_mixing, op3_sharding, op4_token_store, op5_langid, op6_token_counts, op7_bpe, op8_secrets, op9_quality, op10_topk, op11_vector_codes, op12_licenses, op13_prefix_trie)
     return {f.__name__: f for f in named}
