@@ -37,8 +37,8 @@ def revised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revision.marked_paragraphs(view(spark, sf_dir, "mail_log").select("id", text.alias("text")), "id", "text")
 
 
-UNFINISHED = "regexp_matches({0}, '[，,、：:（(「『【]$')"
-STANDALONE = r"({0} <> '' AND NOT regexp_matches({0}, '[，,、：:（(「『【]$') AND (regexp_matches({0}, '^第[一二三四五六七八九十百零〇\d]+[条章节款项目]|^[一二三四五六七八九十]+[、．.]|^[（(]\s*\d+\s*[）)]|^\d+\s*[、．.]\s*\S|^[^：:]{{1,12}}[：:]') OR (length({0}) <= 20 AND NOT regexp_matches({0}, '[，,。；;：:]'))))"
+UNFINISHED = f"regexp_matches({{0}}, '{revision.GOES_ON}')"
+STANDALONE = f"({{0}} <> '' AND NOT {UNFINISHED} AND (regexp_matches({{0}}, '{revision.PARAGRAPH_HEAD.replace('{', '{{').replace('}', '}}')}') OR (length({{0}}) <= {revision.SHORT_LINE} AND NOT regexp_matches({{0}}, '{revision.INNER_MARK}'))))"
 
 
 @query(f"""WITH t AS (SELECT mail_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS lines FROM bodies),

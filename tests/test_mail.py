@@ -4,7 +4,9 @@ import difflib
 import gzip
 import io
 import random
+import re
 import tarfile
+import time
 import zipfile
 from collections import Counter
 from email.header import Header
@@ -200,12 +202,50 @@ def test_marks(spark):
     assert kept == [[], [("normal", " "), ("add", " "), ("normal", "z")]]
 
 
-@pytest.mark.parametrize(("feature", "yes", "no"), [
-    ("clause", "第三十条 甲方", "第三方 甲方"), ("listed", "十二、标题", "十二 标题"), ("bracketed", "（ 12 ）甲", "（甲）12"),
-    ("numbered", "3 . 甲", "3.  "), ("labelled", "工程名称：某某", "一二三四五六七八九十一二三："), ("titled", "天津市", "天津市，"),
+@pytest.mark.parametrize(("yes", "no"), [
+    ("第三十条 " + "甲" * 20, "第三方 " + "甲" * 20), ("十二、" + "甲" * 20, "十二 " + "甲" * 20), ("（ 12 ）" + "甲" * 20, "（甲）12" + "甲" * 20),
+    ("3 . " + "甲" * 20, "3 甲" + "甲" * 20), ("工程名称：" + "甲" * 20, "一二三四五六七八九十一二三：" + "甲" * 9), ("天津市", "天津市，甲"), ("第一条 甲", "第一条 甲，"), ("甲" * 20, "甲" * 21),
 ])
-def test_line_features(spark, feature, yes, no):
-    assert cells(spark, revision.LINE_FEATURES[feature](F.col("t")), [yes, no]) == [True, False]
+def test_lines_that_stand_alone(spark, yes, no):
+    assert cells(spark, revision.standalone(F.col("t")), [yes, no, ""]) == [True, False, False]
+
+
+def plain_marks(text):
+    """Pieces by a stack, for all texts."""
+    kinds, out, stack, at = {"新增": "add", "修改": "modify", "删除": "delete"}, [], [], 0
+    for m in [*re.finditer("【(/?)(新增|修改|删除)】", text), None]:
+        said = text[at : m.start() if m else len(text)]
+        kind = stack[-1] if stack else "normal"
+        if said and out and out[-1][0] == kind:
+            out[-1] = (kind, out[-1][1] + said)
+        elif said:
+            out.append((kind, said))
+        if m and not m.group(1):
+            stack.append(kinds[m.group(2)])
+        elif m and stack and stack[-1] == kinds[m.group(2)]:
+            stack.pop()
+        at = m.end() if m else at
+    return out
+
+
+def test_marks_against_a_stack(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["【新增】", "【/新增】", "【修改】", "【/修改】", "【删除】", "【/删除】", "甲", "乙\n", " "]) for _ in range(rng.randrange(40))) for _ in range(150)]
+    for chunk in (1, 7, 256):
+        monkeypatch.setattr(revision, "CHUNK", chunk)
+        assert [[tuple(p) for p in x] for x in cells(spark, revision.parse_markers(F.col("t"), keep_blank=True), texts)] == [plain_marks(t) for t in texts]
+
+
+def test_long_texts_take_linear_time(spark):
+    line = "甲方应当在合理的期限之内向乙方支付全部价款并且承担【修改】相应【/修改】费用。\n"
+    began, took = time.time(), []
+    for n in (50_000, 100_000):
+        df = spark.createDataFrame([(1, line * n + "【新增】\n标题【/新增】")], "id int, t string")
+        rows = revision.marked_paragraphs(df, "id", "t").select("seq", "kind", F.length("text").alias("n")).collect()
+        assert [tuple(r) for r in rows] == [(0, "modify", (len(line) - 9) * n - 1), (1, "add", 2)]
+        took.append(time.time() - began)
+        began = time.time()
+    assert took[1] < 60
 
 
 def test_paragraphs(spark):
