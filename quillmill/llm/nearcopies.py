@@ -11,12 +11,14 @@ with a probability of 0.999. Fingerprints within 54 of 256 bits miss a pair at 0
 
 Blocks of up to 64 texts give all pairs within the radius. Larger ones are not expanded into all
 their pairs: they give each text's ``NEAREST`` closest ones, and what a spanning forest needs
-beside them. So a group may fall apart there where only farther pairs than these are similar enough.
+beside them. After these are verified, closing rounds go back to the large blocks with parts that are
+still apart: each text is paired with ever more of the closest texts of other parts, until no
+untried pair within the radius leads from one part to another.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ WORDS, RADIUS = 4, 54
 #: Closest texts that each text of a large block is paired with.
 NEAREST = 8
 BANDS, ROWS = 10, 3
+#: Keys of large blocks that are broadcast at most.
+BROADCAST_KEYS = 500_000
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -125,6 +129,25 @@ def _large_pairs(fps: np.ndarray, radius: int, at_once: int = 64) -> tuple[np.nd
     return np.minimum(i, j), np.maximum(i, j)
 
 
+def apart_pairs(fps: np.ndarray, labels: np.ndarray, radius: int, most: int, at_once: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, more): each text of a block with the ``most`` closest ones of other labels within the radius; ``more`` if it has further ones."""
+    n, planes = len(fps), bit_planes(fps)
+    words = np.arange(planes.shape[1])
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    for a in range(0, n, at_once):
+        queries = fps[a : a + at_once]
+        near = lanes_within(np.repeat(queries, len(words), axis=0), np.tile(words, len(queries)), planes, radius)
+        i, j = np.nonzero(np.unpackbits(near.view(np.uint8).reshape(len(queries), -1), axis=1, bitorder="little")[:, :n])
+        other = labels[i + a] != labels[j]
+        i, j = i[other] + a, j[other]
+        order = np.lexsort((j, np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1), i))
+        i, j = i[order], j[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        own = rank < most
+        found.append((i[own], j[own], np.isin(i[own], i[rank == most])))
+    return tuple(np.concatenate([x[side] for x in found]) for side in range(3))
+
+
 def block_pairs(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of pairs within runs of equal ``keys`` (sorted)."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -137,33 +160,59 @@ def block_pairs(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tupl
     return tuple(np.concatenate([np.zeros(0, np.int64), *(x[side] for x in found)]) for side in (0, 1))
 
 
-def _candidates(keyed: DataFrame, radius: int) -> DataFrame:
-    """(a, b) pairs of nodes within the radius in a block of (key, fp, node) rows."""
+def _in_blocks(keyed: DataFrame, schema: str, solve: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
+    """``solve`` on tables of whole blocks, sorted by the column key; a task holds few blocks, or one large one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.table({"key": pa.array([], pa.int64()), "fp": pa.array([], pa.binary()), "node": pa.array([], pa.binary())})
-
-        def paired(table: pa.Table) -> pa.RecordBatch:
-            fps = np.frombuffer(b"".join(table["fp"].to_pylist()), "<u8").reshape(-1, WORDS)
-            pairs = block_pairs(table["key"].to_numpy(), fps, radius)
-            return pa.RecordBatch.from_arrays([table["node"].take(pa.array(side)).combine_chunks() for side in pairs], ["a", "b"])
-
+        held = None
         for batch in batches:
-            held = pa.concat_tables([held, pa.Table.from_batches([batch])])
+            held = pa.concat_tables([x for x in (held, pa.Table.from_batches([batch])) if x is not None])
             if held.num_rows >= 1 << 17:
                 keys = held["key"].to_numpy()
                 cut = int(np.searchsorted(keys, keys[-1]))
                 if cut:
-                    yield paired(held.slice(0, cut))
+                    yield solve(held.slice(0, cut))
                     held = held.slice(cut).combine_chunks()
-        if held.num_rows:
-            yield paired(held)
+        if held is not None and held.num_rows:
+            yield solve(held)
 
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = keyed.select("key", "fp", "node").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary")
+    return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+
+def _fingerprints(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table["fp"].to_pylist()), "<u8").reshape(-1, WORDS)
+
+
+def _candidates(keyed: DataFrame, radius: int) -> DataFrame:
+    """(a, b) pairs of nodes within the radius in a block of (key, fp, node) rows."""
+
+    def paired(table: pa.Table) -> pa.RecordBatch:
+        pairs = block_pairs(table["key"].to_numpy(), _fingerprints(table), radius)
+        return pa.RecordBatch.from_arrays([table["node"].take(pa.array(side)).combine_chunks() for side in pairs], ["a", "b"])
+
+    found = _in_blocks(keyed.select("key", "fp", "node"), "a binary, b binary", paired)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _untried(keyed: DataFrame, roots: DataFrame, tried: DataFrame, radius: int, most: int) -> DataFrame:
+    """(a, b, more): pairs of large blocks that lead from one part to another and were not tried yet."""
+    labelled = keyed.join(roots, "node", "left").select("key", "fp", "node", F.xxhash64(F.coalesce("root", "node")).alias("label"))
+    apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+
+    def paired(table: pa.Table) -> pa.RecordBatch:
+        keys, fps, labels = table["key"].to_numpy(), _fingerprints(table), table["label"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        found = [(i + a, j + a, more) for a, b in zip(starts, np.r_[starts[1:], len(keys)]) for i, j, more in [apart_pairs(fps[a:b], labels[a:b], radius, most)]]
+        i, j, more = (np.concatenate([x[side] for x in found]) for side in range(3))
+        nodes = table["node"]
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(i)).combine_chunks(), nodes.take(pa.array(j)).combine_chunks(), pa.array(more)], ["a", "b", "more"])
+
+    found = _in_blocks(labelled.join(apart, "key", "left_semi"), "a binary, b binary, more boolean", paired)
+    each = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.bool_or("more").alias("more"))
+    return each.join(tried.select("a", "b", F.lit(True).alias("known")), ["a", "b"], "left").filter("known is null or more").select("a", "b", "more", F.col("known").isNull().alias("new"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose ``sets`` (node, shingles) are similar enough."""
 
@@ -187,42 +236,67 @@ def near_copies(df: DataFrame, key: Column, text: Column, size: int = SIZE, simi
     Repeated rows stay. An empty table gives none.
     """
     spark = df.sparkSession
-    texts = df.select(key.alias("key"), text.alias("text"))
+    texts = df.select(key.alias("key"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("of_text"))
     kind = texts.schema["key"].dataType.simpleString()
 
     def sketches(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
         found = [sketch(shingle_set(t, size)) for t in batch.column(1).to_pylist()]
-        yield {"key": batch.column(0), "node": pa.array([x[0] for x in found], pa.binary()), "fp": pa.array([x[1].tobytes() for x in found], pa.binary()), "keys": pa.array([x[2].view(np.int64) for x in found], pa.list_(pa.int64()))}
+        own = {"key": batch.column(0), "of_text": batch.column(2), "node": pa.array([x[0] for x in found], pa.binary())}
+        yield own | {"fp": pa.array([x[1].tobytes() for x in found], pa.binary()), "keys": pa.array([x[2].view(np.int64) for x in found], pa.list_(pa.int64()))}
 
-    rows = materialize(by_arrow(texts, f"key {kind}, node binary, fp binary, keys array<bigint>", sketches, text=1), "near-rows")
-    nodes = materialize(rows.groupBy("node").agg(F.min("key").alias("least"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "near-nodes")
+    rows = materialize(by_arrow(texts, f"key {kind}, of_text long, node binary, fp binary, keys array<bigint>", sketches, text=1), "near-rows")
+    first = F.min(F.struct("key", "of_text"))  # a key may stand for several texts
+    nodes = materialize(rows.groupBy("node").agg(first.alias("first"), F.min("key").alias("least"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "near-nodes")
     keyed = tiled(nodes.select(F.explode("keys").alias("key"), "fp", "node"), tile)
-    spent = [scratch_path(spark, name) for name in ("near-pairs", "near-wanted", "near-sets")]
-    pairs = materialize(_candidates(keyed, radius), "", spent[0])
+    spent = []
+
+    def kept(table: DataFrame, name: str) -> DataFrame:
+        spent.append(scratch_path(spark, name))
+        return materialize(table, "", spent[-1])
 
     def sets_of(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
         yield {"node": batch.column(0), "shingles": pa.array([shingle_set(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())}
 
-    paired = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialize(nodes.join(paired, "node").select(F.col("least").alias("key"), "node"), "", spent[1])
-    some = split_by(texts, F.col("key"), wanted)[0].join(wanted, "key").select("node", "text").dropDuplicates(["node"])
-    sets = materialize(by_arrow(some, "node binary, shingles binary", sets_of, text=1), "", spent[2])
-    roots = components(_verified(pairs, sets, similarity))
-    for path in spent:
-        discard(spark, path)
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Those of written pairs whose sets are similar enough; sets are made again from the texts concerned."""
+        paired = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = kept(nodes.join(paired, "node").select(F.col("first").alias("key"), "node"), "near-wanted")
+        own = texts.select(F.struct("key", "of_text").alias("spot"), "text")
+        some = split_by(own, F.col("spot"), wanted)[0].join(wanted, F.col("spot") == F.col("key")).select("node", "text").dropDuplicates(["node"])
+        return kept(_verified(pairs, kept(by_arrow(some, "node binary, shingles binary", sets_of, text=1), "near-sets"), similarity), "near-links")
+
+    tried = kept(_candidates(keyed, radius), "near-pairs")
+    links = similar(tried)
+    roots = components(links)
+    sizes = kept(keyed.groupBy("key").count().filter("count > 64").select("key"), "near-sizes")
+    n_large, most = sizes.count(), NEAREST
+    if n_large:
+        large = kept(keyed.join(F.broadcast(sizes) if n_large <= BROADCAST_KEYS else sizes, "key", "left_semi"), "near-large")
+    while n_large:
+        found = kept(_untried(large, roots, tried, radius, most), "near-untried")
+        new = found.filter("new").select("a", "b")
+        if new.isEmpty():
+            if found.isEmpty():  # neither untried pairs nor texts with more of them
+                break
+        else:
+            tried, links = tried.unionByName(new), links.unionByName(similar(new))
+            roots = components(links)
+        most *= 8
     classes = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("least").alias("component"))
-    return rows.select("key", "node").join(classes.join(least, "root").select("node", "component"), "node").select("key", "component")
+    result = rows.select("key", "node").join(classes.join(least, "root").select("node", "component"), "node").select("key", "component")
+    for path in spent:
+        discard(spark, path)
+    return result
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group of near copies: that of the smallest id, null ids last.
 
-    Rows that repeat an id are told apart by nothing, so one of them stays; rows with a null id
-    are told apart by their texts. Only rows that may go are shuffled.
+    Rows that share an id, or have none, are told apart by their texts: two texts under one id are two
+    documents. Rows that repeat both are copies, and one of them stays. Only rows that may go are shuffled.
     """
-    no_id = F.col(id_col).isNull()
-    key = F.struct(no_id.alias("no_id"), F.col(id_col).alias("id"), F.when(no_id, F.xxhash64(text_col)).alias("of_text"))
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("of_text"))
     found = near_copies(df, key, F.col(text_col), size, similarity)
     counts = found.groupBy("key").agg(F.count("*").alias("n"), F.bool_or(F.col("key") == F.col("component")).alias("stays"))
     settled = materialize(counts.filter("n > 1 or not stays"), "near-settled")
