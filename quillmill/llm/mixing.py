@@ -133,8 +133,8 @@ def mix(df: DataFrame, size: Column, sources: Column, order: Column, weights: di
     ``size``: a document's words (null as 0); ``sources``: the array of its sources, null being a
     source of its own; ``order``: what tells documents apart in the seeded order. ``weights``
     default to 1, 2, 3 in cycles, ``total`` to the words of all documents. Rows that agree in
-    ``order`` and size are taken or left together, at the seam of the partial pass. Empty
-    documents are copied as often as their pattern's whole passes. An empty table gives none.
+    ``order`` and size are numbered where the partial pass ends among them, and only as many as fit
+    are taken. Empty documents are copied as often as their pattern's whole passes. An empty table gives none.
     Columns of ``df`` named like the added ones are replaced.
     """
     spark = df.sparkSession
@@ -177,22 +177,43 @@ def mix(df: DataFrame, size: Column, sources: Column, order: Column, weights: di
     last = base.join(F.broadcast(ends.select("pattern", "bin")), ["pattern", "bin"]).withColumn("sub", sub_of(F.col("turn.draw")))
     subs = materialize(ended(last, "sub", F.col("before"), ends.select("pattern", "before", "rest")), "mix-subs")
     final = last.join(F.broadcast(subs), ["pattern", "sub"])
-    running = F.sum("size").over(Window.partitionBy("pattern").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
-    final = final.withColumn("half", F.col("before") + running - F.col("size") / 2).filter("half <= rest and rest > 0")
-    seams = final.groupBy("pattern").agg(F.max("turn").alias("seam"))
+    # rows of an equal turn are one, counted; of the turn in which the rest ends, as many are taken as fit
+    turns = final.groupBy("pattern", "turn").agg(F.count("*").alias("m"), F.first("size").alias("size"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    earlier = F.coalesce(F.sum(F.col("m") * F.col("size")).over(Window.partitionBy("pattern").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fitting = F.when(F.col("size") == 0, F.col("m")).otherwise(F.floor((F.col("rest") - F.col("before") - earlier) / F.col("size") + 0.5))
+    taken = turns.withColumn("k", F.least(fitting, F.col("m"))).filter("k > 0 and rest > 0")
+    seams = materialize(taken.groupBy("pattern").agg(F.max(F.struct("turn", "k", "m")).alias("seam")).select("pattern", F.col("seam.turn").alias("seam"), "seam.k", "seam.m"), "mix-seams")
     plan_df = plan_df.join(ends.select("pattern", F.col("bin").alias("end_bin")), "pattern", "left").join(subs.select("pattern", F.col("sub").alias("end_sub")), "pattern", "left").join(seams, "pattern", "left")
 
     plan_df = plan_df.select([F.col(c).alias(f"_mix_{c}") for c in plan_df.columns])
     added = {"_mix_of": pattern, "_mix_bin": bin_of, "_mix_sub": sub_of(draw), "_mix_turn": turn, "mix_size": size}
     joined = df.withColumns(added).join(F.broadcast(plan_df), F.col("_mix_of") == F.col("_mix_pattern"))
+    cut = F.coalesce((F.col("_mix_turn") == F.col("_mix_seam")) & (F.col("_mix_k") < F.col("_mix_m")), F.lit(False))
     before_end = F.col("_mix_bin") < F.col("_mix_end_bin")
     at_seam = (F.col("_mix_sub") == F.col("_mix_end_sub")) & F.coalesce(F.col("_mix_turn") <= F.col("_mix_seam"), F.lit(False))
     at_end = (F.col("_mix_bin") == F.col("_mix_end_bin")) & ((F.col("_mix_sub") < F.col("_mix_end_sub")) | at_seam)
-    extra = F.coalesce((F.col("_mix_rest") > 0) & (before_end | at_end), F.lit(False))
-    return joined.select(
-        *[F.col(f"`{c}`") for c in df.columns if c not in ADDED],
-        "mix_size",
-        F.col("_mix_source_size").alias("mix_source_size"),
-        F.col("_mix_target").alias("mix_target"),
-        (F.col("_mix_passes") + extra.cast("int")).alias("mix_copies"),
-    )
+
+    def shown(rows: DataFrame, extra: Column) -> DataFrame:
+        return rows.select(
+            *[F.col(f"`{c}`") for c in df.columns if c not in ADDED],
+            "mix_size",
+            F.col("_mix_source_size").alias("mix_source_size"),
+            F.col("_mix_target").alias("mix_target"),
+            (F.col("_mix_passes") + F.coalesce((F.col("_mix_rest") > 0) & extra, F.lit(False)).cast("int")).alias("mix_copies"),
+        )
+
+    if seams.filter("k < m").isEmpty():
+        return shown(joined, before_end | at_end)
+    return shown(joined.filter(~cut), before_end | at_end).unionByName(shown(_numbered(joined.filter(cut)), F.col("_mix_place") <= F.col("_mix_k")))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with _mix_place, from 1 within their pattern. They are written once; each task numbers its own, after those of the tasks before."""
+    written = materialize(rows.withColumn("_mix_number", F.monotonically_increasing_id()), "mix-equal")
+    part = F.shiftright("_mix_number", 33).alias("_mix_part")
+    counts = written.groupBy(F.col("_mix_pattern").alias("of"), part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("of", "part", before.alias("offset"))  # a row for each written part and pattern
+    own = F.row_number().over(Window.partitionBy("_mix_pattern", "_mix_part").orderBy("_mix_number"))
+    local = written.withColumn("_mix_part", part).withColumn("_mix_own", own)
+    return local.join(offsets, (F.col("_mix_pattern") == F.col("of")) & (F.col("_mix_part") == F.col("part"))).withColumn("_mix_place", F.col("offset") + F.col("_mix_own"))

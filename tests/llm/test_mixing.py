@@ -125,3 +125,18 @@ def test_edge_cases(spark):
     assert mixed.columns[:4] == df.columns and mixed.count() == 6
     assert all(r.mix_copies <= 3 for r in mixed.collect())
     assert mixing.mix(df.filter(F.lit(False)), size, F.array("source"), F.col("doc_id")).collect() == []
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_equal_rows_are_taken_as_far_as_they_fit(spark, seed):
+    """A third of all rows, and one source, are equal in every column."""
+    rng = random.Random(seed)
+    rows = [(7, "w " * 10, "a")] * 300 + [(i, "w " * rng.randint(1, 12), rng.choice("bc")) for i in range(600)] + [(9, "", "a")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    for weights in ({"a": 1.0, "b": 9.0, "c": 8.0}, {"a": 5.0, "b": 2.0, "c": 2.0}):
+        mixed = mixing.mix(df, F.regexp_count("text", F.lit("w")), F.array("source"), F.col("doc_id"), weights=weights).collect()
+        assert len(mixed) == len(rows)
+        for source in "abc":
+            own = [r for r in mixed if r.source == source]
+            assert abs(sum(r.mix_size * r.mix_copies for r in own) - own[0].mix_target) <= 12
+        assert {r.mix_copies for r in mixed if r.doc_id == 7} <= {0, 1, 2, 3}
