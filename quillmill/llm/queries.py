@@ -36,16 +36,19 @@ SLACK = 0.0005
 def op3_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:
     """All documents in 40 shards of nearly equal bytes: the stored slot map's version 2, which rebalances the even version 1.
 
-    A null text has no bytes, like an empty one. Equal rows share a virtual slot.
+    A null text has no bytes, like an empty one. Rows are hashed with a number of their own, so that
+    equal ones lie in different virtual slots; it is written with them before any is placed.
     """
     text = F.coalesce("text", F.lit(""))
     narrow = documents(spark, sf_dir).select(
         "doc_id",
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        sharding.slot_of(F.col("doc_id"), text).alias("slot"),
+        F.xxhash64(text).alias("text_hash"),
+        F.monotonically_increasing_id().alias("number"),
     )
-    records = materialize(narrow, "shard-records")
+    slot = sharding.slot_of(F.col("doc_id"), F.col("text_hash"), F.col("number")).alias("slot")
+    records = materialize(narrow, "shard-records").select("doc_id", "size", "text_crc32", slot)
     sizes, rows = sharding.slot_totals(records.select("slot", "size"))
     path = scratch_path(spark, "slot-map")
     first = sharding.even_slots(shards)

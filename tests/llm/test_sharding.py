@@ -66,3 +66,16 @@ def test_edge_cases(spark, tmp_path):
         got = op3_sharding(spark, str(tmp_path / str(n))).collect()
         assert len(got) == n and len({(r.shard, r.slot) for r in got}) == n
     assert sorted(r.size for r in op3_sharding(spark, str(tmp_path / "5")).collect()) == [16, 16, 16, 17, 2016]
+
+
+def test_equal_rows_are_spread(spark, tmp_path):
+    """Over a third of the rows are equal; shards stay within the largest row of each other."""
+    rows = [(5, "same text")] * 3000 + [(i, "x" * (i % 50)) for i in range(5000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op3_sharding(spark, str(tmp_path)).collect()
+    loads, places = defaultdict(int), defaultdict(list)
+    for r in got:
+        loads[r.shard] += r["size"]
+        places[r.shard].append(r["slot"])
+    assert len(got) == len(rows) and len(loads) == 40 and max(loads.values()) - min(loads.values()) <= 66
+    assert all(sorted(x) == list(range(len(x))) for x in places.values())
