@@ -129,11 +129,13 @@ def active_cutoffs(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     good = _good(measures, labels, id_col)
     active = certified_cutoffs(good, alpha, delta).groupBy("stratum").agg(F.count("*").alias("n_active"))
     counted = measures.select("stratum").distinct().join(good.groupBy("stratum").agg(F.count("*").alias("n_good")), "stratum", "left").join(active, "stratum", "left")
-    return counted.select("stratum", F.coalesce("n_good", F.lit(0)).alias("n_good"), F.coalesce("n_active", F.lit(0)).alias("n_active"))
+    stratum = F.when(F.col("stratum") != "", F.substring(F.col("stratum"), F.lit(2), F.length("stratum"))).alias("stratum")
+    return counted.select(stratum, F.coalesce("n_good", F.lit(0)).alias("n_good"), F.coalesce("n_active", F.lit(0)).alias("n_active"))
 
 
 def _measured(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
-    narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.col(text_col).alias("text"))
+    """Strata are named by ``=`` and what they are, so that the null one is apart from the empty one."""
+    narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("="), F.col(stratum_col)), F.lit("")).alias("stratum"), F.col(text_col).alias("text"))
     return materialize(with_measures(narrow).drop("text").withColumn("base_failed", base_failed()), "quality")
 
 

@@ -236,7 +236,7 @@ def candidates(spark: SparkSession, index: str, rules: tuple[Rule, ...]) -> Data
 
     stored = spark.read.schema(POSTINGS).parquet(index).filter(F.col("trigram").isin(HASHES, *wanted))
     by_segment = stored.groupBy("segment").agg(F.collect_list(F.struct("trigram", "dense", "texts")).alias("own")).select("own")  # a list for each trigram of the rules
-    return by_arrow(by_segment, "of_text long, rules long", run).groupBy("of_text").agg(F.max("rules").alias("rules"))
+    return by_arrow(by_segment, "of_text long, rules long", run).groupBy("of_text").agg(F.bit_or("rules").alias("rules"))
 
 
 def with_candidates(df: DataFrame, text_col: str, rules: tuple[Rule, ...], index: str | None) -> DataFrame:
