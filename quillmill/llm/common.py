@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -43,6 +45,14 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def give_back() -> None:
+    """At a task's end: what this Python worker holds without need goes back, where the C library can do that."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: int, at_once: int) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows of about so many bytes of text, so that Python only holds few texts at a time."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
@@ -65,6 +75,7 @@ def by_arrow(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], Iterable
                     for columns in fn(part):
                         yield pa.RecordBatch.from_pydict(columns)
                 pa.default_memory_pool().release_unused()  # the worker goes on, and shares its executor's memory
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -91,7 +91,6 @@ def test_forest_spans_what_all_pairs_link():
 
 def test_parts_of_a_large_block_are_closed(spark, monkeypatch):
     """A chain of texts, each similar to its neighbours only, in one block, where the closest ones are others' copies."""
-    monkeypatch.setattr(nearcopies, "NEAREST", 1)
     rng = random.Random(11)
     words, texts = [f"w{k}" for k in range(400)], []
     for n in range(120):  # neighbours share 0.83, others less and less; some are close below 0.8
