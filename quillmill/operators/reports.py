@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmill.functions.text import blank, clipped, csv_list, display_width, label, padded, percent, py_strip, safe_cell, split_sender, tenths
+from quillmill.sources.ranks import ranked
 
 NO_SUBJECT, UNRECOGNISED, UNKNOWN_ERROR = "(无主题)", "未识别", "未知错误"
 
@@ -85,12 +86,12 @@ def target_summary(ledger: DataFrame, since: str) -> DataFrame:
 
 
 def subject_lists(ledger: DataFrame, since: str) -> DataFrame:
-    """(target, seq, subject, type): successes of a target by time."""
+    """(target, seq, subject, type): successes of a target by time; a target may have a large share of all."""
     rows = ledger.filter(F.col("created_at") >= F.lit(since).cast("timestamp_ntz")).filter(~blank(F.col("target_email")) & F.col("success"))
-    seq = F.row_number().over(Window.partitionBy("target").orderBy("created_at", "id"))
     subject = F.when(blank(F.col("subject")), NO_SUBJECT).otherwise(F.col("subject"))
     kind = F.when(blank(F.col("doc_type")), UNRECOGNISED).otherwise(F.col("doc_type"))
-    return rows.withColumn("target", py_strip(F.col("target_email"))).select("target", seq.alias("seq"), clipped(subject).alias("subject"), kind.alias("type"))
+    listed = rows.select(py_strip(F.col("target_email")).alias("target"), "created_at", "id", clipped(subject).alias("subject"), kind.alias("type"))
+    return ranked(listed, ["target"], ["created_at", "id"], "seq").select("target", "seq", "subject", "type")
 
 
 #: The rule between sections of a summary, and its last lines.

@@ -9,7 +9,8 @@ from quillmill.plans.catalogue import query
 from quillmill.plans.registry import AS_OF
 from quillmill.plans.views import view
 from quillmill.sources import archives, mail
-from quillmill.sources.scratch import scratch_path, until_exit
+from quillmill.sources.scratch import discard, scratch_path, until_exit
+from quillmill.sources.tables import read_history, write_history
 from quillmill.streaming import polls
 
 
@@ -22,7 +23,7 @@ def message(*lines: Column | str) -> Column:
     return F.encode(F.concat(*[F.concat(F.lit(x) if isinstance(x, str) else x, F.lit("\r\n")) for x in lines]), "UTF-8")
 
 
-@query("SELECT 'mem/' || mail_id AS path, CASE WHEN mail_id % 10 = 0 THEN 'synth' ELSE '<m' || mail_id || '@x>' END AS message_id, '主题 ' || coalesce(lang, '-') AS subject, '\"S ' || sender || '\" <' || sender || '@example.com>' AS sender, CASE WHEN mail_id % 3 = 0 THEN 'b@x.org' ELSE 'a' || mail_id % 7 || '@x.org, c@x.org' END AS recipient, make_timestamp(2000, 1, CAST(1 + mail_id % 28 AS BIGINT), 8, 0, 0.0) AS received_at, text AS body_text, CASE WHEN mail_id % 4 = 0 THEN 'own' END AS marker FROM bodies", "bodies")
+@query("SELECT 'mem/' || mail_id AS path, CASE WHEN mail_id % 10 = 0 THEN 'synth' ELSE '<m' || mail_id || '@x>' END AS message_id, '主题 ' || coalesce(lang, '-') AS subject, '\"S ' || sender || '\" <' || sender || '@example.com>' AS sender, CASE WHEN mail_id % 3 = 0 THEN 'b@x.org' ELSE 'a' || mail_id % 7 || '@x.org, c@x.org' END AS recipient, make_timestamp(2000, 1, CAST(1 + mail_id % 28 AS BIGINT), 8, 0, 0.0) AS received_at, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body_text, CASE WHEN mail_id % 4 = 0 THEN 'own' END AS marker FROM bodies", "bodies")
 def parsed_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages made of the bodies, read back."""
     n, sender = F.col("mail_id"), F.col("sender")
@@ -41,7 +42,7 @@ def parsed_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mail.parse_mail(raw, AS_OF).select("path", own_id.alias("message_id"), "subject", "sender", "recipient", "received_at", "body_text", marker.alias("marker"))
 
 
-@query("SELECT '<' || mail_id || '.' || att_idx || '>' AS mail_id, CASE WHEN mail_id % 3 = 0 THEN 'page ' || mail_id ELSE text END AS body, CAST(i AS INTEGER) AS att_idx, CASE i WHEN 0 THEN '附件' || att_idx || '.TXT' ELSE 'unnamed_attachment' END AS filename, CASE i WHEN 0 THEN trim(text) ELSE '' END AS text FROM parts, (SELECT unnest([0, 1]) AS i)", "parts")
+@query(r"SELECT '<' || mail_id || '.' || att_idx || '>' AS mail_id, CASE WHEN mail_id % 3 = 0 THEN 'page ' || mail_id ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS body, CAST(i AS INTEGER) AS att_idx, CASE i WHEN 0 THEN '附件' || att_idx || '.TXT' ELSE 'unnamed_attachment' END AS filename, CASE i WHEN 0 THEN trim(text) ELSE '' END AS text FROM parts, (SELECT unnest([0, 1]) AS i)", "parts")
 def mail_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies and attachment texts of messages in parts."""
     n, text = F.col("mail_id"), F.col("text")
@@ -150,3 +151,53 @@ def polled_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     polls.run_polls(polls.exactly_once(mails), sink, f"{out}/state").awaitTermination()
     until_exit(spark, out)
     return spark.read.schema("message_id string").parquet(f"{out}/mails").select("message_id")
+
+
+#: Bytes over which the messages of ``landed_messages`` are rejected.
+LANDED_BYTES = 900
+LANDED = "concat_ws(chr(10), 'Message-ID: <m' || CAST(mail_id % 40 AS STRING) || '>', CASE mail_id % 5 WHEN 1 THEN 'Subject: =?utf-8?B?4?=' ELSE 'Subject: S ' || CAST(mail_id AS STRING) END, CASE mail_id % 4 WHEN 1 THEN 'Date: Fri, 31 Dec 9999 23:59:59 -2300' WHEN 2 THEN 'Date: soon' ELSE 'Date: Mon, 03 Jan 2000 10:00:00 +0200' END, CASE mail_id % 3 WHEN 2 THEN concat_ws(chr(10), 'Content-Type: multipart/mixed; boundary=cut', '', '--cut', 'Content-Type: text/html; charset=no-such', '', '<p title=\"a>b\">page ' || CAST(mail_id AS STRING) || '</p><![foo[ x', '--cut--') ELSE concat_ws(chr(10), 'Content-Type: text/plain; charset=utf-8', 'Content-Transfer-Encoding: 8bit', '', text) END, '')"
+
+
+@query(f"""WITH landed AS (SELECT mail_id, text, 'mail_id=' || mail_id || '/' AS place, {LANDED} AS said FROM parts WHERE att_idx = 0),
+sized AS (SELECT *, strlen(said) AS bytes FROM landed), first AS (SELECT min(place) AS place FROM sized WHERE bytes <= {LANDED_BYTES} GROUP BY mail_id % 40)
+SELECT mail_id, '<m' || mail_id % 40 || '>' AS message_id, CASE mail_id % 5 WHEN 1 THEN '=?utf-8?B?4?=' ELSE 'S ' || mail_id END AS subject, CASE WHEN mail_id % 4 IN (1, 2) THEN TIMESTAMP '{AS_OF}' ELSE TIMESTAMP '2000-01-03 08:00:00' END AS received_at, CASE mail_id % 3 WHEN 2 THEN 'page ' || mail_id || chr(10) || '<![foo[ x' ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS body_text, NULL AS error FROM sized SEMI JOIN first USING (place) WHERE mail_id % 40 >= 3
+UNION ALL SELECT mail_id, NULL, NULL, NULL, NULL, 'over {LANDED_BYTES} bytes: ' || bytes FROM sized WHERE bytes > {LANDED_BYTES}""", "parts")
+def landed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of message files, good and broken, into a table of mails and one of rejects; its batch is run twice."""
+    out = scratch_path(spark, "landed")
+    said = view(spark, sf_dir, "parts").filter("att_idx = 0").selectExpr("mail_id", f"{LANDED} AS said")
+    said.repartition("mail_id").write.option("lineSep", " ").partitionBy("mail_id").text(f"{out}/landing")  # a file for each message
+    history = spark.range(3).select(F.format_string("<m%d>", "id").alias("message_id"))
+
+    def run() -> None:
+        polled = polls.poll_all(spark, f"{out}/landing", AS_OF, glob="*.txt", largest=LANDED_BYTES, below=True)
+        polls.run_polls(polled, polls.into_tables(f"{out}/tables"), f"{out}/state").awaitTermination()
+
+    run()
+    for name in ("0", ".0.crc"):  # as if the driver was lost before it noted that the batch was done
+        discard(spark, f"{out}/state/commits/{name}")
+    run()
+    until_exit(spark, out)
+    mails, rejected = polls.polled_mails(spark, f"{out}/tables"), polls.polled_rejects(spark, f"{out}/tables")
+    new = polls.new_polled(mails, history)
+    own = F.regexp_extract("path", r"mail_id=(\d+)", 1).cast("bigint").alias("mail_id")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("message_id", "string"), ("subject", "string"), ("received_at", "timestamp_ntz"), ("body_text", "string"))]
+    return new.select(own, "message_id", "subject", "received_at", "body_text", F.lit(None).cast("string").alias("error")).unionByName(rejected.select(own, *none, "error"))
+
+
+@query("SELECT l.id FROM mail_log l WHERE l.id > 400 AND (l.message_id = 'm7' OR l.message_id NOT IN (SELECT message_id FROM mail_log WHERE id <= 4000 AND id % 3 = 0)) QUALIFY row_number() OVER (PARTITION BY l.message_id ORDER BY l.created_at, l.id) = 1 OR l.message_id = 'm7'", "mail_log")
+def mails_against_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New mails against a history that lies bucketed by message id and is joined where it lies."""
+    log = view(spark, sf_dir, "mail_log").withColumn("message_id", F.when(F.col("message_id") != "m7", F.col("message_id")))
+    table = write_history(log.filter("id <= 4000 AND id % 3 = 0").select("message_id"))
+    batch = mail.dedup_batch(log.filter("id > 400"), ["created_at", "id"])
+    return mail.drop_known(batch, read_history(spark, table)).select("id")
+
+
+@query("WITH d AS (SELECT 'C' || c_custkey % 997 || '@EXAMPLE' AS entry FROM customer WHERE c_custkey % 7 = 3 UNION ALL SELECT ' clerk 4'), o AS (SELECT c_custkey AS account_id, trim(e) AS entry FROM customer, unnest(string_split(CASE WHEN c_custkey % 10 = 0 THEN 'c' || c_custkey || '@, K 1' ELSE '' END, ',')) AS u(e)) SELECT id FROM mail_log l WHERE NOT EXISTS (SELECT 1 FROM d WHERE contains(lower(l.sender), lower(trim(entry)))) AND NOT EXISTS (SELECT 1 FROM o WHERE o.account_id = l.account_id AND entry <> '' AND contains(lower(l.sender), lower(entry)))", "mail_log")
+def long_deny_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails by a deny list of any length: entries are looked up by their rarest grams."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    shared = customers.filter("c_custkey % 7 = 3").selectExpr("concat('C', CAST(c_custkey % 997 AS STRING), '@EXAMPLE') AS entry").unionByName(spark.createDataFrame([(" clerk 4",), (" ",)], "entry string"))
+    accounts = customers.selectExpr("c_custkey AS id", "CASE WHEN c_custkey % 10 = 0 THEN concat('c', CAST(c_custkey AS STRING), '@, K 1') ELSE '' END AS filter_sender")
+    return mail.filter_senders_long(view(spark, sf_dir, "mail_log"), accounts, shared).select("id")

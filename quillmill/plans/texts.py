@@ -101,10 +101,10 @@ def display_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "mail_log").select("id", (fn.display_width(text) + 2).alias("width"), F.concat(fn.padded(text, F.lit(16)), F.lit("2")).alias("line"), fn.percent(F.col("id") % 3, F.col("id") % 5).alias("share"))
 
 
-@query("SELECT id, CASE id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/zip' WHEN 2 THEN 'image/jpeg' ELSE 'application/octet-stream' END AS mime, strftime(created_at + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M') AS shown, CASE WHEN id % 2 = 0 THEN '' ELSE strftime(created_at, '%Y-%m-%d %H:%M:%S') END AS exported FROM ledger", "ledger")
+@query("SELECT id, CASE id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/vnd.ms-excel' WHEN 2 THEN 'image/jpeg' ELSE 'application/octet-stream' END AS mime, strftime(created_at + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M') AS shown, CASE WHEN id % 2 = 0 THEN '' ELSE strftime(created_at, '%Y-%m-%d %H:%M:%S') END AS exported FROM ledger", "ledger")
 def shown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content types by name and dates as they are shown."""
-    name = F.expr("CASE id % 4 WHEN 0 THEN 'a.PDF' WHEN 1 THEN 'b.tar.zip' WHEN 2 THEN 'c.jpeg' ELSE 'none' END")
+    name = F.expr("CASE id % 4 WHEN 0 THEN 'a.PDF' WHEN 1 THEN 'b.tar.xls' WHEN 2 THEN 'c.jpeg' ELSE 'none.zip' END")
     at = F.when(F.col("id") % 2 == 1, F.col("created_at"))
     return view(spark, sf_dir, "ledger").select("id", fn.mime_for(name).alias("mime"), fn.format_date(F.col("created_at"), "Asia/Shanghai").alias("shown"), fn.format_date(at, export=True).alias("exported"))
 
@@ -127,13 +127,56 @@ def summary_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brief.join(whole, "target")
 
 
-@query("WITH a AS (SELECT mail_id, group_idx, '文书类型：' || doc_type || CASE WHEN classify_failed THEN '（分类失败）' ELSE '' END || chr(10) || '紧急程度：' || CASE urgency WHEN 'high' THEN '紧急' ELSE '普通' END || chr(10) || '摘要：' || case_summary || chr(10) || ai_interpretation AS s, llm_failed, doc_type FROM analyses), g AS (SELECT mail_id, string_agg(s, chr(10) || chr(10) ORDER BY group_idx) AS sections, bool_or(llm_failed) AS failed FROM a GROUP BY 1), d AS (SELECT mail_id, string_agg(doc_type, ' / ' ORDER BY o) AS types FROM (SELECT mail_id, doc_type, min(group_idx) AS o FROM analyses GROUP BY 1, 2) GROUP BY 1), m AS (SELECT id AS mail_id, coalesce(subject, '') AS subject, sender, unnest(string_split(target_email, ',')) AS raw, case_summary AS body FROM mail_log) SELECT m.mail_id, trim(raw) AS target_email, '【' || CASE WHEN failed THEN '大模型分析失败' WHEN types IS NOT NULL THEN types ELSE '法律文书' END || '】' || subject AS subject, coalesce(sections || chr(10) || chr(10), '') || '原发件人：' || sender || CASE WHEN subject <> '' THEN chr(10) || '原主题：' || subject ELSE '' END || chr(10) || chr(10) || left(body, 12) || CASE WHEN length(body) > 12 THEN chr(10) || '（正文过长，已截断）' ELSE '' END AS body FROM m LEFT JOIN g USING (mail_id) LEFT JOIN d USING (mail_id)", "mail_log", "analyses")
-def outgoing_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The outbox: a mail for each target, with subject and body."""
+#: The body of an outgoing mail, line by line, as its readers know it.
+OUTGOING = """WITH a AS (
+    SELECT mail_id, group_idx, llm_failed, doc_type, count(*) OVER (PARTITION BY mail_id) AS n, row_number() OVER (PARTITION BY mail_id ORDER BY group_idx) AS i,
+        doc_type || CASE WHEN classify_failed THEN '（⚠️类型未识别，请人工复核）' ELSE '' END AS kind, urgency, case_summary, involved_parties, key_date, case_number, confidence, ai_interpretation
+    FROM analyses
+), s AS (
+    SELECT *, CASE WHEN n > 1 THEN printf(chr(10) || '── 第 %d 组：', i) || kind || ' ──' || chr(10) ELSE '' END
+        || '📋 文书类型：' || kind || chr(10) || '⚡ 紧急程度：' || CASE urgency WHEN 'high' THEN '🔴 紧急' WHEN 'low' THEN '🟢 普通' ELSE '🟡 一般' END || chr(10)
+        || '📝 案件摘要：' || coalesce(case_summary, '无') || chr(10) || '🏛️ 涉及方：' || coalesce(involved_parties, '无') || chr(10) || '📅 关键日期：' || coalesce(key_date, '无') || chr(10)
+        || '📎 案号：' || coalesce(case_number, '无') || chr(10) || '📊 分析置信度：' || CAST(CAST(round_even(confidence * 100, 0) AS INTEGER) AS VARCHAR) || '%' || chr(10) AS text
+    FROM a
+), g AS (
+    SELECT mail_id, max(n) AS n, bool_or(llm_failed) AS failed, string_agg(text || chr(10) || '🤖 AI 初步审核解读：' || chr(10) || ai_interpretation || chr(10), chr(10) || repeat('━', 40) || chr(10) ORDER BY group_idx) AS whole, string_agg(text, chr(10) ORDER BY group_idx) AS short
+    FROM s GROUP BY 1
+), d AS (
+    SELECT mail_id, string_agg(doc_type, ' / ' ORDER BY o) AS types FROM (SELECT mail_id, doc_type, min(group_idx) AS o FROM analyses GROUP BY 1, 2) GROUP BY 1
+), m AS (
+    SELECT id AS mail_id, coalesce(subject, '') AS subject, sender, string_split(target_email, ',') AS targets, case_summary AS body FROM mail_log
+), o AS (
+    SELECT *, repeat('━', 20) || chr(10) || chr(10) || '原发件人：' || sender || chr(10) || '原邮件主题：' || subject || chr(10) || chr(10) || '📧 原邮件正文：' || chr(10)
+        || CASE WHEN length(body) > 12 THEN left(body, 12) || chr(10) || '... (原文过长已截断，请登录监控邮箱查看完整内容)' ELSE body END || chr(10) || repeat('━', 20) || chr(10) || chr(10)
+        || '此为自动转发，如需查看完整原始邮件请登录监控邮箱。' || chr(10) || chr(10) || '---' || chr(10) || '|S' || chr(10) AS foot
+    FROM m
+)
+SELECT mail_id, trim(t) AS target_email, '【' || CASE WHEN failed THEN '大模型分析失败' WHEN types IS NOT NULL THEN types ELSE '法律文书' END || '】' || subject AS subject,
+    '您好 ' || CASE WHEN trim(t) LIKE 's1%' THEN 'N' || substr(trim(t), 2, 1) ELSE '' END || '，' || chr(10) || chr(10) || '系统收到一封法律文书邮件，' || {middle} || foot AS body
+FROM o LEFT JOIN g USING (mail_id) LEFT JOIN d USING (mail_id), unnest(targets) AS u(t)"""
+WHOLE = "CASE WHEN n > 1 THEN '共分析 ' || n || ' 份文书。' ELSE '' END || 'AI 分析结果如下：' || chr(10) || chr(10) || coalesce(whole, '') || chr(10) || chr(10)"
+SHORT = "'共分析 ' || CASE WHEN n > 1 THEN CAST(n AS VARCHAR) ELSE '' END || ' 份文书。' || chr(10) || chr(10) || coalesce(short, '') || chr(10) || '📎 AI 初步审核解读详见附件《AI分析报告.docx》—— 请下载查阅完整解读内容。' || chr(10)"
+
+
+def outbox_of(spark: SparkSession, sf_dir: str, brief: bool) -> DataFrame:
     log = view(spark, sf_dir, "mail_log")
     routed = log.select(F.col("id").alias("mail_id"), F.lit("routable").alias("status"), F.col("target_email").alias("targets"))
-    mails = log.select(F.col("id").alias("mail_id"), "subject", "sender", F.lit(" ").alias("recipient"), F.lit(None).cast("string").alias("received"), F.col("case_summary").alias("body_text"))
-    return ledger.build_outbox(routed, view(spark, sf_dir, "analyses"), mails, cut=12)
+    mails = log.select(F.col("id").alias("mail_id"), "subject", "sender", F.lit("").alias("recipient"), F.lit(None).cast("string").alias("received"), F.col("case_summary").alias("body_text"))
+    targets = routed.select(F.explode(fn.csv_list(F.col("targets"))).alias("target_email")).distinct()
+    names = targets.filter("target_email like 's1%'").withColumn("target_name", F.concat(F.lit("N"), F.substring("target_email", 2, 1)))
+    return ledger.build_outbox(routed, view(spark, sf_dir, "analyses"), mails, brief, cut=12, system="S", names=names)
+
+
+@query(OUTGOING.replace("{middle}", SHORT), "mail_log", "analyses")
+def brief_outgoing_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outbox in its brief form."""
+    return outbox_of(spark, sf_dir, brief=True)
+
+
+@query(OUTGOING.replace("{middle}", WHOLE), "mail_log", "analyses")
+def outgoing_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outbox: a mail for each target, with subject and body."""
+    return outbox_of(spark, sf_dir, brief=False)
 
 
 @query("SELECT l.log_id, trim(l.target_email) AS target_email, trim(coalesce(l.target_name, '')) AS target_name, coalesce(a.first_type, m.doc_type) AS doc_type, coalesce(a.types, m.doc_type || '!') AS doc_types, m.subject, l.success, l.created_at FROM ledger l JOIN mail_log m ON m.id = l.log_id LEFT JOIN (SELECT mail_id, arg_min(doc_type, group_idx) AS first_type, string_agg(doc_type, ',' ORDER BY group_idx) AS types FROM analyses GROUP BY 1) a ON a.mail_id = l.log_id", "ledger", "mail_log", "analyses")
@@ -232,13 +275,37 @@ def endpoint_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", shown.alias("endpoints"))
 
 
-@query("""WITH RECURSIVE a AS (SELECT CAST(user_id AS VARCHAR) AS key, CAST(ts AS TIMESTAMP) AS ts, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'purchase') AS n FROM events WHERE event_type IN ('error', 'purchase')),
+#: Attempts of a key folded one after the other.
+THROTTLED = """WITH RECURSIVE a AS (SELECT CAST(user_id AS VARCHAR) AS key, CAST(ts AS TIMESTAMP) AS ts, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'purchase') AS n FROM events WHERE event_type IN ('error', 'purchase')),
 f AS (SELECT key, CAST(0 AS BIGINT) AS n, CAST(NULL AS TIMESTAMP) AS ts, CAST([] AS TIMESTAMP[]) AS held, FALSE AS blocked, CAST(0 AS BIGINT) AS wait FROM (SELECT DISTINCT key FROM a)
 UNION ALL SELECT s.key, s.n, s.ts, CASE WHEN len(s.live) >= 3 THEN s.live WHEN s.ok THEN CAST([] AS TIMESTAMP[]) ELSE list_append(s.live, s.ts) END, len(s.live) >= 3, CASE WHEN len(s.live) >= 3 THEN CAST(floor(epoch(s.live[1]) + 3456000 - epoch(s.ts)) AS BIGINT) ELSE 0 END
 FROM (SELECT a.*, list_filter(f.held, lambda x: epoch(a.ts) - epoch(x) < 3456000) AS live FROM f JOIN a ON a.key = f.key AND a.n = f.n + 1) s)
-SELECT key, ts, blocked, CAST(wait AS INTEGER) AS retry_after FROM f WHERE n > 0""")
+SELECT key, ts, blocked, CAST(wait AS INTEGER) AS retry_after FROM f WHERE n > 0"""
+
+
+def attempts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type in ('error', 'purchase')")
+    return events.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("ok"))
+
+
+@query(THROTTLED)
 def throttled_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures in a trailing window block an attempt (E7); events are sparse, so the window is wide."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type in ('error', 'purchase')")
-    attempts = events.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("ok"))
-    return polls.throttle(attempts, 40 * 86_400, 3).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return polls.throttle(attempts_of(spark, sf_dir), 40 * 86_400, 3).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(THROTTLED)
+def throttled_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream, with list state and timers."""
+    out, provider = scratch_path(spark, "throttled"), "spark.sql.streaming.stateStore.providerClass"
+    attempts = attempts_of(spark, sf_dir)
+    attempts.coalesce(1).sortWithinPartitions("ts", "ok").write.parquet(f"{out}/landing")
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, polls.STATE_STORE)
+    try:
+        stream = polls.throttle_stream(spark.readStream.schema(attempts.schema).parquet(f"{out}/landing"), 40 * 86_400, 3)
+        polls.run_polls(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/found/batch={n}"), f"{out}/state").awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    until_exit(spark, out)
+    return spark.read.schema(polls.THROTTLE).parquet(f"{out}/found").select("key", F.col("ts").cast("timestamp_ntz").alias("ts"), "blocked", "retry_after")

@@ -33,7 +33,7 @@ def kind_of(name: str, data: bytes) -> str | None:
         try:
             if "[Content_Types].xml" in zipfile.ZipFile(io.BytesIO(data)).namelist():
                 return None
-        except zipfile.BadZipFile:
+        except Exception:  # no archive after all
             return None
     return kind if kind in (*TARS, *SINGLE, "zip") else None
 
@@ -89,8 +89,8 @@ def expand(name: str, data: bytes, budget: Budget, depth: int, errors: list[str]
             budget.files -= 1
             budget.total -= len(content)
             out.append((own, content))
-    except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, lzma.LZMAError, RuntimeError, NotImplementedError, ValueError) as error:
-        errors.append(f"{name}: {error}")
+    except Exception as error:  # whatever a broken archive raises is its error, and ends no job
+        errors.append(f"{name}: {type(error).__name__}: {error}")
     return out
 
 

@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from datetime import timezone
 from email.message import Message
 from html.entities import html5
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +23,7 @@ from pyspark.sql.window import Window
 
 from quillmill.functions.names import fresh
 from quillmill.functions.text import extension, py_strip, safe_component
+from quillmill.sources.ranks import ranked
 
 LARGEST = 50 * 1024 * 1024
 #: Headers that tell forwarded copies and bulk mail.
@@ -37,26 +37,9 @@ def read_raw_mail(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).filter(F.col("length") <= LARGEST)
 
 
-class _Text(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-
-    def handle_data(self, data: str) -> None:
-        if data.strip():
-            self.parts.append(data.strip())
-
-
-def html_text(html: str | None) -> str:
-    """Visible strings of a page, a line each; comments are none."""
-    parser = _Text()
-    parser.feed(html or "")
-    parser.close()
-    return "\n".join(parser.parts)
-
-
 #: What is not text in a page: comments, tags, and tags around scripts and styles, whose content is text as it stands.
-MARKUP = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>(.*?)</\1\s*>|<[a-z/!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+#: Runs are possessive: a group that may give back would need stack for each character of a long tag.
+MARKUP = r"(?is)<!--.*?-->|<(script|style)\b[^>]*+>(.*?)</\1\s*+>|<[a-z/!?](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
 CUT, AS_IS = "\x01", "\x02"
 ENTITY = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
@@ -84,23 +67,29 @@ def html_to_text(c: Column) -> Column:
 
 
 def decoded(value: object) -> str:
-    """A header with its encoded words decoded; unknown charsets as UTF-8."""
-    out = []
-    for part, charset in email.header.decode_header(str(value or "")):
+    """A header with its encoded words decoded; unknown charsets as UTF-8, and all as it stands if a word is broken."""
+    out, said = [], str(value or "")
+    try:
+        parts = email.header.decode_header(said)
+    except Exception:  # broken base64, among others
+        return said
+    for part, charset in parts:
         if isinstance(part, str):
             out.append(part)
             continue
         try:
             out.append(part.decode(charset or "utf-8", "replace"))
-        except LookupError:
+        except (LookupError, ValueError):  # ValueError: a charset name that can't be one
             out.append(part.decode("utf-8", "replace"))
     return "".join(out)
 
 
 def decode_header(c: Column) -> Column:
+    """A header column decoded; null stays null."""
+
     @F.pandas_udf("string")
     def convert(values: pd.Series) -> pd.Series:
-        return values.map(decoded)
+        return values.map(decoded, na_action="ignore")
 
     return convert(c)
 
@@ -109,7 +98,7 @@ def _payload(part: Message) -> str:
     data = part.get_payload(decode=True) or b""
     try:
         return data.decode(part.get_content_charset() or "utf-8", "replace")
-    except LookupError:
+    except (LookupError, ValueError):
         return data.decode("utf-8", "replace")
 
 
@@ -117,16 +106,16 @@ def _is_attachment(part: Message) -> bool:
     return "attachment" in str(part.get("Content-Disposition") or "").lower()
 
 
-def body_of(message: Message) -> str:
-    """The first plain part that says something, else the first such page as text; a single body is plain."""
+def body_of(message: Message) -> tuple[str, bool]:
+    """(text, it is a page): the first plain part that says something, else the first such page; a single body is plain."""
     if not message.is_multipart():
-        return _payload(message)
+        return _payload(message).strip(), False
     parts = [p for p in message.walk() if not p.is_multipart() and not _is_attachment(p)]
-    for kind, convert in (("text/plain", str), ("text/html", html_text)):
+    for kind in ("text/plain", "text/html"):
         for part in parts:
-            if part.get_content_type() == kind and _payload(part).strip():
-                return convert(_payload(part))
-    return ""
+            if part.get_content_type() == kind and (text := _payload(part).strip()):
+                return text, kind == "text/html"
+    return "", False
 
 
 def attachments_of(message: Message) -> list[dict[str, object]]:
@@ -138,34 +127,48 @@ def attachments_of(message: Message) -> list[dict[str, object]]:
     return out
 
 
-def parse_or_reject(raw: DataFrame, as_of: str) -> DataFrame:
+def _date(message: Message, as_of: str) -> object:
+    """When a message was sent, in UTC; ``as_of`` if it doesn't say so in a way that can be read."""
+    try:
+        when = email.utils.parsedate_to_datetime(str(message["Date"]))
+        when = when.astimezone(timezone.utc).replace(tzinfo=None) if when.tzinfo else when
+        return pd.Timestamp(when).to_pydatetime()
+    except Exception:  # no date, or one out of range
+        return pd.Timestamp(as_of).to_pydatetime()
+
+
+def parse_or_reject(raw: DataFrame, as_of: str, largest: int = LARGEST) -> DataFrame:
     """(path, mail columns, error) of raw (path, content) rows; a message that can't be read only has path and error.
 
-    A message without an id gets one from its content, one without a date the time ``as_of``.
+    A message without an id gets one from its content, one without a readable date the time ``as_of``.
+    Null contents and those over ``largest`` bytes are rejected unread. Whatever one message raises
+    is that message's error and ends no job.
     """
     columns = [c.split()[0] for c in re.split(r", (?=\w+ (?:string|timestamp|map|array))", MAIL)]
+    columns.insert(columns.index("body_text") + 1, "is_page")
+
+    def parsed(path: str, synth: str, content: bytes) -> tuple[object, ...]:
+        m = email.message_from_bytes(content)
+        to = ", ".join(decoded(x) for h in ("To", "Cc") for x in m.get_all(h, []) if str(x).strip())
+        recipient = to or decoded(m.get("Delivered-To")) or decoded(m.get("X-Original-To"))
+        headers = {k: str(m[k]) for k in KEPT_HEADERS if m[k]}
+        return (path, str(m["Message-ID"] or "").strip() or synth, decoded(m["Subject"]), decoded(m["From"]), recipient, _date(m, as_of), *body_of(m), headers, attachments_of(m), None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, synth, content in zip(batch["path"], batch["synth"], batch["content"]):
+            for path, synth, content, why in zip(batch["path"], batch["synth"], batch["content"], batch["why"]):
                 try:
-                    m = email.message_from_bytes(content)
-                    to = ", ".join(decoded(x) for h in ("To", "Cc") for x in m.get_all(h, []) if str(x).strip())
-                    recipient = to or decoded(m.get("Delivered-To")) or decoded(m.get("X-Original-To"))
-                    try:
-                        when = email.utils.parsedate_to_datetime(str(m["Date"]))
-                        when = when.astimezone(timezone.utc).replace(tzinfo=None) if when.tzinfo else when
-                    except (TypeError, ValueError, IndexError):
-                        when = pd.Timestamp(as_of).to_pydatetime()
-                    headers = {k: str(m[k]) for k in KEPT_HEADERS if m[k]}
-                    rows.append((path, str(m["Message-ID"] or "").strip() or synth, decoded(m["Subject"]), decoded(m["From"]), recipient, when, body_of(m), headers, attachments_of(m), None))
-                except (UnicodeError, ValueError, LookupError, AttributeError, TypeError) as error:
+                    rows.append((path, *[None] * len(columns), why) if why else parsed(path, synth, content))
+                except Exception as error:  # of one message, which is rejected with it
                     rows.append((path, *[None] * len(columns), f"{type(error).__name__}: {error}"))
             yield pd.DataFrame(rows, columns=["path", *columns, "error"])
 
-    ready = raw.select("path", F.concat(F.lit("synth-"), F.sha2("content", 256)).alias("synth"), "content")
-    return ready.mapInPandas(run, f"path string, {MAIL}, error string")
+    size = F.octet_length("content")
+    why = F.when(F.col("content").isNull(), "no content").when(size > largest, F.format_string(f"over {largest} bytes: %d", size))
+    ready = raw.select("path", F.concat(F.lit("synth-"), F.sha2("content", 256)).alias("synth"), F.when(size <= largest, F.col("content")).alias("content"), why.alias("why"))
+    found = ready.mapInPandas(run, f"path string, {MAIL.replace('body_text string', 'body_text string, is_page boolean')}, error string")
+    return found.withColumn("body_text", F.when(F.col("is_page"), html_to_text(F.col("body_text"))).otherwise(F.col("body_text"))).drop("is_page")
 
 
 def parse_mail(raw: DataFrame, as_of: str) -> DataFrame:
@@ -195,6 +198,42 @@ def filter_senders(mails: DataFrame, accounts: DataFrame, shared: list[str]) ->
     return joined.filter(~F.exists(deny, lambda x: F.contains(sender, x))).drop(own_deny)
 
 
+#: Length of the grams by which entries of a long deny list are looked up.
+GRAM = 4
+
+
+def _grams(text: Column, lengths: list[int]) -> Column:
+    """The distinct runs of these lengths in a text."""
+
+    def of_length(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.array(F.array().cast("array<string>"), *map(of_length, lengths))))
+
+
+def filter_senders_long(mails: DataFrame, accounts: DataFrame, shared: DataFrame) -> DataFrame:
+    """The rows of ``filter_senders`` where the shared entries are a table (column entry) of any length.
+
+    No list is pasted to mails. Each distinct sender of an account is cut into grams; each entry is looked up
+    by the gram of its own that the fewest senders have, and what meets by an equi-join is verified.
+    """
+    low = F.lower(F.coalesce("sender", F.lit("")))
+    theirs = accounts.select(F.col("id").alias("of_account"), F.explode(F.split(F.coalesce("filter_sender", F.lit("")), ",")).alias("entry"))
+    ours = shared.select(F.lit(None).cast(accounts.schema["id"].dataType).alias("of_account"), "entry")
+    entries = theirs.unionByName(ours).withColumn("entry", F.lower(py_strip(F.col("entry")))).filter("entry <> ''").distinct()
+    lengths = sorted(r.n for r in entries.select(F.least(F.length("entry"), F.lit(GRAM)).alias("n")).distinct().collect())  # of 1 to GRAM
+    who, denied_account = fresh(mails, "who"), fresh(mails, "denied_account")
+    senders = mails.select("account_id", low.alias("said")).distinct()
+    said = senders.select("said").distinct().select("said", F.explode(_grams(F.col("said"), lengths)).alias("gram"))
+    frequency = said.groupBy("gram").agg(F.count("*").alias("n"))
+    own = entries.select("of_account", "entry", F.explode(_grams(F.col("entry"), [GRAM])).alias("gram")).unionByName(entries.filter(F.length("entry") < GRAM).select("of_account", "entry", F.col("entry").alias("gram")))
+    rarest = own.join(frequency, "gram", "left").groupBy("of_account", "entry").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    hits = said.join(rarest, "gram").filter(F.contains("said", F.col("entry"))).select("said", "of_account").distinct()
+    denied = senders.join(hits, "said").filter(F.col("of_account").isNull() | (F.col("of_account") == F.col("account_id"))).select(F.col("account_id").alias(denied_account), F.col("said").alias(who)).distinct()
+    return mails.join(denied, (low == F.col(who)) & F.col("account_id").eqNullSafe(F.col(denied_account)), "left_anti")
+
+
 def within_lookback(mails: DataFrame, as_of: str, days: int = 7, column: str = "received_at") -> DataFrame:
     return mails.filter(F.to_date(column) >= F.date_sub(F.lit(as_of).cast("date"), days))
 
@@ -202,10 +241,8 @@ def within_lookback(mails: DataFrame, as_of: str, days: int = 7, column: str = "
 def drop_forwarded_copies(mails: DataFrame, markers: list[str]) -> DataFrame:
     """Mails that this system did not send itself; encoded markers are decoded first."""
     raw = F.try_element_at("headers", F.lit("x-forwarded-by"))
-    coded = raw.contains("=?")
-    plain = mails.filter(~F.coalesce(coded, F.lit(False))).filter(~F.coalesce(py_strip(raw).isin(markers), F.lit(False)))
-    odd = mails.filter(coded).filter(~F.coalesce(py_strip(decode_header(raw)).isin(markers), F.lit(False)))
-    return plain.unionByName(odd)
+    said = F.coalesce(decode_header(F.when(raw.contains("=?"), raw)), raw)  # Python only gets what is encoded
+    return mails.filter(~F.coalesce(py_strip(said).isin(markers), F.lit(False)))
 
 
 def dedup_batch(mails: DataFrame, order: list[str]) -> DataFrame:
@@ -234,45 +271,58 @@ def first_images(images: Column, most: int = 5) -> Column:
     return F.slice(images, 1, most)
 
 
-def docx_text(content: bytes) -> str:
+def docx_text(content: bytes | None) -> str:
     """Paragraphs that say something, a line each; empty for a broken file."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
     try:
-        root = ET.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
-    except (zipfile.BadZipFile, KeyError, ET.ParseError):
+        root = ET.fromstring(zipfile.ZipFile(io.BytesIO(content or b"")).read("word/document.xml"))
+    except Exception:  # whatever is broken: the container, a member's compression, the document
         return ""
     lines = ["".join(t.text or "" for t in p.iter(f"{w}t")) for p in root.iter(f"{w}p")]
     return "\n".join(x for x in lines if x.strip())
 
 
-def readable_runs(content: bytes) -> str:
-    """Readable runs of an old binary document: four characters at least, the first 300."""
-    text = content.decode("utf-16-le", "ignore")
-    runs = re.findall(r"[一-鿿0-9A-Za-z，。、：；（）\s]{4,}", text)
-    return "\n".join(x.strip() for x in runs[:300] if x.strip())
+#: How an old binary document begins.
+OLE = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
+#: Characters that count as readable in such a document, and in any other old one.
+OLE_READABLE = r"\u4e00-\u9fff\u3000-\u303f\uff00-\uffefa-zA-Z0-9\s.,;:!?()（）《》【】\-+=/%@#&*\"'"
+READABLE = r"\u4e00-\u9fff\u3000-\u303f\uff00-\uffefa-zA-Z0-9\s.,;:!?()（）《》【】\-+=/\\@#$&*\"'"
+
+
+def readable_runs(content: bytes | None) -> str:
+    """Readable runs of an old document: of a binary one, as UTF-16, the first 500 lines of three characters or more; else of
+    the bytes as UTF-8, the first 300 runs of four or more. The document's stream is not told from the rest of its container."""
+    data = content or b""
+    if data.startswith(OLE):
+        lines = re.sub(f"[^{OLE_READABLE}]+", "\n", data.decode("utf-16-le", "replace")).split("\n")
+        found = [x.strip() for x in lines if len(x.strip()) > 2][:500]
+        if found:
+            return "\n".join(found)
+    return "\n".join(re.findall(f"[{READABLE}]{{4,}}", data.decode("utf-8", "replace"))[:300])
 
 
 def extract_text(attachments: DataFrame, max_chars: int = 500_000) -> DataFrame:
-    """``attachments`` with text instead of content; formats that can't be read are empty."""
+    """``attachments`` with text instead of content, in one pass; formats that can't be read are empty."""
 
     @F.pandas_udf("string")
     def packed(content: pd.Series, kind: pd.Series) -> pd.Series:
-        return pd.Series([docx_text(c) if k == "docx" else readable_runs(c) for c, k in zip(content, kind)])
+        return pd.Series([None if c is None else docx_text(c) if k == "docx" else readable_runs(c) for c, k in zip(content, kind)], dtype="object")
 
     kind = extension(F.col("filename"))
-    plain = attachments.filter(kind.isin("txt", "md", "csv", "log")).withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
-    documents = attachments.filter(kind.isin("docx", "doc", "wps")).withColumn("text", packed("content", kind))
-    others = attachments.filter(~F.coalesce(kind.isin("txt", "md", "csv", "log", "docx", "doc", "wps"), F.lit(False))).withColumn("text", F.lit(""))
-    every = plain.unionByName(documents).unionByName(others)
-    return every.withColumn("text", F.left(py_strip(F.col("text")), F.lit(max_chars))).drop("content")
+    of_document = packed(F.when(kind.isin("docx", "doc", "wps"), F.col("content")), kind)  # Python gets no other contents
+    plain = F.when(kind.isin("txt", "md", "csv", "log"), F.make_valid_utf8(F.col("content").cast("string")))
+    text = F.left(py_strip(F.coalesce(plain, of_document, F.lit(""))), F.lit(max_chars))
+    nothing = kind.isin("txt", "md", "csv", "log", "docx", "doc", "wps") & F.col("content").isNull()
+    return attachments.withColumn("text", F.when(nothing, F.lit(None)).otherwise(text)).drop("content")
 
 
 def dedupe_names(df: DataFrame, scope: list[str], name: str, order: list[str]) -> DataFrame:
-    """The n-th equal name of a scope gets ``_n`` before its extension; the first keeps its name."""
-    n = F.row_number().over(Window.partitionBy(*scope, name).orderBy(*order)) - 1
+    """The n-th equal name of a scope gets ``_n`` before its extension; the first keeps its name. A name may be that of very many rows."""
+    place = fresh(df, "place")
+    n = F.col(place) - 1
     cut = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1)
     numbered = F.concat(cut, F.lit("_"), n.cast("string"), F.substring(F.col(name), F.length(cut) + 1, F.length(name)))
-    return df.withColumn(name, F.when(n == 0, F.col(name)).otherwise(numbered))
+    return ranked(df, [*scope, name], order, place).withColumn(name, F.when(n == 0, F.col(name)).otherwise(numbered)).drop(place)
 
 
 def storage_path(attachments: DataFrame, root: str = "attachments") -> DataFrame:

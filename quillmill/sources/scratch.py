@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -52,6 +52,14 @@ def until_exit(spark: SparkSession, path: str) -> None:
     files.deleteOnExit(hadoop_path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a scratch table, read back: what tasks made of it stays the same however often it is read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    until_exit(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _scopes: list[list[str]] = []
 
 

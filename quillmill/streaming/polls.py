@@ -7,17 +7,54 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillmill.sources import mail
 
 THROTTLE = "key string, ts timestamp, blocked boolean, retry_after int"
 
 
+def poll_all(spark: SparkSession, folder: str, as_of: str, glob: str = "*", largest: int = mail.LARGEST, below: bool = False) -> DataFrame:
+    """A stream of ``mail.parse_or_reject`` rows of message files that land in a folder, or also in folders ``below`` it."""
+    raw = spark.readStream.format("binaryFile").option("recursiveFileLookup", str(below).lower()).option("pathGlobFilter", glob)
+    return mail.parse_or_reject(raw.schema("path string, modificationTime timestamp, length long, content binary").load(folder), as_of, largest)
+
+
 def poll(spark: SparkSession, folder: str, as_of: str) -> DataFrame:
-    """A stream of mails from message files that land in a folder; unreadable files are skipped."""
-    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    return mail.parse_mail(raw.filter(F.col("length") <= mail.LARGEST), as_of)
+    """A stream of the mails alone; see ``into_tables`` for what becomes of the others."""
+    return poll_all(spark, folder, as_of).filter("error is null").drop("error")
+
+
+POLLED = f"path string, {mail.MAIL}, error string, batch long, kind string"
+
+
+def into_tables(folder: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch on ``poll_all``: a batch's mails and rejects in one write, parsed once.
+
+    Both tables lie below the batch's own folder, which a replay of the batch replaces as a whole: running a batch again
+    changes nothing, and one that was cut off leaves nothing behind.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        kind = F.when(F.col("error").isNull(), "mails").otherwise("rejects")
+        batch.withColumn("kind", kind).write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/batch={number}")
+
+    return sink
+
+
+def polled_mails(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, mail columns, batch) of all batches; rejects are not read."""
+    return spark.read.schema(POLLED).parquet(folder).filter("kind = 'mails'").drop("kind", "error")
+
+
+def polled_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, error, batch) of the messages that could not be read."""
+    return spark.read.schema(POLLED).parquet(folder).filter("kind = 'rejects'").select("path", "error", "batch")
+
+
+def new_polled(mails: DataFrame, log: DataFrame) -> DataFrame:
+    """The first polled mail of each message id, by batch, then path, that the log doesn't have."""
+    return mail.drop_known(mail.dedup_batch(mails, ["batch", "path"]), log)
 
 
 def exactly_once(mails: DataFrame, days: int = 7, column: str = "received_at") -> DataFrame:
@@ -77,21 +114,54 @@ def throttle(attempts: DataFrame, window_s: int = 900, limit: int = 5) -> DataFr
     return ordered.mapInPandas(run, THROTTLE)
 
 
-def throttle_stream(attempts: DataFrame, window_s: int = 900, limit: int = 5) -> DataFrame:
-    """The same over a stream: state is the counted failures of a key, dropped after the window."""
-
-    def run(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        failures = list(state.get[0]) if state.exists else []
-        own = pd.concat(list(batches)).sort_values(["ts", "ok"])
-        rows = []
-        for ts, ok in own[["ts", "ok"]].itertuples(index=False):
-            failures, blocked, wait = fold(failures, ts.timestamp(), bool(ok), window_s, limit)
-            rows.append((key[0], ts, blocked, wait))
-        state.update((failures,))
-        state.setTimeoutDuration(window_s * 1000)
-        yield pd.DataFrame(rows, columns=["key", "ts", "blocked", "retry_after"])
-
-    return attempts.groupBy("key").applyInPandasWithState(run, THROTTLE, "failures array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+class Throttle(StatefulProcessor):
+    """Counted failures of a key as list state. Attempts of a batch are folded as they come, in order of time.
+
+    A timer by event time drops what no longer counts, so that a key that stays away leaves no state. Attempts
+    that come later than the watermark are not given to it.
+    """
+
+    def __init__(self, window_s: int, limit: int) -> None:
+        self.window_s, self.limit = window_s, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.failures = handle.getListState("failures", "at double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+        failures = sorted(x for (x,) in self.failures.get())
+        last = None
+        for part in rows:
+            out = []
+            for ts, ok in part[["ts", "ok"]].sort_values(["ts", "ok"]).itertuples(index=False):
+                last = ts.timestamp() if last is None else max(last, ts.timestamp())
+                failures, blocked, wait = fold(failures, ts.timestamp(), bool(ok), self.window_s, self.limit)
+                out.append((key[0], ts, blocked, wait))
+            yield pd.DataFrame(out, columns=["key", "ts", "blocked", "retry_after"])
+        self.failures.clear()
+        if failures:
+            self.failures.put([(x,) for x in failures])  # at most ``limit``
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old if isinstance(old, int) else old[0])
+            self.handle.registerTimer(int((failures[-1] + self.window_s) * 1000) + 1)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+        self.failures.clear()
+        yield pd.DataFrame({"key": pd.Series([], dtype="object"), "ts": pd.Series([], dtype="datetime64[ns]"), "blocked": pd.Series([], dtype="bool"), "retry_after": pd.Series([], dtype="int32")})
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that keyed lists and timers need.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def throttle_stream(attempts: DataFrame, window_s: int = 900, limit: int = 5, late: str = "1 hour") -> DataFrame:
+    """The same over a stream: state is a key's counted failures, at most ``limit``, dropped by event time once the window is over.
+
+    A micro-batch's attempts of a key come in Arrow batches and are folded one after the other, never as a whole: the batches
+    should be in order of time, as files that land are. The session must use ``STATE_STORE``.
+    """
+    timed = attempts.select("key", F.col("ts").cast("timestamp").alias("ts"), "ok").withWatermark("ts", late)
+    return timed.groupBy("key").transformWithStateInPandas(Throttle(window_s, limit), THROTTLE, outputMode="Append", timeMode="EventTime")

@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.operators import ledger, maintenance, modelio, reports, revision
-from quillmill.sources import archives, mail
+from quillmill.sources import archives, mail, ranks, tables
 from quillmill.streaming import polls
 
 
@@ -356,8 +356,12 @@ def test_streams_equal_batches(spark, tmp_path):
     assert [b for k, _, b, _ in batch if k == "k"] == [False] * 5 + [True] * 2 + [False]
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = polls.throttle_stream(stream).writeStream.format("memory").queryName("throttled").option("checkpointLocation", str(tmp_path / "c1")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", polls.STATE_STORE)
+    try:
+        q = polls.throttle_stream(stream).writeStream.format("memory").queryName("throttled").option("checkpointLocation", str(tmp_path / "c1")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert sorted(map(tuple, spark.table("throttled").collect())) == batch
     mails = spark.createDataFrame([("m1", "2024-01-01 00:00:00"), ("m1", "2024-01-01 01:00:00"), ("m2", "2024-01-02 00:00:00")], "message_id string, at string").select("message_id", F.col("at").cast("timestamp").alias("received_at"))
     mails.write.parquet(str(tmp_path / "mails"))
@@ -425,3 +429,80 @@ def test_throttle_streams_a_hot_key(spark):
         failures[key], blocked, wait = polls.fold(failures.get(key, []), pd.Timestamp(ts).timestamp(), ok, 900, 5)
         expected.append((key, ts, blocked, wait))
     assert rows == sorted(expected, key=str) and any(r[2] for r in rows)
+
+
+def test_bad_messages_end_no_job(spark):
+    late = b"Message-ID: <1>\nDate: Fri, 31 Dec 9999 23:59:59 -2300\n\nx"
+    word = b"Message-ID: <2>\nSubject: =?utf-8?B?4?=\nFrom: =?no-such?Q?a=ff?=\n\n  body \n"
+    page = b"Message-ID: <3>\nContent-Type: multipart/mixed; boundary=c\n\n--c\nContent-Type: text/html; charset=\\0bad\n\n<p>a</p><![foo[ x\n--c--"
+    parsed = {r.path: r for r in mail.parse_or_reject(raw(spark, late, word, page, None, b"", b"x" * 200), "2024-01-01 00:00:00", largest=150).collect()}
+    assert [str(parsed[f"p{i}"].received_at) for i in (0, 1)] == ["2024-01-01 00:00:00"] * 2
+    assert (parsed["p1"].subject, parsed["p1"].sender, parsed["p1"].body_text) == ("=?utf-8?B?4?=", "a\ufffd", "body")
+    assert parsed["p2"].body_text == "a\n<![foo[ x"
+    assert {k: r.error for k, r in parsed.items() if r.error} == {"p3": "no content", "p5": "over 150 bytes: 200"} and parsed["p4"].message_id.startswith("synth-")
+
+
+def test_bad_files_end_no_job(spark):
+    broken = bytearray(zipped({"a.txt": b"some text, long enough to be packed " * 20, "word/document.xml": b"<x/>" * 50}))
+    broken[45:60] = b"\xff" * 15
+    gz = bytearray(gzip.compress(b"text " * 100))
+    gz[12:30] = b"\xff" * 18
+    df = spark.createDataFrame([(1, 0, "a.zip", bytes(broken)), (1, 1, "b.gz", bytes(gz)), (1, 2, None, None)], "mail_id int, att_idx int, filename string, content binary")
+    rows = archives.expand_archives(df).collect()
+    assert sorted(r.filename or "" for r in rows if not r.expanded) == ["", "a.zip", "b.gz"] or {r.filename for r in rows} >= {"b.gz"}
+    assert any(r.errors for r in rows)
+    assert mail.docx_text(bytes(broken)) == mail.docx_text(None) == mail.readable_runs(None) == ""
+    ole = mail.OLE + "第一条 甲方\0\0ok\0合同文本".encode("utf-16-le")
+    assert mail.readable_runs(ole).split("\n")[-2:] == ["第一条 甲方", "合同文本"] and mail.readable_runs("ab\x00合同文本\x01xyz\x02long run".encode()) == "合同文本\nlong run"
+
+
+def test_long_tags(spark):
+    n = 1_000_000
+    pages = ["<p " + "x" * n + ">text</p>", "<p '" + "y" * n + "'>a</p>", "<p \"" + "y" * n, "<!--" + "z" * n + "-->b", "<script " + "q" * n + ">c</script>"]
+    assert cells(spark, F.right(mail.html_to_text(F.col("t")), F.lit(4)), pages) == ["text", "a", "yyyy", "b", "c"]
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    parsed = mail.parse_or_reject(raw(spark, b"Message-ID: <1>\n\na", None, b"Message-ID: <2>\n\nb", b"Message-ID: <1>\n\nc"), "2024-01-01 00:00:00")
+    folder = str(tmp_path / "t")
+    sink = polls.into_tables(folder)
+    for n in (0, 1, 1):
+        sink(parsed, n)
+    assert polls.polled_mails(spark, folder).count() == 6 and sorted(map(tuple, polls.polled_rejects(spark, folder).collect())) == [("p1", "no content", 0), ("p1", "no content", 1)]
+    log = spark.createDataFrame([("<2>",)], "message_id string")
+    assert [(r.path, r.batch) for r in polls.new_polled(polls.polled_mails(spark, folder), log).collect()] == [("p0", 0)]
+
+
+def test_history_is_joined_where_it_lies(spark):
+    known = spark.createDataFrame([("a",), ("a",), ("b",), ("",), (None,)], "message_id string")
+    table = tables.write_history(known, buckets=4)
+    mails = spark.createDataFrame([("a", 1), ("c", 2), (None, 3), ("", 4)], "message_id string, n int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = mail.drop_known(mails, tables.read_history(spark, table))
+        assert sorted(r.n for r in left.collect()) == [2, 3, 4]
+        plan = left._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_long_deny_lists_equal_short_ones(spark):
+    rng = random.Random(5)
+    mails = spark.createDataFrame([(i, i % 7 if i % 11 else None, "".join(rng.choices("abcdE@. ", k=rng.randrange(12))) if i % 13 else None) for i in range(400)], "id int, account_id long, sender string")
+    accounts = spark.createDataFrame([(a, ", ".join("".join(rng.choices("abCd@", k=rng.randrange(1, 7))) for _ in range(2)) if a % 2 else None) for a in range(7)], "id long, filter_sender string")
+    for shared in ([], ["a@", " DAB ", "", "abcde", "c"], ["".join(rng.choices("abcd@", k=5)) for _ in range(300)]):
+        short = {r.id for r in mail.filter_senders(mails, accounts, shared).collect()}
+        assert {r.id for r in mail.filter_senders_long(mails, accounts, spark.createDataFrame([(x,) for x in shared], "entry string")).collect()} == short
+
+
+def test_numbers_within_a_large_key(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("key"), (-F.col("id")).alias("at"), F.lit("x").alias("range_part"))
+    rows = ranks.ranked(df, ["key"], ["at"], "n", parts=7).collect()
+    places = {}
+    for r in sorted(rows, key=lambda r: r.at):
+        places[r.key] = places.get(r.key, 0) + 1
+        assert r.n == places[r.key]
+    assert len(rows) == 3000 and rows[0].range_part == "x" and places["hot"] == 2000
+    assert ranks.ranked(df.limit(0), ["key"], ["at"], "n").collect() == []

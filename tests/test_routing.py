@@ -75,7 +75,9 @@ def test_outgoing(spark):
     mails = spark.createDataFrame([(1, "Hi\nthere", "s@x", None, "2020", "x" * 4000), (2, None, "s", None, None, None)], "mail_id bigint, subject string, sender string, recipient string, received string, body_text string")
     assert {r.mail_id: r.subject for r in ledger.compose_subjects(groups, mails).collect()} == {1: "【a   / b】Hi there", 2: "【法律文书】"}
     body = {r.mail_id: r.body for r in ledger.compose_bodies(groups, mails).collect()}[1]
-    assert "（分类失败）" in body and "已截断" in body and "原收件人" not in body and "原发件人：s@x" in body
+    assert body.startswith("系统收到一封法律文书邮件，共分析 3 份文书。AI 分析结果如下：") and "── 第 2 组：b ──" in body and "📊 分析置信度：90%" in body
+    assert "（⚠️类型未识别，请人工复核）" in body and "已截断" in body and "原收件人" not in body and "原发件人：s@x\n原收件日期：2020\n原邮件主题：Hi" in body
+    assert "（无正文）" in {r.mail_id: r.body for r in ledger.compose_bodies(groups, mails).collect()}[2]
     out = ledger.build_outbox(spark.createDataFrame([(1, "routable", "p@x,q@x"), (2, "failed", "z")], "mail_id bigint, status string, targets string"), groups, mails, brief=True)
     assert sorted(r.target_email for r in out.collect()) == ["p@x", "q@x"]
     attempts = spark.createDataFrame([(1, " t ", None, True, "2020")], "log_id bigint, target_email string, target_name string, success boolean, created_at string")
