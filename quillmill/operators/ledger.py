@@ -116,9 +116,3 @@ def build_outbox(routed: DataFrame, analyses: DataFrame, mails: DataFrame, brief
     rows = rows.withColumn("target_name", F.lit("")) if names is None else rows.join(names.select("target_email", "target_name"), "target_email", "left")
     greeting = F.concat(F.lit("您好 "), F.coalesce("target_name", F.lit("")), F.lit("，\n\n"))
     return rows.join(composed, "mail_id").select("mail_id", "target_email", "subject", F.concat(greeting, F.col("body")).alias("body"))
-
-
-def write_outbox(outbox: DataFrame, path: str) -> None:
-    outbox.write.mode("overwrite").partitionBy("target_email").json(path)
-
-

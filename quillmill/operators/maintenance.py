@@ -16,6 +16,12 @@ def delete_mails(log: DataFrame, attachments: DataFrame, ledger: DataFrame, ids:
     return tuple(t.join(gone.withColumnRenamed("id", key), key, "left_anti").select(t.columns) for t, key in ((log, "id"), (attachments, "log_id"), (ledger, "log_id")))
 
 
+def clear_all(log: DataFrame, attachments: DataFrame, ledger: DataFrame) -> tuple[tuple[DataFrame, DataFrame, DataFrame], DataFrame]:
+    """The three tables without rows, and (file_path) of the files that go with them, each once."""
+    files = attachments.filter("file_path <> ''").select("file_path").distinct()
+    return tuple(t.filter(F.lit(False)) for t in (log, attachments, ledger)), files
+
+
 def retention_days(setting: int | None) -> int | None:
     """Days to keep: 90 if unset or negative, None for ever if exactly 0."""
     if setting is None or setting < 0:

@@ -202,18 +202,46 @@ def attachments_between(attachments: DataFrame, log: DataFrame, start: str | Non
 
 def export_rows(log: DataFrame, attachments: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """The 13 columns of the export, newest first; every text is safe in a spreadsheet."""
+    return _exported(log, attachments, start, end).drop("_at", "_id")
+
+
+def _exported(log: DataFrame, attachments: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """The export's columns with _at and _id, by which it is in order."""
     rows = with_attachments(date_range(log, start, end), attachments)
     sender = split_sender(F.col("sender"))
     name = F.when((sender["name"] == "") & ~F.col("sender").contains("<"), F.col("sender")).otherwise(sender["name"])
     when = F.coalesce(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"), F.lit(""))
     text = {c: F.coalesce(F.col(c), F.lit("")) for c in ("subject", "doc_type", "case_summary", "key_date", "case_number", "involved_parties", "target_email", "error_message", "attachment_names")}
     columns = {"created_at": when, "sender_name": name, "sender_addr": sender["addr"], "subject": text["subject"], "doc_type": text["doc_type"], "urgency": label(F.col("urgency"), "urgency"), "status": label(F.col("status"), "status"), "case_summary": text["case_summary"], "key_date": text["key_date"], "case_number": text["case_number"], "involved_parties": text["involved_parties"], "targets": text["target_email"], "attachments": text["attachment_names"]}
-    return rows.orderBy(F.desc("created_at"), F.desc("id")).select(*[safe_cell(c).alias(k) for k, c in columns.items()])
+    return rows.orderBy(F.desc("created_at"), F.desc("id")).select(*[safe_cell(c).alias(k) for k, c in columns.items()], F.col("created_at").alias("_at"), F.col("id").alias("_id"))
+
+
+#: How cells are written: quoted only where they must be, blanks kept, nothing for an empty one.
+CSV = {"escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+BOM = "\ufeff"
 
 
 def export_log_csv(log: DataFrame, attachments: DataFrame, path: str, start: str | None = None, end: str | None = None) -> None:
-    rows = export_rows(log, attachments, start, end)
-    rows.withColumnRenamed("created_at", "﻿created_at").write.mode("overwrite").csv(path, header=True, escape='"')
+    """The export as text parts that are one CSV file if joined in order of their names, with one BOM and one header at its start.
+
+    Parts are ranges of the order, so no task writes it all. The first row brings the header; without any row there is it alone.
+    """
+    rows = _exported(log, attachments, start, end)
+    cells = [c for c in rows.columns if c not in ("_at", "_id")]
+    header = f"{BOM}{','.join(cells)}"
+    first = date_range(log, start, end).orderBy(F.desc("created_at"), F.desc("id")).select("id").first()
+    if first is None:
+        lines = rows.sparkSession.createDataFrame([(header,)], "line string")
+    else:
+        line = F.to_csv(F.struct(*cells), CSV)
+        lines = rows.select(F.when(F.col("_id") == first.id, F.concat(F.lit(f"{header}\r\n"), line)).otherwise(line).alias("line"))
+    lines.write.mode("overwrite").option("lineSep", "\r\n").text(path)
+
+
+def export_parts(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of an export: (name, length) of its parts; by name, they are in order."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select(F.substring_index("path", "/", -1).alias("name"), "length").orderBy("name")
 
 
 def attachment_manifest(attachments: DataFrame, log: DataFrame, root: str, start: str | None = None, end: str | None = None) -> DataFrame:

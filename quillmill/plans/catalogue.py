@@ -25,8 +25,13 @@ def query(sql: str | None = None, *names: str) -> Callable[[Query], Query]:
     return add
 
 
+def oracle_of(f: Query) -> str:
+    """The SQL of a query registered before, with its views: for another that gives the same rows."""
+    return _sql[f.__name__]
+
+
 def queries() -> dict[str, Query]:
-    from quillmill.plans import intake, models, registry, texts  # noqa: F401  they register their queries
+    from quillmill.plans import intake, models, registry, stores, texts  # noqa: F401  they register their queries
 
     return dict(_queries)
 

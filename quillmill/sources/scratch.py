@@ -35,20 +35,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
 
 
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a scratch table that nothing reads any more."""
-    files, hadoop_path = _file_system(spark, path)
+    files, hadoop_path = file_system(spark, path)
     files.delete(hadoop_path, True)
 
 
 def until_exit(spark: SparkSession, path: str) -> None:
     """Remove a scratch table, which is there by now, when the driver ends."""
-    files, hadoop_path = _file_system(spark, path)
+    files, hadoop_path = file_system(spark, path)
     files.deleteOnExit(hadoop_path)
 
 
