@@ -231,7 +231,7 @@ def export_log_csv(log: DataFrame, attachments: DataFrame, path: str, start: str
     header = f"{BOM}{','.join(cells)}"
     first = date_range(log, start, end).orderBy(F.desc("created_at"), F.desc("id")).select("id").first()
     if first is None:
-        lines = rows.sparkSession.createDataFrame([(header,)], "line string")
+        lines = rows.sparkSession.createDataFrame([(header,)], "line string").coalesce(1)
     else:
         line = F.to_csv(F.struct(*cells), CSV)
         lines = rows.select(F.when(F.col("_id") == first.id, F.concat(F.lit(f"{header}\r\n"), line)).otherwise(line).alias("line"))
