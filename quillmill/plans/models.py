@@ -155,7 +155,7 @@ def valid_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cited_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten links of what a mail's searches found."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    text = F.concat(F.lit("see "), "url", F.lit("，或 <https://law.example/"), (F.col("page_id") % 8).cast("string"), F.lit(">。"))
+    text = F.concat(F.lit("see "), "url", F.lit(" 或 [https://law.example/"), (F.col("page_id") % 8).cast("string"), F.lit("]。"))
     results = pages.select((F.col("page_id") % 20).alias("mail_id"), F.col("page_id").alias("seq"), text.alias("text"))
     return modelio.citation_links(results).select("mail_id", F.array_join("links", " ").alias("links"))
 
