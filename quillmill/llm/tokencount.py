@@ -3,7 +3,10 @@
 A document is cut before single spaces into leaves of whole pre-tokens, and a segment tree
 holds the token counts of its leaves. An edit makes dirty the leaves it touches, and a
 neighbour too if the edit undid the space between them; only dirty regions are encoded again,
-and the tree's sums on their paths are updated. The result equals a count from scratch.
+and the tree's sums on their paths are updated. The result equals a count from scratch. A region
+is cut anew where it was edited: what exceeds its leaves is put between them, so that a place that
+is edited again and again stays one of small leaves. Only then, and where half of the leaves are
+empty, is the tree built anew from the counts of its leaves, without encoding.
 
 Trees are kept in a folder, a Parquet table for each version: the first has all documents, a later
 one those that its edits changed. Edits are applied to the latest version, again and again,
@@ -48,6 +51,14 @@ def leaf_starts(text: str, leaf: int = LEAF) -> list[int]:
     return starts
 
 
+def leaf_pieces(text: str, leaf: int) -> list[str]:
+    """An edited region in leaves; a last one shorter than ``leaf`` stays with the one before, so a leaf is cut when twice as long."""
+    starts = leaf_starts(text, leaf)
+    if len(starts) > 1 and len(text) - starts[-1] < leaf:
+        starts.pop()
+    return [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
+
+
 class SegmentTree:
     """Sums over leaves; node 1 is the root."""
 
@@ -75,7 +86,7 @@ class CountedText:
     """A text with its tree of counts; ``starts`` and ``sums`` are those of a stored tree of the text, if there is one."""
 
     def __init__(self, text: str, count: Callable[[str], int], leaf: int = LEAF, starts: list[int] | None = None, sums: list[int] | None = None) -> None:
-        self.count, self.starts = count, leaf_starts(text, leaf) if starts is None else starts
+        self.count, self.leaf, self.starts = count, leaf, leaf_starts(text, leaf) if starts is None else starts
         self.leaves = [text[a:b] for a, b in zip(self.starts, [*self.starts[1:], len(text)])]
         self.length = len(text)
         if sums is None:
@@ -90,8 +101,8 @@ class CountedText:
     def edit(self, edits: list[Edit]) -> tuple[int, int]:
         """Apply edits in the text's coordinates; (edits applied, characters encoded again).
 
-        Edits out of range or overlapping an earlier one are left out. A region that was encoded
-        again becomes its first leaf, and its other leaves are empty from then on.
+        Edits out of range or overlapping an earlier one are left out. A region that is encoded
+        again is cut anew into its leaves; those left over are empty, and those lacking are added.
         """
         applied: list[Edit] = []
         for a, b, new in sorted(edits):
@@ -116,16 +127,28 @@ class CountedText:
                 if text and end < last and text[-1].isspace():
                     dirty.add(end + 1)
                     grown = True
+        more: dict[int, list[tuple[str, int]]] = {}
         for first, end, text in regions:
-            self.tree.update(first, self.count(text))
-            self.leaves[first] = text
-            for k in range(first + 1, end + 1):
-                self.tree.update(k, 0)
-                self.leaves[k] = ""
+            pieces = [(x, self.count(x)) for x in leaf_pieces(text, self.leaf)]
+            own = end + 1 - first
+            for k, (piece, n) in enumerate([*pieces[:own], *[("", 0)] * (own - len(pieces))], first):
+                self.tree.update(k, n)
+                self.leaves[k] = piece
+            if len(pieces) > own:
+                more[end] = pieces[own:]
+        if more or 2 * self.leaves.count("") > len(self.leaves):
+            self._rebuild(more)
         self.starts = [0, *accumulate(map(len, self.leaves[:-1]))]
         self.length = self.starts[-1] + len(self.leaves[-1])
         return len(applied), sum(len(text) for _, _, text in regions)
 
+    def _rebuild(self, more: dict[int, list[tuple[str, int]]]) -> None:
+        """A tree of the leaves that hold text, with ``more`` after theirs, from counts that are known."""
+        counted = zip(self.leaves, self.tree.sums[self.tree.size :].tolist())
+        kept = [(x, n) for k, own in enumerate(counted) for x, n in [own, *more.get(k, [])] if x] or [("", 0)]
+        self.leaves = [x for x, _ in kept]
+        self.tree = SegmentTree([n for _, n in kept])
+
     def _edited(self, first: int, end: int, edits: list[Edit]) -> str:
         start = self.starts[first]
         stop = self.starts[end] + len(self.leaves[end])
@@ -222,7 +245,7 @@ def read_trees(spark: SparkSession, store: str, version: int | None = None) -> D
     return out
 
 
-def edit_trees(spark: SparkSession, store: str, edits: DataFrame | Callable[[str], list[Edit]], path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> int:
+def edit_trees(spark: SparkSession, store: str, edits: DataFrame | Callable[[str], list[Edit]], path: str | None = None, pattern: str = public_tokenizers.PATTERN, leaf: int = LEAF) -> int:
     """Apply edits to the latest version of ``store`` and write those documents that change as the next; its number.
 
     ``edits`` is a table (row, start, end, text) or (id, start, end, text) in the coordinates of the latest texts, or a
@@ -244,7 +267,7 @@ def edit_trees(spark: SparkSession, store: str, edits: DataFrame | Callable[[str
         for i, (text, starts, sums, listed) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)))):
             wanted = sound_edits(listed) if rule is None else rule(text)
             if wanted:
-                counted = CountedText(text, count, starts=starts, sums=sums)
+                counted = CountedText(text, count, leaf, starts, sums)
                 n, again = counted.edit(wanted)
                 if n:
                     kept.append(i)
@@ -276,10 +299,10 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keyed = materialize(df.select(F.struct(F.col(id_col).alias("id"), F.col(edits).cast(EDITS).alias("edits")).alias("both"), F.col(text_col).alias("text")), "edited")
         write_trees(keyed, store, "both", "text", path, pattern, leaf)
         first = spark.read.parquet(f"{store}/version=1")
-        edit_trees(spark, store, first.select("row", F.inline("id.edits")), path, pattern)
+        edit_trees(spark, store, first.select("row", F.inline("id.edits")), path, pattern, leaf)
     else:
         write_trees(df, store, id_col, text_col, path, pattern, leaf)
-        edit_trees(spark, store, edits, path, pattern)
+        edit_trees(spark, store, edits, path, pattern, leaf)
     if passing:
         until_exit(spark, store)
     before, after = (spark.read.parquet(f"{store}/version={k}") for k in (1, 2))

@@ -201,6 +201,28 @@ def test_only_touched_regions_are_encoded_again(plain):
     assert n == 2 and again < 4 * tokencount.LEAF
 
 
+def test_leaves_stay_small_where_edits_repeat(plain):
+    def count(text):
+        return len(plain.encode_ordinary(text))
+
+    text = " ".join(f"word{i}" for i in range(400))
+    counted = tokencount.CountedText(text, count)
+    for i in range(50):
+        new = " ".join(f"more{i}x{j}" for j in range(150)) + " "
+        text = text[:700] + new + text[700:]
+        _, again = counted.edit([(700, 700, new)])
+        assert again < len(new) + 5 * tokencount.LEAF
+        counted = tokencount.CountedText(text, count, tokencount.LEAF, counted.starts, counted.tree.sums.tolist())
+    assert counted.text() == text and counted.tree.total() == count(text)
+    assert max(map(len, counted.leaves)) < 3 * tokencount.LEAF
+    many = len(counted.leaves)
+    counted.edit([(100, len(text) - 100, " ")])
+    assert counted.text() == text[:100] + " " + text[-100:] and counted.tree.total() == count(counted.text())
+    assert many > 50 and len(counted.leaves) <= 3
+    counted.edit([(0, counted.length, "")])
+    assert counted.text() == "" and counted.tree.total() == 0 and counted.leaves == [""]
+
+
 def test_stored_trees_take_repeated_edits(spark, tmp_path, plain):
     base = "some words here " * 3000
     docs = spark.createDataFrame([(1, base), (2, "short one"), (2, "short two"), (None, None)], "doc_id long, text string").repartition(2)
