@@ -9,15 +9,17 @@ pivot. Counts and distance bounds of the shells are the summary, at most ``PIVOT
 The lower bounds and counts give each query a score that its k-th best reaches at least; a
 shell whose upper bound is below it can't matter. Queries are grouped by the same pivots at every
 size, and a group needs the shells that one of its queries needs. Groups are solved in bounded
-blocks of queries and vectors: small groups share a block, large ones are cut into several. A
-shell's vectors are replicated to the blocks with a group that needs it, and there each group
-only meets the vectors it needs. The best of the blocks are merged.
+blocks of queries and buckets of vectors: small groups share a block and small shells a bucket, large
+ones are cut into several. A shell's vectors go to the blocks with a group that needs it, a group's queries
+to the buckets with a shell that it needs, and there they only meet the shells that they need. The best
+of the buckets are merged.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -28,8 +30,9 @@ from pyspark.sql.window import Window
 
 from quillmill.llm.common import by_arrow, materialize
 
-PIVOTS, SHELLS = 63, 32  # a set of pivots is a long
-#: Queries and vectors of a block at most, about.
+#: Pivots are the square root of the number of vectors, and at most these.
+PIVOTS, SHELLS = 1024, 8
+#: Queries of a block and vectors of a bucket at most, about.
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 20_000
 
 
@@ -59,10 +62,11 @@ def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 class Cells:
     """Vectors by cell and shell, written once, and their summary; ``rows`` has row, id, v, asks, cell, far and shell."""
 
-    def __init__(self, chosen: DataFrame, pivots: int) -> None:
+    def __init__(self, chosen: DataFrame, pivots: int | None = None) -> None:
         self.width = max(chosen.agg(F.max(F.size("v"))).first()[0] or 0, 1)
         width = self.width
-        # pivots: a fixed number, drawn by hash
+        pivots = isqrt(chosen.count()) + 1 if pivots is None else pivots
+        # pivots: a bounded number, drawn by hash
         drawn = chosen.orderBy(F.xxhash64("v"), "row").select("v").limit(min(pivots, PIVOTS)).collect()
         centres = self.centres = np.unique(_matrix([r.v for r in drawn], width), axis=0).astype(np.float64)
 
@@ -84,20 +88,34 @@ class Cells:
         cells, shells, counts, reach = (np.array([r[c] for r in self.summary]) for c in ("cell", "shell", "n", "far"))
 
         def run(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
-            x, group = _matrix(batch.column(0).to_numpy(zero_copy_only=False), width).astype(np.float64), batch.column(1).to_numpy()
-            middle = x @ centres[cells].T
-            slack = np.linalg.norm(x, axis=1)[:, None] * reach * (1 + 1e-9) + 1e-6 * (1 + np.abs(middle))
-            low = middle - slack
-            order = np.argsort(-low, axis=1)
-            enough = np.cumsum(counts[order], axis=1) >= k + 1  # one of them may be the query's own row
-            at = np.where(enough.any(axis=1), enough.argmax(axis=1), -1)
-            bound = np.where(at >= 0, np.take_along_axis(low, order, axis=1)[np.arange(len(x)), at], -np.inf)
-            want = middle + slack >= bound[:, None]
-            found = [(g, int(j)) for g in np.unique(group) for j in np.flatnonzero(want[group == g].any(axis=0))]
+            whole, group = _matrix(batch.column(0).to_numpy(zero_copy_only=False), width).astype(np.float64), batch.column(1).to_numpy()
+            wanted = {g: np.zeros(len(cells), bool) for g in np.unique(group)}
+            for a in range(0, len(whole), 256):
+                x = whole[a : a + 256]
+                middle = (x @ centres.T)[:, cells]
+                slack = np.linalg.norm(x, axis=1)[:, None] * reach * (1 + 1e-9) + 1e-6 * (1 + np.abs(middle))
+                low = middle - slack
+                order = np.argsort(-low, axis=1)
+                enough = np.cumsum(counts[order], axis=1) >= k + 1  # one of them may be the query's own row
+                at = np.where(enough.any(axis=1), enough.argmax(axis=1), -1)
+                bound = np.where(at >= 0, np.take_along_axis(low, order, axis=1)[np.arange(len(x)), at], -np.inf)
+                for g, want in zip(group[a : a + 256], middle + slack >= bound[:, None]):
+                    wanted[g] |= want
+            found = [(g, int(j)) for g, want in wanted.items() for j in np.flatnonzero(want)]
             yield {"for_cell": pa.array([g for g, _ in found], pa.int32()), "cell": pa.array([cells[j] for _, j in found], pa.int32()), "shell": pa.array([shells[j] for _, j in found], pa.int32())}
 
         return by_arrow(self.rows.filter("asks").select("v", "cell"), "for_cell int, cell int, shell int", run).distinct()
 
+    def buckets(self, most: int) -> list[tuple[int, int, int, int, int]]:
+        """(cell, shell, unit, bucket, splits): neighbouring shells share a bucket up to ``most`` vectors; a larger one has its own, in splits."""
+        out, held, bucket = [], 0, 0
+        for unit, r in enumerate(sorted(self.summary, key=lambda r: (r.cell, r.shell))):
+            if held and held + r.n > most:
+                held, bucket = 0, bucket + 1
+            held += r.n
+            out.append((r.cell, r.shell, unit, bucket, max(1, -(-r.n // most))))
+        return out
+
     def blocks(self, most: int) -> list[tuple[int, int, int]]:
         """(cell, block, parts): groups of queries share a block up to ``most`` of them; a larger group has its own, in parts."""
         asking = Counter()
@@ -112,13 +130,19 @@ class Cells:
         return out
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "v", pivots: int = PIVOTS) -> DataFrame:
+def _numbers(n: str) -> Column:
+    """A row for each of 0 to the column ``n`` less one."""
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "v", pivots: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): for each query row, the ``k`` rows of highest inner product but its own.
 
     ``vector_col`` is array<bigint>. Ties go to the smaller id, null ids first. Rows with a null
     vector or a null component take no part; a shorter vector lacks its last components, which
     count as zero. Rows that repeat an id are rows of their own: each is a candidate for the
     other. Products must fit 64 bits. With fewer candidates than ``k``, all are returned.
+    ``pivots`` is by default the square root of the number of rows.
     """
     spark = vectors.sparkSession
     id_type = vectors.schema[id_col].dataType.simpleString()
@@ -126,27 +150,32 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     chosen = materialize(chosen.filter(F.col("v").isNotNull() & ~F.exists("v", F.isnull)), "topk-rows")
     cells = Cells(chosen, pivots)
     width = cells.width
-    n_vectors = sum(r.n for r in cells.summary)
-    blocks = spark.createDataFrame(cells.blocks(QUERY_BLOCK), "for_cell int, block int, parts int")
-    splits = max(1, -(-n_vectors // VECTOR_BLOCK))
-    part, split = F.pmod(F.xxhash64("row"), F.col("parts")), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(splits))
-    every_split = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(splits - 1).cast("long")))
-    every_part = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long"))).alias("part")
-    asking = cells.rows.filter("asks").join(F.broadcast(blocks), F.col("cell") == F.col("for_cell"))
-    left = asking.select(F.col("row").alias("q_row"), F.col("id").alias("q_id"), F.col("v").alias("q_v"), F.col("cell").alias("q_cell"), F.col("block").alias("q_block"), part.alias("q_part"), every_split.alias("q_split"))
-    want = cells.needed(k).join(F.broadcast(blocks), "for_cell").groupBy("cell", "shell", "block", "parts").agg(F.bit_or(F.expr("shiftleft(1L, for_cell)")).alias("groups"))  # at most pivots x pivots x shells
-    right = cells.rows.join(F.broadcast(want), ["cell", "shell"]).select("row", "id", "v", "groups", "block", split.alias("split"), every_part)
+    blocks = spark.createDataFrame(cells.blocks(QUERY_BLOCK), "for_cell int, block int, parts int")  # at most the pivots
+    buckets = spark.createDataFrame(cells.buckets(VECTOR_BLOCK), "cell int, shell int, unit int, bucket int, splits int")  # at most the summary
+    needed = materialize(cells.needed(k).join(F.broadcast(blocks), "for_cell").join(F.broadcast(buckets), ["cell", "shell"]), "topk-needed")
+
+    part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part")
+    asking = cells.rows.filter("asks").join(F.broadcast(blocks), F.col("cell") == F.col("for_cell")).select("for_cell", part, F.col("row").alias("q_row"), F.col("id").alias("q_id"), F.col("v").alias("q_v"))
+    groups = needed.groupBy("for_cell", "block", "parts", "bucket", "splits").agg(F.collect_set("unit").alias("units"))  # at most the shells of a bucket
+    left = asking.join(groups.withColumn("part", _numbers("parts")), ["for_cell", "part"]).withColumn("split", _numbers("splits"))
+    left = left.select("for_cell", "units", "q_row", "q_id", "q_v", *[F.col(c).alias(f"q_{c}") for c in ("block", "part", "bucket", "split")])
+    split = F.pmod(F.xxhash64("row", F.lit(1)), F.col("splits")).cast("int").alias("split")
+    data = cells.rows.join(F.broadcast(buckets), ["cell", "shell"]).select("unit", split, "row", "id", "v")
+    asked = needed.select("block", "parts", "unit", "bucket", "splits").distinct()
+    right = data.join(asked.withColumn("split", _numbers("splits")), ["unit", "split"]).withColumn("part", _numbers("parts"))
+    # a block's groups have equal parts, as one that is cut has a block of its own; so have a bucket's shells their splits
 
     def solve(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(queries) and len(data):
             data = data.sort_values(["id", "row"], na_position="first")
-            x, rows, ids, groups = _matrix(data["v"], width), data["row"].to_numpy(), data["id"].to_numpy(), data["groups"].to_numpy(np.int64)
-        for cell, own in queries.groupby("q_cell") if len(data) else ():
-            meets = np.flatnonzero(groups >> np.int64(cell) & 1)
+            x, rows, ids, units = _matrix(data["v"], width), data["row"].to_numpy(), data["id"].to_numpy(), data["unit"].to_numpy()
+        for _, own in queries.groupby("for_cell") if len(data) else ():
+            meets = np.flatnonzero(np.isin(units, own["units"].iloc[0]))
+            near = x[meets]
             for a in range(0, len(own), 256):
                 some = own.iloc[a : a + 256]
-                scores = _products(_matrix(some["q_v"], width), x[meets])
+                scores = _products(_matrix(some["q_v"], width), near)
                 for own_row, own_id, s in zip(some["q_row"], some["q_id"], scores):
                     there = np.flatnonzero(rows[meets] != own_row)
                     s, there = s[there], meets[there]
@@ -159,7 +188,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
                     out += [(own_row, own_id, rows[there[i]], ids[there[i]], s[i]) for i in best]
         return pd.DataFrame(out, columns=["query_row", "query_id", "row", "id", "score"])
 
-    found = left.groupBy("q_block", "q_part", "q_split").cogroup(right.groupBy("block", "part", "split")).applyInPandas(solve, f"query_row long, query_id {id_type}, row long, id {id_type}, score long")
+    found = left.groupBy("q_block", "q_part", "q_bucket", "q_split").cogroup(right.groupBy("block", "part", "bucket", "split")).applyInPandas(solve, f"query_row long, query_id {id_type}, row long, id {id_type}, score long")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_first("id"), "row")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

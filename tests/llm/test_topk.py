@@ -49,6 +49,12 @@ def test_groups_of_queries_need_few_shells_at_any_size(spark):
     assert len(asking) > 1 and {r.for_cell for r in needed} == asking
     assert len(needed) < 0.5 * len(asking) * len(cells.summary)
     assert [x[1] for x in cells.blocks(4096)] == [0] * len({r.cell for r in cells.summary})
+    whole = {b for *_, b, _ in cells.buckets(20_000)}
+    assert whole == {0}
+    buckets = {(c, s): b for c, s, _, b, _ in cells.buckets(50)}
+    tiles = {(r.for_cell, buckets[r.cell, r.shell]) for r in needed}
+    assert len(tiles) < 0.6 * len(asking) * len(set(buckets.values()))  # queries don't go to all buckets
+    assert max(n for *_, n in cells.buckets(3)) > 1
     parts = cells.blocks(3)
     assert len({b for _, b, _ in parts}) > 1 and max(n for _, _, n in parts) > 1
 
