@@ -61,6 +61,18 @@ def split_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "mail_log").select("id", F.array_join(revision.split_paragraphs(text), "|").alias("paragraphs"))
 
 
+@query("""WITH p AS (SELECT mail_id, length((i - 1) || ': ' || s[i]) AS n, ((i - 1) * 7 + mail_id) % 10 < mail_id % 10 AS gone FROM (SELECT mail_id, string_split(replace(text, chr(13), ''), chr(10)) AS s FROM bodies WHERE text IS NOT NULL), unnest(range(1, len(s) + 1)) AS u(i)),
+g AS (SELECT mail_id AS pair_id, CAST(coalesce(sum(n) FILTER (WHERE gone), 0) AS BIGINT) AS deleted, CAST(sum(n) AS BIGINT) AS whole FROM p GROUP BY 1)
+SELECT pair_id, deleted, deleted / whole AS share, deleted >= 800 AND deleted / whole > 0.6 AS rejected FROM g""", "bodies")
+def revision_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against themselves without some of their lines, up to all but one in ten of them, and the guard's verdict."""
+    n, rows = F.col("mail_id"), view(spark, sf_dir, "bodies")
+    lines = F.transform(F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n"), lambda x, k: F.concat(k.cast("string"), F.lit(": "), x))
+    stay = F.filter(lines, lambda _, k: (k * 7 + n) % 10 >= n % 10)
+    pairs = rows.select(n.alias("pair_id"), lines.alias("original"), F.array_join(stay, "\n\n").alias("revised"))
+    return revision.revision_guard(revision.diff_pairs(pairs))
+
+
 @query("SELECT id, CASE id % 4 WHEN 0 THEN '修订,审查' WHEN 1 THEN '合同' ELSE '' END AS caps FROM mail_log", "mail_log")
 def type_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capabilities in header blocks."""
