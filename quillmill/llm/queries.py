@@ -16,7 +16,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and the components of links at 4 or fewer differing bits."""
+    """Fingerprints of all documents and the components of links at 4 or fewer differing bits.
+
+    Null, empty and blank texts have fingerprint zero and are linked like any other; repeated rows stay.
+    """
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
@@ -75,7 +78,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages of all documents, learnt from those that are not held out."""
+    """Languages of all documents, learnt from those that are not held out.
+
+    A null text or one without a letter is ``und`` with score 0; rows are independent.
+    """
     docs = documents(spark, sf_dir)
     model = langid.fit(docs.filter(~held_out()).select(F.col("doc_id").alias("id"), "text", "lang"))
     found = langid.identify(docs, model)
@@ -88,22 +94,34 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids and their decoding for all documents, as digests."""
+    """Ids and their decoding for all documents, as digests.
+
+    A null text is encoded as the empty one; repeated rows give repeated results.
+    """
     return bpe.encode_decode(documents(spark, sf_dir), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in all documents by the base rules and the added ones."""
+    """Secrets in all documents by the base rules and the added ones.
+
+    Null and empty texts have none; rows are independent.
+    """
     return secrets.digests(documents(spark, sf_dir))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measures and verdicts of all documents, with cutoffs certified on the labels."""
+    """Measures and verdicts of all documents, with cutoffs certified on the labels.
+
+    Rows that repeat an id are judged each; without labels the base rules alone decide.
+    """
     return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten rows of highest product for each vector whose id is divisible by 100."""
+    """The ten rows of highest product for each vector whose id is divisible by 100.
+
+    Ties go to the smaller id; vectors null or with null or non-finite components take no part.
+    """
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", topk.quantized(F.col("embedding")).alias("v"))
     return topk.top_k(rows, F.col("vec_id") % 100 == 0)
 
