@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions.names import fresh
@@ -22,6 +22,8 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 #: Bytes of text that Python functions take at once.
 AT_ONCE = 2_000_000
+#: Bytes of an Arrow batch of texts, where the session keeps Spark's own limit of 64 MB.
+BATCH_BYTES = 8_000_000
 #: Bits of the filter for rows to be looked up, as powers of two: 16 for each, and at most 16 MB.
 LEAST_BITS, MOST_BITS = 15, 27
 
@@ -62,11 +64,24 @@ def slices(batch: pa.RecordBatch, column: int, at_once: int) -> Iterator[pa.Reco
         yield batch.slice(a, b - a)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches get a limit of ``BATCH_BYTES`` in this session, unless it has set one of its own.
+
+    Texts are taken in slices of ``AT_ONCE`` bytes anyhow; larger batches only fill executors, once in
+    the JVM and once in Python for each task. The setting stays, as results are computed later.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit) == f"{64 << 20}b":
+        spark.conf.set(limit, f"{BATCH_BYTES}b")
+
+
 def by_arrow(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], Iterable[dict[str, object]]], text: int | None = None, at_once: int = AT_ONCE) -> DataFrame:
     """``mapInArrow`` over batches, where ``fn`` yields columns by name in the order of ``schema``.
 
     With ``text``, the place of a column of texts, ``fn`` gets slices of about ``at_once`` bytes of it.
     """
+    if text is not None:
+        bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
