@@ -497,6 +497,23 @@ def test_long_deny_lists_equal_short_ones(spark):
         assert {r.id for r in mail.filter_senders_long(mails, accounts, spark.createDataFrame([(x,) for x in shared], "entry string")).collect()} == short
 
 
+def test_entries_of_accounts_meet_their_own_senders_only(spark):
+    n = 3000
+    mails = spark.range(n).select("id", F.col("id").alias("account_id"), F.concat(F.lit("clerk 1 c"), F.col("id").cast("string"), F.lit("@x")).alias("sender"))
+    accounts = spark.range(n).select("id", F.when(F.col("id") % 2 == 0, "k 1, CLERK 1").otherwise("clerk 2").alias("filter_sender")).unionByName(spark.createDataFrame([(None, "c1")], "id long, filter_sender string"))
+    left = mail.filter_senders_long(mails, accounts, spark.createDataFrame([("c7@",), ("@x7",)], "entry string"))
+    assert {r.id for r in left.collect()} == {i for i in range(n) if i % 2 and i != 7}
+    seen, nodes = [], [left._jdf.queryExecution().executedPlan()]
+    while nodes:  # what each join of the finished plan gave
+        node = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if "Join" in kind:
+            seen.append(node.metrics().apply("numOutputRows").value())
+        inner = {"AdaptiveSparkPlanExec": "executedPlan", "ReusedExchangeExec": "child"}.get(kind, "plan" if kind.endswith("QueryStageExec") else "")
+        nodes += [getattr(node, inner)()] if inner else [node.children().apply(i) for i in range(node.children().size())]
+    assert seen and max(seen) <= 20 * n, seen  # of pairs of an account's entry and any account's sender there would be millions
+
+
 def test_numbers_within_a_large_key(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("key"), (-F.col("id")).alias("at"), F.lit("x").alias("range_part"))
     rows = ranks.ranked(df, ["key"], ["at"], "n", parts=7).collect()
