@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import glob
 import io
+import json
 import os
 
 from pyspark.sql import functions as F
@@ -49,6 +50,20 @@ def test_an_outbox_has_bounded_parts(spark, tmp_path):
         assert stores.read_outbox(spark, path, schema, target).count() == n
 
 
+def test_tasks_of_a_large_outbox_stay_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stores, "OUTBOX_BYTES", 40_000, raising=False)
+    path, schema = str(tmp_path / "out"), "mail_id long, target_email string, body string"
+    outbox = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot@x").otherwise(F.concat(F.lit("t"), (F.col("id") % 90).cast("string"))).alias("target_email"), F.repeat(F.lit("b"), 300).alias("body")).withColumnRenamed("id", "mail_id")
+    stores.write_outbox(outbox, path, 4)
+    files = [sorted(glob.glob(f"{path}/mails/part={p}/*.json")) for p in range(4)]
+    assert all(files) and max(os.path.getsize(f) for part in files for f in part) < 120_000  # over 200,000 for each of four files
+    rows = [(x["target_email"], x["mail_id"]) for part in files for f in part for x in map(json.loads, open(f))]
+    assert rows == sorted(rows) and len(rows) == 3000
+    assert stores.read_outbox(spark, path, schema, "hot@x").count() == 1000
+    stores.write_outbox(outbox.limit(0), path, 4)
+    assert stores.read_outbox(spark, path, schema, "hot@x").count() == 0
+
+
 def test_retention_drops_days(spark, tmp_path):
     path, schema = str(tmp_path / "log"), "id long, created_at timestamp_ntz"
     log = mail_log(spark, 24 * 20).select("id", "created_at")
