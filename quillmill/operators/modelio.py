@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quillmill.functions.arrays import let
 from quillmill.functions.names import fresh
-from quillmill.functions.text import NON_LEGAL, OTHER, estimate_tokens, parse_caps, py_strip, tokens_of_counts, urls
+from quillmill.functions.text import NON_LEGAL, OTHER, chinese_chars, estimate_tokens, parse_caps, py_strip, tokens_of_counts, urls
 
 ANALYSIS = T.StructType([T.StructField(c, T.StringType()) for c in ("doc_type", "case_summary", "ai_interpretation", "urgency", "key_date", "case_number", "involved_parties", "confidence", "revised_document", "contract_party_a", "contract_party_b", "contract_name", "contract_content", "contract_amount", "agency_name", "document_title_no")])
 
@@ -57,7 +58,7 @@ def group_listing(texts: DataFrame) -> DataFrame:
 
 def fit_attachments(parts: DataFrame, budget: Column, fixed_chinese: Column | None = None, fixed_other: Column | None = None) -> DataFrame:
     """Parts (mail_id, att_idx, text) of the longest prefix within the token budget, by running sums; no text is counted twice."""
-    chinese = F.length(F.regexp_replace("text", r"[^一-鿿㐀-䶿]", ""))
+    chinese = chinese_chars(F.col("text"))
     upto = Window.partitionBy("mail_id").orderBy("att_idx").rowsBetween(Window.unboundedPreceding, 0)
     c, o = (fresh(parts, x) for x in ("n_chinese", "n_other"))
     counted = parts.withColumns({c: chinese, o: F.length("text") - chinese})
@@ -72,34 +73,36 @@ INPUT, OUTPUT, ATTACHED, CUT_BODY = "## Input", "## Output", "\n\n## 附件内
 
 def _counts(c: Column) -> Column:
     """struct(chinese, other) characters of a text."""
-    chinese = F.length(F.regexp_replace(c, r"[^一-鿿㐀-䶿]", "")).cast("bigint")
-    return F.struct(chinese.alias("chinese"), (F.length(c) - chinese).alias("other"))
+    return let(chinese_chars(c).cast("bigint"), lambda chinese: F.struct(chinese.alias("chinese"), (F.length(c) - chinese).alias("other")))
 
 
 def kept_attachments(template: Column, attachments: Column, budget: Column) -> Column:
-    """struct(text, fits): the longest list of whole attachments that fits beside the template; at least the last one goes."""
-    parts = F.transform(F.filter(F.transform(F.split(attachments, "=== "), py_strip), lambda x: x != ""), lambda x: F.concat(F.lit("=== "), x))
+    """struct(text, fits): the longest list of whole attachments that fits beside the template; at least the last one goes. Each is counted once."""
+    split = F.transform(F.filter(F.transform(F.split(attachments, "=== "), py_strip), lambda x: x != ""), lambda x: F.concat(F.lit("=== "), x))
     fixed, label = _counts(template), _counts(F.lit(ATTACHED))
-    sums = F.struct(fixed["chinese"].alias("chinese"), fixed["other"].alias("other"), F.lit(0).alias("n"), F.lit(0).alias("best"), (tokens_of_counts(fixed["chinese"], fixed["other"]) <= budget).alias("fits"))
+    sums = let(fixed, lambda x: F.struct(x["chinese"].alias("chinese"), x["other"].alias("other"), F.lit(0).alias("n"), F.lit(0).alias("best"), (tokens_of_counts(x["chinese"], x["other"]) <= budget).alias("fits")))
 
-    def longer(acc: Column, part: Column) -> Column:
-        own, before = _counts(part), F.when(acc["n"] == 0, F.struct(label["chinese"].alias("chinese"), label["other"].alias("other"))).otherwise(F.struct(F.lit(0).cast("bigint").alias("chinese"), F.lit(2).cast("bigint").alias("other")))
+    def longer(acc: Column, own: Column) -> Column:
+        before = F.when(acc["n"] == 0, label).otherwise(F.struct(F.lit(0).cast("bigint").alias("chinese"), F.lit(2).cast("bigint").alias("other")))
         chinese, other, n = acc["chinese"] + own["chinese"] + before["chinese"], acc["other"] + own["other"] + before["other"], acc["n"] + 1
         fits = tokens_of_counts(chinese, other) <= budget
         return F.struct(chinese.alias("chinese"), other.alias("other"), n.alias("n"), F.when(fits, n).otherwise(acc["best"]).alias("best"), (acc["fits"] | fits).alias("fits"))
 
-    found = F.aggregate(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), sums, longer)
-    return F.struct(F.array_join(F.slice(parts, F.lit(1), found["best"]), "\n\n").alias("text"), found["fits"].alias("fits"))
+    def kept(parts: Column) -> Column:
+        counts = F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), _counts)
+        return let(F.aggregate(counts, sums, longer), lambda found: F.struct(F.array_join(F.slice(parts, F.lit(1), found["best"]), "\n\n").alias("text"), found["fits"].alias("fits")))
+
+    return let(split, kept)
 
 
 def truncate_prompt(prompts: DataFrame) -> DataFrame:
-    """(id, template, attachments) within the budget of tokens; ``prompts``: id, template, attachments, window, ratio, output.
+    """(id, template, attachments, other columns) within the budget of tokens; ``prompts``: id, template, attachments, window, ratio, output, others.
 
     The budget is what the window's share leaves beside the output, 1,024 at least. Without
     attachments a prompt stays as it is. Then attachments go from the last on, and if the template
     alone is over the budget, its region from ``INPUT`` to ``OUTPUT`` is cut by 15 % while over 100
     characters. If that does not help, the region only says so; a template without the regions is cut
-    at two characters a token. Only those few prompts go through Python.
+    at two characters a token. Only those few templates are given to Python. Each prompt is counted once, in one pass.
     """
 
     def tokens(text: str) -> int:
@@ -117,16 +120,19 @@ def truncate_prompt(prompts: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def cut(template: pd.Series, budget: pd.Series) -> pd.Series:
-        return pd.Series([shortened(text, most) for text, most in zip(template, budget)])
+        return pd.Series([None if text is None else shortened(text, int(most)) for text, most in zip(template, budget)], dtype="object")
 
     budget = F.greatest((F.col("window") * F.col("ratio")).cast("bigint") - F.col("output"), F.lit(1024))
-    texts = prompts.select("id", F.coalesce("template", F.lit("")).alias("template"), F.coalesce("attachments", F.lit("")).alias("attachments"), budget.alias("budget"))
+    others = [c for c in prompts.columns if c not in ("id", "template", "attachments", "window", "ratio", "output")]
+    limit, kept, short = (fresh(prompts, x) for x in ("budget", "kept", "short_template"))
+    texts = prompts.select("id", F.coalesce("template", F.lit("")).alias("template"), F.coalesce("attachments", F.lit("")).alias("attachments"), budget.alias(limit), *[f"`{c}`" for c in others])
     whole = F.concat("template", F.lit(ATTACHED), "attachments")
-    over = (F.col("attachments") != "") & (estimate_tokens(whole) > F.col("budget"))
-    tried = texts.filter(over).withColumn("kept", kept_attachments(F.col("template"), F.col("attachments"), F.col("budget")))
-    dropped = tried.filter("kept.fits").select("id", "template", F.col("kept.text").alias("attachments"))
-    bare = tried.filter("not kept.fits").select("id", cut("template", "budget").alias("template"), F.lit("").alias("attachments"))
-    return texts.filter(~over).select("id", "template", "attachments").unionByName(dropped).unionByName(bare)
+    over = (F.col("attachments") != "") & (estimate_tokens(whole) > F.col(limit))
+    tried = texts.withColumn(kept, F.when(over, kept_attachments(F.col("template"), F.col("attachments"), F.col(limit))))  # null: all stays
+    bare = ~F.col(f"{kept}.fits")
+    done = tried.withColumn(short, cut(F.when(bare, F.col("template")), F.when(bare, F.col(limit))))
+    attachments = F.when(F.col(kept).isNull(), F.col("attachments")).when(bare, "").otherwise(F.col(f"{kept}.text"))
+    return done.select("id", F.when(bare, F.col(short)).otherwise(F.col("template")).alias("template"), attachments.alias("attachments"), *[f"`{c}`" for c in others])
 
 
 def fill_template(template: str, values: dict[str, Column], appended: dict[str, str] | None = None) -> Column:

@@ -64,8 +64,8 @@ def fitted_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts that lose attachments from the last on until they fit."""
     parts = view(spark, sf_dir, "bodies").select(F.floor(F.col("mail_id") / 5).alias("id"), (F.col("mail_id") % 5).alias("att_idx"), F.col("mail_id").cast("string").alias("filename"), fn.py_strip(F.col("text")).alias("text"))
     whole = modelio.combine_texts(parts, ["id"])
-    prompts = whole.select("id", F.lit("## Input\nshort\n## Output\njson").alias("template"), F.col("text").alias("attachments"), F.lit(4000).alias("window"), F.lit(0.5).alias("ratio"), F.lit(600).alias("output"))
-    cut = modelio.truncate_prompt(prompts).join(whole.withColumnRenamed("text", "all"), "id")
+    prompts = whole.select("id", F.lit("## Input\nshort\n## Output\njson").alias("template"), F.col("text").alias("attachments"), F.lit(4000).alias("window"), F.lit(0.5).alias("ratio"), F.lit(600).alias("output"), F.col("text").alias("all"))
+    cut = modelio.truncate_prompt(prompts)
     return cut.select("id", F.length("attachments").cast("long").alias("n_chars"), (F.col("attachments") == F.col("all")).alias("whole"))
 
 

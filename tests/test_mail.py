@@ -175,6 +175,14 @@ def test_prompts_within_a_budget(spark):
         assert got[n] == plain_prompt(t or "", a or "", w, r, o), (n, t[:30], a[:30], w)
 
 
+def test_prompts_are_cut_in_one_pass(spark):
+    rows = [(1, "## Input\nx\n## Output\n", "=== a ===\n" + "条" * 3000 + "\n\n=== b ===\nlast", 4000, 0.5, 600, "own"), (2, "t " * 9000, "=== a", 4000, 0.5, 600, None), (3, "t", "", 0, 0.5, 0, "")]
+    cut = modelio.truncate_prompt(spark.createDataFrame(rows, "id int, template string, attachments string, window int, ratio double, output int, mark string"))
+    assert {r.id: (r.template, r.attachments, r.mark) for r in cut.collect()} == {x[0]: (*plain_prompt(*x[1:6]), x[6]) for x in rows}
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and "Union" not in plan
+
+
 def test_capabilities(spark, tmp_path):
     for name, text in (("合同", "---\ncaps: 修订 #审查\n---\nbody"), ("起诉状", "no header"), ("非法律文书", "x")):
         (tmp_path / f"{name}.md").write_text(text)
