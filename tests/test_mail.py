@@ -481,6 +481,23 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     assert [(r.path, r.batch) for r in polls.new_polled(polls.polled_mails(spark, folder), log).collect()] == [("p0", 0)]
 
 
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    rows = spark.range(300).select(F.format_string("mail_id=%d", F.col("id") % 280).alias("place"), F.encode(F.format_string("Message-ID: <%d>\n\nb", "id"), "UTF-8").alias("content"))
+    assert mail.land_messages(rows.repartition(3, "place"), f"file://{tmp_path}/in").agg(F.sum("n")).first()[0] == 300
+    tasks, before = [], {k: spark.conf.get(k) for k in polls.MANY_SMALL}
+
+    def sink(batch, number):
+        tasks.append(batch.rdd.getNumPartitions())
+        polls.into_tables(str(tmp_path / "t"))(batch, number)
+
+    with polls.many_small_files(spark):
+        polls.run_polls(polls.poll_all(spark, str(tmp_path / "in"), "2024-01-01 00:00:00", glob="*.txt", below=True), sink, str(tmp_path / "s")).awaitTermination()
+    assert len(tasks) == 1 and tasks[0] <= 5  # more than twice as many by Spark's own cost of a file
+    assert before == {k: spark.conf.get(k) for k in polls.MANY_SMALL}
+    got = polls.polled_mails(spark, str(tmp_path / "t")).collect()
+    assert sorted(r.message_id for r in got) == sorted(f"<{i}>" for i in range(300)) and all("/mail_id=" in r.path for r in got)
+
+
 def test_history_is_joined_where_it_lies(spark):
     known = spark.createDataFrame([("a",), ("a",), ("b",), ("",), (None,)], "message_id string")
     table = tables.write_history(known, buckets=4)
