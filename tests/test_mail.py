@@ -17,6 +17,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.operators import ledger, maintenance, modelio, reports, revision
+from quillmill.plans import intake
+from quillmill.plans.views import view
 from quillmill.sources import archives, mail, ranks, tables
 from quillmill.streaming import polls
 
@@ -481,6 +483,17 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     assert [(r.path, r.batch) for r in polls.new_polled(polls.polled_mails(spark, folder), log).collect()] == [("p0", 0)]
 
 
+def test_messages_in_parts_are_parsed_once(spark, monkeypatch):
+    found = intake.mail_attachments(spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+    assert found.count() == 2 * view(spark, "/root/testdata/sf0.001", "parts").count()
+    messages = raw(spark, *[f"Message-ID: <{i}>\n\n{'b' * 50}".encode() for i in range(40)]).coalesce(1)
+    monkeypatch.setattr(mail, "MOST_AT_ONCE", 7)
+    for most in (2_000_000, 100):  # by number, then by bytes
+        monkeypatch.setattr(mail, "AT_ONCE", most)
+        assert sorted(r.message_id for r in mail.parse_mail(messages, "2024-01-01 00:00:00").collect()) == sorted(f"<{i}>" for i in range(40))
+
+
 def test_many_small_files_are_few_tasks(spark, tmp_path):
     rows = spark.range(300).select(F.format_string("mail_id=%d", F.col("id") % 280).alias("place"), F.encode(F.format_string("Message-ID: <%d>\n\nb", "id"), "UTF-8").alias("content"))
     assert mail.land_messages(rows.repartition(3, "place"), f"file://{tmp_path}/in").agg(F.sum("n")).first()[0] == 300
