@@ -19,12 +19,15 @@ recipes count, and all recipes against the manifest. Any difference is an error.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +35,8 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from quillmill.llm.bpe import byte_characters
-from quillmill.llm.chunks import ChunkEncoder, once, ship
-from quillmill.llm.common import AT_ONCE, by_arrow, discard, materialize, scratch_path, slices, texts_of
+from quillmill.llm.chunks import Codes, encode_all, joined_runs, once, ship
+from quillmill.llm.common import BATCH_BYTES, bounded_batches, by_arrow, discard, materialize, scratch_path, slices
 
 WINDOW, MEAN, LONGEST = 16, 512, 4096
 #: Children of a node of the Merkle tree.
@@ -65,12 +68,14 @@ def chunk_ends(ids: np.ndarray, doc_ends: np.ndarray, mean: int = MEAN, longest:
     return ends
 
 
-#: Bytes of the cache of encoded chunks.
+#: Bytes of the cache of encoded pieces.
 CACHE_BYTES = 120_000_000
-#: Runs of marks are kept up to this length, which bounds how many there are in practice.
-LONGEST_MARKS = 3
-#: ASCII marks that may end a word; runs of them are a pre-token of their own.
-MARKS = ".,;:!?|&$%#*()[]{}<>\"'-_/\\+=@~^`"
+#: Letters below U+0250, and ASCII marks that may follow a word; runs of marks are a pre-token of their own.
+LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+MARKS = re.escape(".,;:!?|&$%#*()[]{}<>\"'-_/\\+=@~^`")
+#: Lines of a word each, with or without marks after it.
+SIMPLE = f"^ ?[{LETTERS}]+[{MARKS}]*(\n[{LETTERS}]+[{MARKS}]*)*$"
+TOKEN_ID = attrgetter("id")
 
 
 class TokenIds:
@@ -79,50 +84,44 @@ class TokenIds:
     A run of Latin letters, with or without a space before it, is one pre-token, which the
     library's BPE model takes as it is; marks at its end are the next, and so is a single line
     feed between two such words. Anything else, strings of special tokens included, goes through
-    the library whole.
+    the library whole. A piece goes to the library once, whatever stands beside it, while the
+    cache has room.
     """
 
     def __init__(self, data: bytes) -> None:
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.model = self.tokenizer.model
-        self.mapped = dict(enumerate(byte_characters()))
-        self.marks: dict[str, bytes] = {}
-        self.line_feed = self._library("\n")
-        self.chunks = ChunkEncoder(self._code, CACHE_BYTES)
+        self.mapped = dict(enumerate(byte_characters())) | {0: 0}  # which stands between pieces
+        self.known = Codes(CACHE_BYTES)
 
     def encode(self, text: str) -> bytes:
-        return self.chunks.encode(text)
-
-    def _library(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _code(self, text: str) -> bytes:
-        if "\n" not in text:
-            return self._word(text) or self._library(text)
-        parts = [self._word(part) for part in text.split("\n")]
-        return self.line_feed.join(parts) if all(parts) else self._library(text)
-
-    def _word(self, text: str) -> bytes:
-        """Ids of letters with marks after them; nothing for any other text."""
-        word = text.rstrip(MARKS)
-        spaced = word[:1] == " "
-        if not (word[1:] if spaced else word).isalpha():
-            return b""
-        if word.isascii():
-            mapped = "\u0120" + word[1:] if spaced else word
-        elif max(word) < "\u0250":
-            mapped = word.encode().decode("latin-1").translate(self.mapped)
-        else:
-            return b""
-        code = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        if len(word) == len(text):
-            return code
-        marks = text[len(word) :]
-        if (after := self.marks.get(marks)) is None:
-            after = self._library(marks)
-            if len(marks) <= LONGEST_MARKS:
-                self.marks[marks] = after
-        return code + after
+        return self.encode_all(pa.array([text], pa.large_string()))[0].as_py()
+
+    def encode_all(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """The ids of each text, with ``end`` after them."""
+        return encode_all(texts, self._parts, end)
+
+    def _parts(self, parts: pa.Array) -> pa.Array:
+        simple = pc.match_substring_regex(parts, SIMPLE)
+        lines = pc.replace_substring(parts.filter(simple), "\n", "\0\n\0")
+        pieces = pc.split_pattern(pc.replace_substring_regex(lines, f"([{MARKS}]+)", "\0\\1"), "\0")
+        distinct = pieces.values.dictionary_encode()
+        of_piece = pa.array(self.known.of(distinct.dictionary, self._pre_tokens), pa.large_binary())
+        codes = joined_runs(of_piece, distinct.indices, pieces.offsets.to_numpy())
+        others = parts.filter(pc.invert(simple)).dictionary_encode()
+        of_other = pa.array(self.known.of(others.dictionary, self._library), pa.large_binary())
+        places = np.empty(len(parts), np.int64)
+        is_simple = simple.to_numpy(zero_copy_only=False)
+        places[is_simple] = np.arange(len(codes))
+        places[~is_simple] = len(codes) + others.indices.to_numpy()
+        return pa.concat_arrays([codes, of_other]).take(pa.array(places))
+
+    def _pre_tokens(self, pieces: list[str]) -> list[bytes]:
+        mapped = "\0".join(pieces).encode().decode("latin-1").translate(self.mapped).split("\0") if pieces else []
+        return [array("I", map(TOKEN_ID, self.model.tokenize(piece))).tobytes() for piece in mapped]
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() for text in texts]
 
 
 CHUNK = "key long, hash binary, width int, payload binary"
@@ -135,24 +134,26 @@ def _recipe(id_type: str) -> str:
 
 def _encoded(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int, width: int) -> DataFrame:
     """Rows of both kinds: a recipe for each document, and the chunks, each once per task."""
+    bounded_batches(df.sparkSession)
     digest, shipped = ship(df.sparkSession, path)
     id_type = df.schema[id_col].dataType
     schema = f"kind string, {CHUNK}, recipe struct<{_recipe(id_type.simpleString())}>"
     end = np.uint32(end_id).tobytes()
 
-    def columns(doc_ids: pa.Array, numbers: pa.Array, codes: list[bytes], seen: set[bytes]) -> Iterator[dict[str, object]]:
-        lengths = np.array([len(x) // 4 + 1 for x in codes], np.int64)
-        ids = np.frombuffer(b"".join([x + end for x in codes]), "<u4")
+    def columns(doc_ids: pa.Array, numbers: pa.Array, codes: pa.Array, seen: set[bytes]) -> Iterator[dict[str, object]]:
+        _, offsets, data = codes.buffers()
+        doc_ends = np.frombuffer(offsets, np.int64)[1:] // 4
+        lengths = np.diff(doc_ends, prepend=0)
+        ids = np.frombuffer(data, "<u4", int(doc_ends[-1]))
         if width == 2 and ids.max() >> 16:
             raise ValueError("ids over 65,535 need a larger vocabulary")
-        doc_ends = np.cumsum(lengths)
         ends = chunk_ends(ids, doc_ends)
         data = ids.astype(f"<u{width}").tobytes()
         bounds = (np.r_[0, ends] * width).tolist()
         hashes = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(bounds, bounds[1:])]
         cuts = np.searchsorted(ends, np.r_[0, doc_ends], side="right").tolist()
         of_doc = [hashes[a:b] for a, b in zip(cuts, cuts[1:])]
-        n = len(codes)
+        n = len(lengths)
         recipe_ends = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ends - np.repeat(doc_ends - lengths, np.diff(cuts)), pa.int64()))
         roots = [hashlib.sha256(b"".join(x)).digest() for x in of_doc]
         recipe = pa.StructArray.from_arrays([numbers, doc_ids, pa.array(lengths), pa.array(of_doc, pa.list_(pa.binary())), recipe_ends, pa.array(roots, pa.binary())], RECIPE_COLUMNS)
@@ -171,9 +172,8 @@ def _encoded(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int,
         encoder = once(("ids", digest), lambda: TokenIds(shipped.value))
         seen: set[bytes] = set()
         for batch in batches:
-            for part in slices(batch, 2, AT_ONCE) if batch.num_rows else ():
-                codes = [encoder.encode(text) for text in texts_of(part.column(2))]
-                for x in columns(part.column(1), part.column(0), codes, seen):
+            for part in slices(batch, 2, BATCH_BYTES) if batch.num_rows else ():
+                for x in columns(part.column(1), part.column(0), encoder.encode_all(part.column(2), end), seen):
                     yield pa.RecordBatch.from_pydict(x)
 
     source = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

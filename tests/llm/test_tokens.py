@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -60,6 +61,31 @@ def test_chunks_equal_whole_texts(texts, library):
     assert 50256 in expected[texts.index("a <|endoftext|> b")]
 
 
+def test_a_word_goes_to_the_model_once_whatever_marks_follow():
+    own = tokenstore.TokenIds(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read())
+    asked = []
+
+    class Counting:
+        def __init__(self, model):
+            self.tokenize = lambda piece: asked.append(piece) or model.tokenize(piece)
+
+    own.model = Counting(own.model)
+    words = [f"{a}{b}" for a in ("Straße", "alpha", "élan") for b in ("one", "two", "six", "ten")]
+    own.encode("first " + " ".join(f"{w}{m}" for w in words for m in ("", ".", ",", "!", ";", ":", ".\nnext")))
+    assert len(asked) == len(set(asked)) <= len(words) + 9
+
+
+def test_texts_at_once_equal_whole_texts(texts, library):
+    data = open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read()
+    own, end = tokenstore.TokenIds(data), np.uint32(2).tobytes()
+    own.known.room = 200_000  # the cache is full soon, and starts anew
+    expected = [[*e.ids, 2] for e in library.encode_batch([*texts, ""], add_special_tokens=False)]
+    codes = [x for a in range(0, len(texts) + 1, 100) for x in own.encode_all(pa.array([*texts, None][a : a + 100], pa.string()), end).to_pylist()]
+    assert [np.frombuffer(code, "<u4").tolist() for code in codes] == expected
+    assert 0 < own.known.held < 300_000
+    assert len(own.encode_all(pa.array([], pa.string()), end)) == 0
+
+
 def test_query_7(spark, plain):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     rows = op7_bpe(spark, SMALL).collect()
