@@ -31,10 +31,10 @@ def exported_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT trim(t) AS target_email, count(*) AS mails, count(*) AS listed FROM (SELECT unnest(string_split(target_email, ',')) AS t FROM mail_log) GROUP BY 1", "mail_log")
 def stored_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The outbox in sixteen files, and what its manifest says of each target."""
+    """The outbox in sixteen parts, and what its manifest says of each target."""
     path = scratch_path(spark, "outbox")
     mails = outbox_of(spark, sf_dir, brief=True)
-    stores.write_outbox(mails, path, 16)
+    stores.write_outbox(mails, path, 16, "gzip")
     until_exit(spark, path)
     stored = spark.read.schema("mail_id long, target_email string, subject string, body string").json(f"{path}/mails").filter("body like '您好%'")
     listed = spark.read.parquet(f"{path}/manifest").groupBy("target_email").agg(F.sum("n").alias("listed"))

@@ -52,10 +52,10 @@ def until_exit(spark: SparkSession, path: str) -> None:
     files.deleteOnExit(hadoop_path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a scratch table, read back: what tasks made of it stays the same however often it is read."""
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """``df`` as a scratch table, read back: what tasks made of it stays the same however often it is read. ``compression``: else the session's."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -62,19 +62,20 @@ def drop_expired(spark: SparkSession, path: str, schema: str, as_of: str, settin
 OUTBOX_BYTES = 32 << 20
 
 
-def write_outbox(outbox: DataFrame, path: str, parts: int) -> None:
+def write_outbox(outbox: DataFrame, path: str, parts: int, compression: str = "none") -> None:
     """Mails in ``parts`` parts, sorted by target; a target of very many mails fills several. The manifest says which part has what.
 
     A part is one file, or several in order where the mails are over ``OUTBOX_BYTES`` for each part: what one task sorts doesn't
-    grow with the outbox. It is laid down first, as ranges are drawn from a sample and would make it twice.
+    grow with the outbox. It is laid down first, as ranges are drawn from a sample and would make it twice. Mails repeat much of
+    each other, so that files with a ``compression`` ("gzip") are a small part of the texts; readers tell it by a file's name.
     """
     spark, size = outbox.sparkSession, Observation()
     texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)).cast("long") for f in outbox.schema if f.dataType.typeName() == "string"]
     with scope(spark):
-        laid = written(outbox.observe(size, F.sum(reduce(lambda a, b: a + b, texts, F.lit(8 * len(outbox.columns)))).alias("bytes")), "outbox-mails")
+        laid = written(outbox.observe(size, F.sum(reduce(lambda a, b: a + b, texts, F.lit(8 * len(outbox.columns)))).alias("bytes")), "outbox-mails", "zstd")
         files = max(1, -(-(size.get["bytes"] or 0) // (OUTBOX_BYTES * parts)))
         ranges = laid.repartitionByRange(parts * files, "target_email", "mail_id").withColumn("part", F.floor(F.spark_partition_id() / files).cast("int"))
-        ranges.sortWithinPartitions("part", "target_email", "mail_id").write.mode("overwrite").partitionBy("part").json(f"{path}/mails")
+        ranges.sortWithinPartitions("part", "target_email", "mail_id").write.mode("overwrite").partitionBy("part").json(f"{path}/mails", compression=compression)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in outbox.schema)}, part int"
     stored = outbox.sparkSession.read.schema(schema).json(f"{path}/mails")
     stored.groupBy("target_email", "part").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/manifest")

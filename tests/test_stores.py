@@ -11,6 +11,7 @@ import os
 from pyspark.sql import functions as F
 
 from quillmill.operators import reports
+from quillmill.plans.stores import stored_outbox
 from quillmill.sources import stores
 
 LOG = "id long, sender string, subject string, doc_type string, urgency string, status string, case_summary string, key_date string, case_number string, involved_parties string, target_email string, error_message string, created_at timestamp_ntz"
@@ -64,6 +65,18 @@ def test_tasks_of_a_large_outbox_stay_small(spark, tmp_path, monkeypatch):
     assert stores.read_outbox(spark, path, schema, "hot@x").count() == 0
 
 
+def test_a_stored_outbox_is_a_small_part_of_its_texts(spark, tmp_path, monkeypatch):
+    path, schema, write = str(tmp_path / "out"), "mail_id long, target_email string, body string", stores.write_outbox
+    monkeypatch.setattr(stores, "write_outbox", lambda outbox, _, *more: write(outbox, path, *more))
+    monkeypatch.setattr("quillmill.plans.stores.scratch_path", lambda *_: path)
+    rows = stored_outbox(spark, "/root/testdata/sf0.001").collect()
+    mails = spark.read.schema(schema).json(f"{path}/mails")
+    chars, n = mails.agg(F.sum(F.octet_length("body")), F.count("*")).first()
+    assert n == sum(r.mails for r in rows) == sum(r.listed for r in rows) > 2000
+    assert sum(os.path.getsize(f) for f in glob.glob(f"{path}/mails/part=*/part-*")) < chars / 5
+    assert stores.read_outbox(spark, path, schema, rows[0].target_email).count() == rows[0].mails
+
+
 def test_retention_drops_days(spark, tmp_path):
     path, schema = str(tmp_path / "log"), "id long, created_at timestamp_ntz"
     log = mail_log(spark, 24 * 20).select("id", "created_at")
