@@ -511,6 +511,37 @@ def test_many_small_files_are_few_tasks(spark, tmp_path):
     assert sorted(r.message_id for r in got) == sorted(f"<{i}>" for i in range(300)) and all("/mail_id=" in r.path for r in got)
 
 
+def test_a_driver_lists_notes_not_messages(spark, tmp_path, monkeypatch):
+    said = "Message-ID: <%d>\n\nb"
+    rows = spark.range(300).select(F.format_string("mail_id=%d", F.col("id") % 280).alias("place"), F.when(F.col("id") != 7, F.encode(F.format_string(said, "id"), "UTF-8")).alias("content"))
+    big = rows.limit(1).select(F.lit("big/one").alias("place"), F.encode(F.repeat(F.lit("x"), 900), "UTF-8").alias("content"))
+    folder, notes, of = f"file://{tmp_path}/in", str(tmp_path / "notes"), "2024-01-01 00:00:00"
+    monkeypatch.setattr(mail, "MOST_AT_ONCE", 7)
+    mail.land_noted(rows.repartition(3, "place"), folder, notes)
+    streams = {"noted": lambda: polls.poll_noted(spark, notes, folder, of, largest=800), "all": lambda: polls.poll_all(spark, folder, of, glob="*.txt", largest=800, below=True)}
+
+    def run(name):
+        polls.run_polls(streams[name](), polls.into_tables(str(tmp_path / name)), str(tmp_path / f"state-{name}")).awaitTermination()
+
+    run("noted")
+    mail.land_noted(big, folder, notes)  # a second batch
+    run("noted"), run("noted"), run("all")
+    seen = [sorted((r.path.split("/in/")[1], r.message_id, r.body_text, r.error) for r in spark.read.schema(polls.POLLED).parquet(str(tmp_path / n)).collect()) for n in streams]
+    assert [r for r in seen[0] if r[2] != ""] == seen[1] and len(seen[0]) == 301 and seen[0][0][1:] == (None, None, "over 800 bytes: 900")  # Spark leaves out empty files
+    assert {r.batch for r in polls.polled_rejects(spark, str(tmp_path / "noted")).collect()} == {1}
+    assert [len((tmp_path / f"state-noted/sources/0/{n}").read_text().splitlines()) - 1 for n in (0, 1)] == [3, 1]
+
+
+def test_landed_messages_are_not_listed_by_the_driver(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(intake, "scratch_path", lambda *_: str(tmp_path / "out"))
+    found = intake.landed_messages(spark, "/root/testdata/sf0.01")
+    logged = (tmp_path / "out/state/sources/0/0").read_text().splitlines()[1:]
+    assert 1 <= len(logged) <= 4 and not any((tmp_path / "out/landing").iterdir())  # 100 messages
+    polled = spark.read.schema(polls.POLLED).parquet(str(tmp_path / "out/tables"))
+    assert polled.count() == polled.select("path").distinct().count() == view(spark, "/root/testdata/sf0.01", "parts").filter("att_idx = 0").count() == 100
+    assert found.count() == 37
+
+
 def test_history_is_joined_where_it_lies(spark):
     known = spark.createDataFrame([("a",), ("a",), ("b",), ("",), (None,)], "message_id string")
     table = tables.write_history(known, buckets=4)
